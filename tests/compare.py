@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import duckdb
 
@@ -40,7 +41,10 @@ def rows_of(columns, rows):
 
 def compare(df, oracle: str, con) -> list[str]:
     """Differences between the two answers; empty means identical."""
-    spark_rows = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    started = time.time()
+    collected = [tuple(r) for r in df.collect()]
+    compare.spark_seconds = time.time() - started
+    spark_rows = rows_of(df.columns, collected)
     cursor = con.execute(oracle)
     names = [d[0] for d in cursor.description]
     duck_rows = rows_of(names, cursor.fetchall())

@@ -41,7 +41,7 @@ def main() -> int:
             if os.environ.get("TRACE"):
                 traceback.print_exc()
         bad += bool(problems)
-        print(f"{'FAIL' if problems else 'pass'} {name} rows={rows} {time.time()-started:.2f}s {'' if not problems else note[:1800]}",
+        print(f"{'FAIL' if problems else 'pass'} {name} rows={rows} {time.time()-started:.2f}s spark={getattr(compare, 'spark_seconds', 0):.2f}s {'' if not problems else note[:1800]}",
               flush=True)
     print("failures:", bad)
     return bad

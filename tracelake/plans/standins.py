@@ -121,7 +121,7 @@ def urls(spark, sf) -> DataFrame:
     joined = F.when(tail == "", F.col("url")).when(
         tail.startswith("&"),
         F.concat(F.substring_index("url", "#", 1),
-                 F.when(F.col("url").contains("?"), "&").otherwise("?"), F.expr("substr({t}, 2)", t=tail))
+                 F.when(F.col("url").contains("?"), "&").otherwise("?"), F.substr(tail, F.lit(2)))
     ).otherwise(F.concat(F.substring_index(F.substring_index("url", "#", 1), "?", 1), tail))
     return table(spark, sf, "pages").select(key.alias("id"), joined.alias("url"))
 
@@ -233,3 +233,54 @@ def cte(*names: str) -> str:
             if item not in wanted:
                 wanted.append(item)
     return "WITH " + ",\n".join(CTES[name] for name in wanted) + "\n"
+
+
+def blobs(spark, sf) -> DataFrame:
+    """Binary contents from documents: magic bytes in front of some, hashes for others."""
+    text, n = F.encode("text", "UTF-8"), F.col("doc_id") % 10
+
+    def led(hexed):
+        return F.concat(F.unhex(F.lit(hexed)), text)
+
+    content = (F.when(n == 0, led("53514C69746520666F726D6174203300")).when(n == 1, led("ACED0005"))
+               .when(n == 2, led("20093C3F786D6C20")).when(n == 3, led("0A7B")).when(n == 4, led("0002"))
+               .when(n == 5, led("3C6D61703E")).when(n == 6, led("5B"))
+               .when(n == 7, F.unhex(F.repeat(F.sha2("text", 256), 20)))
+               .when(n == 8, F.concat(F.unhex(F.repeat(F.sha2("text", 256), 4)), F.unhex(F.repeat(F.lit("00"), 500))))
+               .otherwise(text))
+    return table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("/data/"), F.col("source"), F.lit("/d"), F.col("doc_id").cast("string")).alias("path"),
+        "text", content.alias("content"))
+
+
+CTES["blobs"] = """blobs AS (SELECT doc_id, '/data/' || source || '/d' || doc_id AS path, text,
+  CASE doc_id % 10 WHEN 0 THEN unhex('53514C69746520666F726D6174203300') || encode(text)
+   WHEN 1 THEN unhex('ACED0005') || encode(text) WHEN 2 THEN unhex('20093C3F786D6C20') || encode(text)
+   WHEN 3 THEN unhex('0A7B') || encode(text) WHEN 4 THEN unhex('0002') || encode(text)
+   WHEN 5 THEN unhex('3C6D61703E') || encode(text) WHEN 6 THEN unhex('5B') || encode(text)
+   WHEN 7 THEN unhex(repeat(sha256(text), 20))
+   WHEN 8 THEN unhex(repeat(sha256(text), 4)) || unhex(repeat('00', 500)) ELSE encode(text) END AS content
+  FROM documents)"""
+
+
+def token_docs(spark, sf) -> DataFrame:
+    """JSON account documents from events; one token per user shows up in many sources."""
+    n, user = F.col("event_id"), F.col("package")
+    field = (F.when(n % 4 == 0, "access_token").when(n % 4 == 1, "auth_token")
+             .when(n % 4 == 2, "token").otherwise("payload"))
+    token = F.concat(F.lit("EAA"), F.when(n % 7 == 0, "AAAAAQ").otherwise(""), F.md5(user),
+                     F.md5(F.concat(user, F.lit("x"))))
+    who = F.when(n % 3 == 0, F.lit("")).otherwise(
+        F.concat(F.lit(', "profile": {"uid": "'), user, F.lit('", "name": "user '), user, F.lit('"}')))
+    doc = F.concat(F.lit('{"'), field, F.lit('": "'), token, F.lit('"'), who, F.lit("}"))
+    return timeline(spark, sf).select(n.alias("doc_id"), F.col("source"), F.col("unix"), doc.alias("doc"),
+                                      field.alias("field"), token.alias("token"), user.alias("user"))
+
+
+CTES["token_docs"] = """token_docs AS (SELECT event_id AS doc_id, source, unix, field, token, package AS "user",
+  '{"' || field || '": "' || token || '"' || CASE WHEN event_id % 3 = 0 THEN '' ELSE
+   ', "profile": {"uid": "' || package || '", "name": "user ' || package || '"}' END || '}' AS doc
+  FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'access_token' WHEN 1 THEN 'auth_token' WHEN 2 THEN 'token'
+    ELSE 'payload' END AS field, 'EAA' || CASE WHEN event_id % 7 = 0 THEN 'AAAAAQ' ELSE '' END ||
+    md5(package) || md5(package || 'x') AS token FROM timeline))"""
+NEEDS["token_docs"] = ["timeline"]
