@@ -123,12 +123,19 @@ def hexdump(blob: Column, base: Column) -> Column:
     """Sixteen bytes a line with absolute offsets."""
     size = F.octet_length(blob)
     starts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(16)))
-
-    def line(at):
-        chunk = F.substring(blob, at + 1, F.lit(16))
-        pairs = F.rpad(F.regexp_replace(F.lower(F.hex(chunk)), "(..)(?=.)", "$1 "), 48, " ")
-        shown = F.regexp_replace(latin(chunk), r"[^ -~]", ".")
-        return F.concat(F.lpad((base + at).cast("string"), 12, "0"), F.lit("  "), pairs,
-                        F.lit(" |"), shown, F.lit("|"))
-
-    return F.coalesce(F.array_join(F.transform(starts, line), "\n"), F.lit(""))
+    # Both renderings are made once and cut as bytes, where a slice costs its own length.
+    pairs = F.encode(F.regexp_replace(F.lower(F.hex(blob)), "(..)", "$1 "), "US-ASCII")
+    shown = F.encode(F.regexp_replace(latin(blob), r"[^ -~]", "."), "US-ASCII")
+    parts = F.struct(starts.alias("s"), pairs.alias("p"), shown.alias("t"))
+
+    def cut(binary, at, n):
+        return F.decode(F.substring(binary, at + 1, F.lit(n)), "US-ASCII")
+
+    def line(w, at):
+        return F.concat(F.lpad((base + at).cast("string"), 12, "0"), F.lit("  "),
+                        F.rpad(F.rtrim(cut(w["p"], at * 3, 48)), 48, " "),
+                        F.lit(" |"), cut(w["t"], at, 16), F.lit("|"))
+
+    lines = F.transform(F.array(parts), lambda w: F.array_join(
+        F.transform(w["s"], lambda at: line(w, at)), "\n"))
+    return F.coalesce(F.get(lines, 0), F.lit(""))

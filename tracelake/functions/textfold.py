@@ -48,12 +48,12 @@ def fold_tables() -> tuple[dict[str, str], dict[str, str]]:
 def to_ascii(text: Column, strict: bool = True) -> Column:
     """Fold to printable ASCII; what cannot be folded becomes ``?`` or is dropped."""
     one, several = fold_tables()
-    mapping = F.create_map(*[F.lit(item) for pair in several.items() for item in pair])
-    has_several = text.rlike("[" + "".join(several) + "]")
-    spelled = F.array_join(F.transform(
-        F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(mapping, c), c)), "")
-    flat = F.translate(F.when(has_several, spelled).otherwise(text), "".join(one), "".join(one.values()))
-    return F.regexp_replace(flat, "[^ -~]", "?" if strict else "")
+    spelled = F.create_map(*[F.lit(item) for pair in several.items() for item in pair])
+    rest = F.lit("?" if strict else "")
+    flat = F.translate(text, "".join(one), "".join(one.values()))
+    whole = F.aggregate(non_ascii(flat), flat, lambda out, c: F.replace(
+        out, c, F.coalesce(F.try_element_at(spelled, c), rest)))
+    return F.regexp_replace(whole, "[^ -~]", "?" if strict else "")
 
 
 def non_ascii(text: Column) -> Column:

@@ -126,10 +126,9 @@ def completeness(events: DataFrame, errors: DataFrame, by: str) -> DataFrame:
 
 
 def final_writes(df: DataFrame, by: list[str], seconds: int = 120) -> DataFrame:
-    """Rows within the last seconds of each case; the maxima join back as one row per case."""
+    """Rows within the last seconds of each case; the maxima come back as one row per case."""
     last = df.groupBy(*by).agg(F.max("unix").alias("end_unix"))
-    joined = df.join(last, by) if by else df.crossJoin(F.broadcast(last))
-    return joined.filter(F.col("unix") >= F.col("end_unix") - seconds)
+    return df.join(last, by).filter(F.col("unix") >= F.col("end_unix") - seconds)
 
 
 def first_k_per(df: DataFrame, by: list[str], order: list[Column], k: int,

@@ -126,17 +126,13 @@ def urls(spark, sf) -> DataFrame:
     return table(spark, sf, "pages").select(key.alias("id"), joined.alias("url"))
 
 
-def page_count(spark, sf) -> DataFrame:
-    return table(spark, sf, "pages").agg(F.count("*").alias("n_pages"))
-
-
 def visits(spark, sf) -> DataFrame:
-    """One visit per event; the one-row page count is broadcast."""
-    n = F.broadcast(page_count(spark, sf))
-    e = timeline(spark, sf).crossJoin(n)
-    return e.select(F.col("event_id").alias("visit_id"), F.col("package").alias("user"),
-                    (F.col("event_id") % F.col("n_pages")).alias("url_id"),
-                    (F.col("micros") + WEBKIT_DELTA * 1_000_000).alias("visit_time"))
+    """One visit per event; the page count is a scalar subquery."""
+    n = table(spark, sf, "pages").agg(F.count("*")).scalar()
+    return timeline(spark, sf).select(
+        F.col("event_id").alias("visit_id"), F.col("package").alias("user"),
+        (F.col("event_id") % n).alias("url_id"),
+        (F.col("micros") + WEBKIT_DELTA * 1_000_000).alias("visit_time"))
 
 
 def histories(spark, sf) -> DataFrame:

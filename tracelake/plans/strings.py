@@ -317,14 +317,19 @@ def context(spark, sf, needle, around):
     return d.select("doc_id", at.alias("pos"), B.context(F.col("text"), at, around, needle).alias("shown"))
 
 
-@query("p42_hexdump", "P42", oracle=cte("blobs") + """
-  SELECT doc_id, md5(string_agg(lpad(CAST(1000 + i AS VARCHAR), 12, '0') || '  ' || rpad(trim(regexp_replace(lower(hex(c)), '(..)', '\\1 ', 'g')), 48, ' ')
+@query("p42_hexdump", "P42", oracle="""
+  SELECT doc_id, string_agg(lpad(CAST(1000 + i AS VARCHAR), 12, '0') || '  ' || rpad(trim(regexp_replace(lower(hex(c)), '(..)', '\\1 ', 'g')), 48, ' ')
     || ' |' || array_to_string(list_transform(regexp_extract_all(hex(c), '..'), lambda x: CASE WHEN regexp_matches(x, '2[0-9A-F]|[3-6][0-9A-F]|7[0-9A-E]')
-       THEN chr(CAST(('0x' || x) AS INTEGER)) ELSE '.' END), '') || '|', chr(10) ORDER BY i)) AS digest
-  FROM (SELECT doc_id, i, unhex(hex(content)[2 * i + 1 : 2 * i + 32]) AS c FROM blobs, unnest(range(0, octet_length(content), 16)) AS t(i))
-  GROUP BY doc_id""")
-def hexdump(spark, sf):
-    return blobs(spark, sf).select("doc_id", F.md5(B.hexdump(F.col("content"), F.lit(1000))).alias("digest"))
+       THEN chr(CAST(('0x' || x) AS INTEGER)) ELSE '.' END), '') || '|', chr(10) ORDER BY i) AS dump
+  FROM (SELECT doc_id, i, unhex(hex(content)[2 * i + 1 : 2 * i + 32]) AS c FROM (SELECT doc_id,
+      encode(replace(text[greatest(pos - 20, 0) + 1 : greatest(pos - 20, 0) + 42], 'on', '??')) AS content
+      FROM (SELECT doc_id, text, strpos(text, 'on') - 1 AS pos FROM documents WHERE contains(text, 'on'))),
+    unnest(range(0, octet_length(content), 16)) AS t(i)) GROUP BY doc_id""", needle="on", around=20)
+def hexdump(spark, sf, needle, around):
+    d = table(spark, sf, "documents").filter(F.col("text").contains(needle))
+    at = (F.instr("text", needle) - 1).cast("long")
+    window = F.encode(B.context(F.col("text"), at, around, needle), "UTF-8")
+    return d.select("doc_id", B.hexdump(window, F.lit(1000)).alias("dump"))
 
 
 @query("p43_utf16_names", "P43", oracle=cte("timeline") + """
