@@ -180,7 +180,7 @@ def app_largest(spark, sf, k):
 
 
 @query("a16_major_types", "A16", oracle="""
-  SELECT CASE WHEN split_part(m, '/', 1) = '' THEN '?' ELSE split_part(m, '/', 1) END AS major, count(*) AS n FROM (
+  SELECT CASE WHEN coalesce(split_part(m, '/', 1), '') = '' THEN '?' ELSE split_part(m, '/', 1) END AS major, count(*) AS n FROM (
     SELECT CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 10 = 1 THEN '' ELSE lower(p_type) || '/' || p_name END AS m FROM part) GROUP BY 1""")
 def major_types(spark, sf):
     n = F.col("p_partkey") % 10

@@ -196,8 +196,8 @@ def usage_window(spark, sf, since):
 
 @query("a20_network_verdict", "A20", oracle=cte("timeline") + f""",
   m AS (SELECT package, max(unix) FILTER (source = 'signup') AS lease, max(unix) FILTER (source = 'view') AS checkin, max(unix) FILTER (kind = 'login') AS token FROM timeline GROUP BY 1)
-  SELECT package, round((1706400000 - lease) / 86400, 1) AS lease_days, round((1706400000 - checkin) / 86400, 1) AS checkin_days,
-    round((1706400000 - token) / 86400, 1) AS token_days, coalesce(lease > 1706400000, false) OR coalesce(checkin > 1706400000, false) OR coalesce(token > 1706400000, false) AS online FROM m""",
+  SELECT package, round((1706400000 - lease) / 86400, 1) + 0.0 AS lease_days, round((1706400000 - checkin) / 86400, 1) + 0.0 AS checkin_days,
+    round((1706400000 - token) / 86400, 1) + 0.0 AS token_days, coalesce(lease > 1706400000, false) OR coalesce(checkin > 1706400000, false) OR coalesce(token > 1706400000, false) AS online FROM m""",
        floor=1706400000)
 def network_verdict(spark, sf, floor):
     from tracelake.operators.verdicts import network_verdict as verdict

@@ -20,3 +20,134 @@ def usage_rows(lines: DataFrame, value: str = "value") -> DataFrame:
     return (lines.select(*keep, F.when(F.size(parts) == 2, F.get(parts, 0)).alias("package"),
                          millis.alias("last_used_ms"))
             .filter("package is not null and last_used_ms is not null"))
+
+
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+
+
+def file_lines(files: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """One row per line, trimmed, with its position in the file."""
+    return (files.select(*keep, F.posexplode(F.split(text, LINE_BREAK)).alias("pos", "line"))
+            .withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")))
+
+
+def _in_file(keys: list[str]):
+    return W.partitionBy(*keys).orderBy("pos")
+
+
+def block_rows(files: DataFrame, text: str, keys: list[str], opens: str = "network=",
+               closes: str = "}") -> DataFrame:
+    """``opens{ k=v … }`` blocks as ``(block, key, value)``; outside pairs have block -1.
+
+    A pair is in a block when the marker before it opens one and the marker after
+    it closes one; a block that is reopened or never closed is not reported.
+    """
+    lines = file_lines(files, text, keys).filter("line <> '' and not startswith(line, '#')")
+    kind = (F.when(F.col("line").startswith(opens), "open").when(F.col("line") == closes, "close"))
+    marked = lines.withColumn("mark", F.when(kind.isNotNull(), F.struct("pos", kind.alias("kind"))))
+    before = F.last("mark", ignorenulls=True).over(_in_file(keys).rowsBetween(W.unboundedPreceding, 0))
+    after = F.first("mark", ignorenulls=True).over(_in_file(keys).rowsBetween(0, W.unboundedFollowing))
+    placed = (marked.withColumn("b", before).withColumn("a", after)
+              .filter(F.col("mark").isNull() & F.col("line").contains("=")))
+    inside = F.coalesce(F.col("b.kind") == "open", F.lit(False))
+    pair = F.split("line", "=", 2)
+    value = F.trim(F.get(pair, 1))
+    rows = (placed.filter(~inside | (F.col("a.kind") == "close"))
+            .select(*keys, F.when(inside, F.col("b.pos")).otherwise(-1).alias("block"), "pos",
+                    F.trim(F.get(pair, 0)).alias("key"),
+                    F.when(inside, F.regexp_replace(value, '^"+|"+$', "")).otherwise(value).alias("value")))
+    return rows.groupBy(*keys, "block", "key").agg(F.max_by("value", "pos").alias("value"))
+
+
+def blocks_wide(rows: DataFrame, keys: list[str], wanted: list[str]) -> DataFrame:
+    picked = [F.max(F.when(F.col("key") == name, F.col("value"))).alias(name) for name in wanted]
+    return rows.filter("block >= 0").groupBy(*keys, "block").agg(*picked)
+
+
+FIELD = r"^([A-Za-z][\w .]{0,40}?)\s*:\s*(.*)$"
+
+
+def grouped_log(files: DataFrame, text: str, keys: list[str], start_key: str = "package name") -> DataFrame:
+    """``key: value`` lines with the header line that owns them; lines before any header are dropped."""
+    lines = file_lines(files, text, keys).filter(F.col("line").rlike(FIELD))
+    fields = lines.select(*keys, "pos", F.regexp_extract("line", FIELD, 1).alias("key"),
+                          F.regexp_extract("line", FIELD, 2).alias("value"))
+    header = F.when(F.col("key") == start_key, F.struct("pos", "value"))
+    owner = F.last(header, ignorenulls=True).over(_in_file(keys))
+    return (fields.withColumn("h", owner).filter("h is not null")
+            .select(*keys, F.col("h.pos").alias("group"), F.col("h.value").alias("package"), "pos", "key", "value"))
+
+
+def crash_history(files: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    rows = grouped_log(files, text, keys)
+    last = lambda name: F.max_by(F.when(F.col("key") == name, F.col("value")),
+                                 F.when(F.col("key") == name, F.col("pos")))
+    times = F.when(F.col("key") == "happen time", F.col("value"))
+    count = F.regexp_extract(last("crash since start"), r"(\d+)", 1).try_cast("long")
+    return rows.groupBy(*keys, "group", "package").agg(
+        F.coalesce(last("package version"), F.lit("")).alias("version"),
+        F.coalesce(count, F.lit(0)).alias("crashes_since_boot"),
+        F.coalesce(last("subtype"), F.lit("")).alias("subtype"),
+        F.count(times).alias("occurrences"), F.coalesce(F.min(times), F.lit("")).alias("first_time"),
+        F.coalesce(F.max(times), F.lit("")).alias("last_time"))
+
+
+def carry_note(files: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """Reboot records with the note line written since the record before."""
+    note, record = F.col("line").startswith("kernel reboot"), F.col("line").startswith("record time_stamp")
+    after_colon = F.trim(F.coalesce(F.get(F.split("line", ":", 2), 1), F.lit("")))
+    marks = (file_lines(files, text, keys).filter(note | record)
+             .select(*keys, "pos", record.alias("is_record"), after_colon.alias("value")))
+    previous = F.lag(F.struct("is_record", "value")).over(_in_file(keys))
+    return (marks.withColumn("p", previous).filter("is_record").select(
+        *keys, "pos", F.col("value").alias("local"),
+        F.when(~F.col("p.is_record"), F.col("p.value")).otherwise("").alias("note")))
+
+
+DEBUG_LINE = r"^(\d+)\s+(\S+)\s+\[(\w+)\]\s+([\d-]+)\s+([\d:]+)\s+(.*)$"
+
+
+def parse_debug_log(files: DataFrame, text: str, name: str, keep: list[str]) -> DataFrame:
+    """Priority, tag, level, date, time and message; the year comes from the file name."""
+    year = F.regexp_extract(name, r"(\d{4})", 1)
+    lines = file_lines(files, text, [name, *keep]).filter(F.col("line").rlike(DEBUG_LINE))
+    field = lambda i: F.regexp_extract("line", DEBUG_LINE, i)
+    return lines.select(
+        name, *keep, "pos", field(1).alias("priority"), field(2).alias("tag"), field(3).alias("level"),
+        F.when(year != "", F.concat_ws("-", year, field(4))).otherwise(field(4)).alias("date"),
+        field(5).alias("time"), F.left(field(6), F.lit(300)).alias("message"))
+
+
+def tombstone_fields(text: Column) -> Column:
+    """Header of a crash dump: process, pid, signal and build."""
+    pid = r"(?m)^pid:[ \t]*(\d+),[ \t]*tid:[ \t]*(\d+),[ \t]*name:[ \t]*([^>\n]+?)[ \t]*(?:>>>|$)"
+    signal = r"(?m)^signal[ \t]+(\d+)[ \t]*\(([^)\n]+)\)"
+    number = F.regexp_extract(text, signal, 1)
+    return F.struct(
+        F.regexp_extract(text, pid, 3).alias("process"), F.regexp_extract(text, pid, 1).alias("pid"),
+        F.when(number == "", "").otherwise(
+            F.concat(number, F.lit(" ("), F.regexp_extract(text, signal, 2), F.lit(")"))).alias("signal"),
+        F.trim(F.regexp_extract(text, r"(?m)^Build fingerprint:([^\n]*)$", 1)).alias("build"))
+
+
+CONTINUATION = r"^(Fix|Optimize|Connect)\?\s*(no|yes)?$"
+SKIPPED = ("$", "Warning:", "Pass ", "exit=")
+
+
+def checker_messages(files: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """Message lines with their continuation lines joined on, in file order."""
+    lines = file_lines(files, text, keys).filter("line <> ''")
+    for prefix in SKIPPED:
+        lines = lines.filter(~F.col("line").startswith(prefix))
+    more = F.col("line").rlike(CONTINUATION)
+    head = F.last(F.when(~more, F.col("pos")), ignorenulls=True).over(_in_file(keys))
+    # A continuation with nothing before it stands as a message of its own: the
+    # first one becomes the head the following ones attach to.
+    first = F.min("pos").over(W.partitionBy(*keys))
+    placed = lines.withColumn("head", F.coalesce(head, first))
+    piece = F.when(F.col("pos") == F.col("head"), F.col("line")).otherwise(
+        F.concat(F.lit("  ["), "line", F.lit("]")))
+    # Continuations of one message are a handful of prompt lines.
+    return placed.withColumn("piece", piece).groupBy(*keys, "head").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))),
+                                 lambda s: s["piece"]), "").alias("message"))
