@@ -26,3 +26,17 @@ def interesting_keys(extras: DataFrame, order: str, k: int) -> DataFrame:
     rx = "|".join(INTERESTING).lower()
     return (extras.filter(F.lower("key").rlike(rx)).orderBy(order).limit(k)
             .select(order, F.left("key", F.lit(140)).alias("key"), F.left("value", F.lit(400)).alias("value")))
+
+
+def distinct_secrets(df: DataFrame, by: list[str], secret: str, account: str) -> DataFrame:
+    value = F.when(F.coalesce(F.col(secret), F.lit("")) != "", F.col(secret))
+    return df.groupBy(*by).agg(F.countDistinct(value).alias("secrets"), F.count(value).alias("with_secret"),
+                               F.countDistinct(account).alias("accounts"))
+
+
+def newest_logs(logs: DataFrame, account: str, tie: str) -> DataFrame:
+    """Newest log per account directory, with the number of logs and their bytes."""
+    from tracelake.functions.times import utc_text
+    newest = F.max(F.struct("mtime", (-F.col(tie)).alias("t"), "name")).alias("m")
+    return logs.groupBy(account).agg(F.count("*").alias("logs"), F.sum("size").alias("bytes"), newest).select(
+        account, "logs", "bytes", F.col("m.name").alias("newest_log"), utc_text(F.col("m.mtime")).alias("newest_utc"))
