@@ -40,3 +40,22 @@ def newest_logs(logs: DataFrame, account: str, tie: str) -> DataFrame:
     newest = F.max(F.struct("mtime", (-F.col(tie)).alias("t"), "name")).alias("m")
     return logs.groupBy(account).agg(F.count("*").alias("logs"), F.sum("size").alias("bytes"), newest).select(
         account, "logs", "bytes", F.col("m.name").alias("newest_log"), utc_text(F.col("m.mtime")).alias("newest_utc"))
+
+
+def store_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Stored logins per store and type: plain, encrypted and empty values, sites, users."""
+    v = F.col("verdict")
+    plain = v.startswith("plain")
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("entries"), F.count_if(plain).alias("plain"),
+        F.count_if(v.startswith("encrypted")).alias("encrypted"), F.count_if(v.isin("empty", "missing")).alias("empty"),
+        F.countDistinct(F.when(plain, F.col("site"))).alias("plain_sites"),
+        F.countDistinct(F.when(plain & (F.col("user") != ""), F.col("user"))).alias("plain_users"))
+
+
+def session_cookies(cookies: DataFrame) -> DataFrame:
+    """Session cookies with a readable value; the value itself is masked."""
+    from tracelake.functions.secrets import mask_kind
+    from tracelake.functions.urls import SESSION_COOKIES
+    return (cookies.filter(F.col("name").isin(*SESSION_COOKIES) & (F.coalesce(F.length("value"), F.lit(0)) > 0))
+            .withColumn("value", mask_kind(F.col("value"), "token")))
