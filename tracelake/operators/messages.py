@@ -50,8 +50,7 @@ def type_profile(messages: DataFrame, media: DataFrame, table: Mapping[int, str]
     observed = seen.groupBy("code").agg(
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
         F.max(_allowed(kind, F.col("family"))).alias("any_allowed"))
-    observed = observed.withColumnRenamed("code", "_code")
-    joined = counted.join(observed, F.col("code").eqNullSafe(F.col("_code")), "left")
+    joined = counted.join(observed, "code", "left")
     return joined.select("code", kind.alias("kind"), "messages", F.coalesce("families", F.lit("")).alias("families"),
                          F.coalesce(~F.col("any_allowed"), F.lit(False)).alias("disputed"))
 
