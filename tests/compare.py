@@ -58,7 +58,7 @@ def compare(df, oracle: str, con) -> list[str]:
         problems.append(f"{len(pairs)} rows differ, columns {sorted(names)}; first: "
                         f"spark={pairs[0][0]} duck={pairs[0][1]}")
     elif problems:
-        only_s = [r for r in spark_rows if r not in set(duck_rows)][:1]
-        only_d = [r for r in duck_rows if r not in set(spark_rows)][:1]
+        ours, theirs = set(spark_rows), set(duck_rows)
+        only_s, only_d = list(ours - theirs)[:1], list(theirs - ours)[:1]
         problems.append(f"only spark {only_s} only duck {only_d}")
     return problems

@@ -92,13 +92,15 @@ def search_chunks(chunks: DataFrame, key: str, needle: bytes, size: int = CHUNK_
     near = chunks.filter((F.col("chunk") + 1) * size > start)
     near = near if end is None else near.filter(F.col("chunk") * size < end)
     find, base = _positions(needle), F.col("chunk") * size
-    hits = near.select(key, (base + F.explode(find(F.col("data")))).alias("offset"))
+    hits = (near.select(key, base.alias("_base"), F.explode(find(F.col("data"))).alias("_at"))
+            .select(key, (F.col("_base") + F.col("_at")).alias("offset")))
     reach = len(needle) - 1
     if reach:
         tails = near.filter(F.octet_length("data") == size).select(key, "chunk", F.substring("data", size - reach + 1, reach).alias("tail"))
         heads = near.select(key, (F.col("chunk") - 1).alias("chunk"), F.substring("data", 1, reach).alias("head"))
-        edge = find(F.concat("tail", "head"))
-        crossing = tails.join(heads, [key, "chunk"]).select(key, (base + size - reach + F.explode(edge)).alias("offset"))
+        edges = tails.join(heads, [key, "chunk"]).select(
+            key, (base + size - reach).alias("_base"), F.explode(find(F.concat("tail", "head"))).alias("_at"))
+        crossing = edges.select(key, (F.col("_base") + F.col("_at")).alias("offset"))
         hits = hits.unionByName(crossing)
     inside = F.col("offset") >= start
     return hits.filter(inside if end is None else inside & (F.col("offset") + len(needle) <= end))
