@@ -1,0 +1,158 @@
+"""Fleets of SQLite files as one table.
+
+Two ways in: blobs already in a BINARY column (``binaryFile``), or the data source
+``sqlite_files`` over a shared folder, one partition per file. A file is the unit
+of work; rows come out in Arrow batches and are never held whole.
+"""
+
+from __future__ import annotations
+
+import glob
+import json
+import sqlite3
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+
+BATCH = 4096
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _from_blob(blob: bytes) -> sqlite3.Connection:
+    conn = sqlite3.connect(":memory:")
+    conn.deserialize(blob)
+    return conn
+
+
+def _from_path(path: str) -> sqlite3.Connection:
+    """Read-only and immutable; the name is percent-encoded so ``#``, ``?`` and ``%`` survive."""
+    return sqlite3.connect(f"file:{quote(path)}?mode=ro&immutable=1", uri=True)
+
+
+def _text(value):
+    return value.hex() if isinstance(value, bytes) else value
+
+
+def _rows(conn: sqlite3.Connection, table: str, columns: list[str]) -> Iterator[tuple]:
+    present = [r[1] for r in conn.execute(f"pragma table_info({_quoted(table)})")]
+    wanted = [c for c in columns if c in present] or present
+    if not present:
+        return
+    cursor = conn.execute(f"select rowid, {', '.join(map(_quoted, wanted))} from {_quoted(table)}")
+    for rowid, *values in cursor:
+        yield rowid, json.dumps({c: _text(v) for c, v in zip(wanted, values)}, ensure_ascii=False)
+
+
+def _summary(open_it) -> list[tuple]:
+    """(table, rows, status, integrity); an unreadable count is null, never zero."""
+    try:
+        conn = open_it()
+        tables = [r[0] for r in conn.execute("select name from sqlite_master where type = 'table' order by name")]
+        verdict = str(conn.execute("pragma integrity_check").fetchone()[0])
+    except sqlite3.Error as exc:
+        return [("", None, "UNREADABLE", f"error: {exc}")]
+    out = []
+    for table in tables:
+        try:
+            out.append((table, conn.execute(f"select count(*) from {_quoted(table)}").fetchone()[0], "PRESENT", verdict))
+        except sqlite3.Error:
+            out.append((table, None, "UNREADABLE", verdict))
+    conn.close()
+    return out
+
+
+def sqlite_rows(files: DataFrame, key: str, content: str, table: str, columns: list[str] = ()) -> DataFrame:
+    """Rows of one table out of every blob as ``(key, rowid, row JSON)``."""
+    wanted = list(columns)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, blob in zip(pdf[key], pdf[content]):
+                try:
+                    rows = _rows(_from_blob(bytes(blob)), table, wanted)
+                    batch = []
+                    for rowid, row in rows:
+                        batch.append((name, rowid, row))
+                        if len(batch) == BATCH:
+                            yield pd.DataFrame(batch, columns=[key, "rowid", "row"])
+                            batch = []
+                except sqlite3.Error:
+                    continue  # the summary reports the file as unreadable
+                if batch:
+                    yield pd.DataFrame(batch, columns=[key, "rowid", "row"])
+
+    kind = dict(files.dtypes)[key]
+    return files.select(key, content).mapInPandas(read, f"{key} {kind}, rowid bigint, row string")
+
+
+def sqlite_summary(files: DataFrame, key: str, content: str) -> DataFrame:
+    """Tables of every blob with counts, reading status and the integrity verdict."""
+    @F.pandas_udf("array<struct<table:string,rows:bigint,status:string,integrity:string>>")
+    def look(blobs: pd.Series) -> pd.Series:
+        names = ("table", "rows", "status", "integrity")
+        return blobs.map(lambda b: [dict(zip(names, r)) for r in _summary(lambda: _from_blob(bytes(b)))])
+
+    return files.select(key, F.explode(look(F.col(content))).alias("s")).select(key, "s.*")
+
+
+class _File(InputPartition):
+    def __init__(self, path: str):
+        super().__init__(path)
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.paths = sorted(glob.glob(options["path"], recursive=True))
+        self.table, self.columns = options.get("table", ""), [c for c in options.get("columns", "").split(",") if c]
+
+    def pushFilters(self, filters):
+        for item in filters:
+            if isinstance(item, EqualTo) and item.attribute == ("file",):
+                self.paths = [p for p in self.paths if p == item.value]
+            else:
+                yield item
+
+    def partitions(self):
+        return [_File(path) for path in self.paths]
+
+    def read(self, partition):
+        path = partition.value
+        if self.table:
+            try:
+                for rowid, row in _rows(_from_path(path), self.table, self.columns):
+                    yield path, self.table, rowid, row, "PRESENT"
+            except sqlite3.Error:
+                yield path, self.table, None, None, "UNREADABLE"
+        else:
+            for name, rows, status, integrity in _summary(lambda: _from_path(path)):
+                yield path, name, rows, integrity, status
+
+
+class SqliteFiles(DataSource):
+    """``spark.read.format("sqlite_files").option("path", glob).option("table", name)``.
+
+    Without a table every file's tables are summarised (rows in ``number``, the
+    integrity verdict in ``row``).
+    """
+
+    @classmethod
+    def name(cls):
+        return "sqlite_files"
+
+    def schema(self):
+        return "file string, table string, number bigint, row string, status string"
+
+    def reader(self, schema):
+        return _Reader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SqliteFiles)
