@@ -37,6 +37,12 @@ def recent_files(files: DataFrame, since: int) -> DataFrame:
         local_text(F.col("mtime")).alias("mtime_local"), package_of(F.col("path")).alias("package"))
 
 
+def _top_keys(counted: DataFrame, k: int) -> DataFrame:
+    """Top k keys per facet; the plain rank filter lets Spark cut each task to k before the shuffle."""
+    order = F.row_number().over(W.partitionBy("facet").orderBy(F.desc("n"), F.asc("key")))
+    return counted.withColumn("rank", order).filter(F.col("rank") <= k).drop("rank")
+
+
 def class_breakdown(files: DataFrame, since: int, k: int = 8, samples: int = 12) -> DataFrame:
     """Years, installer values, locations and samples as ``(facet, key, n)`` rows.
 
@@ -52,9 +58,8 @@ def class_breakdown(files: DataFrame, since: int, k: int = 8, samples: int = 12)
         facet("installer_location", second(path), c == "installer")))
     counted = (classify(files, since).select(F.explode(facets).alias("f")).select("f.*")
                .groupBy("facet", "key").agg(F.count("*").alias("n")))
-    order = F.row_number().over(W.partitionBy("facet").orderBy(F.desc("n"), F.asc("key")))
-    ranked = (counted.withColumn("rank", order)
-              .filter((F.col("rank") <= k) | (F.col("facet") == "coherent_year")).drop("rank"))
+    years = F.col("facet") == "coherent_year"
+    ranked = counted.filter(years).unionByName(_top_keys(counted.filter(~years), k))
     first = F.row_number().over(W.partitionBy("class").orderBy("path"))
     sampled = (classify(files, since).filter(c.isin("epoch", "installer")).select("class", "path")
                .withColumn("r", first).filter(F.col("r") <= samples)
@@ -111,9 +116,8 @@ def deleted_summary(entries: DataFrame, owners: int = 10) -> DataFrame:
         F.struct(F.lit("total").alias("facet"), F.lit("entries").alias("key"), F.lit(1).alias("w")))
     counted = (entries.select(F.explode(facets).alias("f")).select("f.*")
                .groupBy("facet", "key").agg(F.sum("w").cast("long").alias("n")))
-    order = F.row_number().over(W.partitionBy("facet").orderBy(F.desc("n"), F.asc("key")))
-    return (counted.withColumn("rank", order)
-            .filter((F.col("facet") != "owner") | (F.col("rank") <= owners)).drop("rank"))
+    by_owner = F.col("facet") == "owner"
+    return counted.filter(~by_owner).unionByName(_top_keys(counted.filter(by_owner), owners))
 
 
 def attribute_census(df: DataFrame, attributes: str) -> DataFrame:

@@ -10,6 +10,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.blobs import context
@@ -108,8 +109,11 @@ def search_chunks(chunks: DataFrame, key: str, needle: bytes, size: int = CHUNK_
 
 def first_hits(hits: DataFrame, order: list[str], k: int) -> DataFrame:
     """First k hits in scan order, flagged when there are more."""
-    total = hits.agg(F.count("*")).scalar()
-    return hits.orderBy(*order).limit(k).withColumn("truncated", total > k)
+    some = hits.orderBy(*order).limit(k + 1).withColumn("_one", F.lit(1))
+    # At most k + 1 rows reach this window.
+    placed = some.withColumn("_r", F.row_number().over(W.partitionBy("_one").orderBy(*order)))
+    counted = placed.withColumn("truncated", F.count("*").over(W.partitionBy("_one")) > k)
+    return counted.filter(F.col("_r") <= k).drop("_one", "_r")
 
 
 def hit_report(df: DataFrame, text: str, key: str, base: Column, needle: str, extents: DataFrame,

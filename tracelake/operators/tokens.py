@@ -95,17 +95,18 @@ def shape_scan(df: DataFrame, text: str, keep: list[str], shapes: dict[str, str]
     return rows.groupBy(*keep, "shape", shown.alias("shown")).agg(F.count("*").alias("hits"))
 
 
-def leak_audit(texts: DataFrame, registry: DataFrame, text: str, artefact: str, key: str) -> DataFrame:
+def leak_audit(texts: DataFrame, registry: DataFrame, text: str, artefact: str, shortest: int = 6) -> DataFrame:
     """Known secrets (by SHA-256) found in exported text, per artefact class, with a verdict.
 
-    Tokens are made distinct per text before hashing, so common words meet the
-    registry once per text; the registry side has one row per digest. An empty
-    registry fails instead of passing silently.
+    Words are made distinct per text and counted per class before hashing, so each
+    distinct word is hashed and shuffled once per class however common it is; the
+    registry has one row per digest. An empty registry fails instead of passing silently.
     """
     words = F.array_distinct(F.split(text, r"[^A-Za-z0-9_@.+\-]+"))
-    tokens = texts.select(key, artefact, F.explode(F.filter(words, lambda w: F.length(w) >= 6)).alias("word"))
-    hits = (tokens.withColumn("sha256", F.sha2("word", 256)).join(registry.select("sha256").distinct(), "sha256")
-            .groupBy(artefact).agg(F.count("*").alias("leaks"), F.countDistinct("sha256").alias("secrets")))
+    tokens = texts.select(artefact, F.explode(F.filter(words, lambda w: F.length(w) >= shortest)).alias("word"))
+    counted = tokens.groupBy(artefact, "word").agg(F.count("*").alias("_n"))
+    hits = (counted.withColumn("sha256", F.sha2("word", 256)).join(registry.select("sha256").distinct(), "sha256")
+            .groupBy(artefact).agg(F.sum("_n").alias("leaks"), F.count("*").alias("secrets")))
     known = registry.agg(F.countDistinct("sha256")).scalar()
     leaks = F.coalesce("leaks", F.lit(0))
     verdict = (F.when(F.col("known_secrets") == 0, "FAIL: empty registry")

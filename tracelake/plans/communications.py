@@ -279,7 +279,7 @@ def audit(spark, sf, known):
     n = F.col("doc_id") % 3
     texts = d.select("doc_id", "text", F.when(n == 0, "derived").when(n == 1, "evidence").otherwise("working").alias("artefact"))
     secrets = d.select(F.explode(F.regexp_extract_all("text", F.lit("[0-9a-f]{40}"), F.lit(0))).alias("s")).filter(known)
-    return T.leak_audit(texts, secrets.select(F.sha2("s", 256).alias("sha256")).distinct(), "text", "artefact", "doc_id")
+    return T.leak_audit(texts, secrets.select(F.sha2("s", 256).alias("sha256")).distinct(), "text", "artefact")
 
 
 @query("j18_leak_audit", "J18", oracle=SQL_TEXTS + ", reg AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9a-f]{40}')) AS s FROM documents) " + SQL_AUDIT)

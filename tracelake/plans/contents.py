@@ -11,9 +11,10 @@ from tracelake.plans.blocks import SQL_INDEX, index
 from tracelake.plans.standins import BLOCK, blobs, cte, table
 from tracelake.registry import query
 
-NEEDLE = "anan"
-SQL_HITS = """h AS (SELECT doc_id, text, unnest(list_filter(range(length(text)), lambda i: substr(text, i + 1, {n}) = '{s}')) AS "offset"
-  FROM documents WHERE contains(text, '{s}'))"""
+NEEDLE = "tion"
+# The needle cannot overlap itself, so splitting gives every place (tests cover overlaps).
+SQL_HITS = """h AS (SELECT doc_id, text, CAST(sum(length(p[i])) OVER (PARTITION BY doc_id ORDER BY i) + (i - 1) * {n} AS BIGINT) AS "offset"
+  FROM (SELECT doc_id, text, string_split(text, '{s}') AS p FROM documents WHERE contains(text, '{s}')), unnest(range(1, len(p))) AS t(i))"""
 
 
 @query("x1_literal_search", "X1", needle=NEEDLE, oracle=f"WITH {SQL_HITS.format(n=4, s=NEEDLE)} SELECT doc_id, \"offset\" FROM h")

@@ -42,9 +42,9 @@ def refused_names(spark, sf):
 
 
 @query("s2_read_body", "S2", oracle=cte("inventory") + f""", {SQL_BODY}
-  SELECT '0' AS md5, path AS name, CAST(inode AS VARCHAR) AS inode, mode, uid, uid + 1 AS gid, size, mtime AS atime, mtime, mtime AS ctime, mtime - 5 AS crtime FROM body WHERE inode % 29 <> 0 AND mtime >= 5""")
+  SELECT '0' AS md5, path AS name, CAST(inode AS VARCHAR) AS inode, mode, uid, uid + 1 AS gid, size, mtime AS atime, mtime, mtime AS ctime, mtime - 5 AS crtime FROM body WHERE inode % 29 <> 0""")
 def read_body(spark, sf):
-    lines = K.to_body(body_inventory(spark, sf).filter("mtime >= 5"))[0]
+    lines = K.to_body(body_inventory(spark, sf))[0]
     return BF.parse_body(lines)
 
 
@@ -78,7 +78,7 @@ def database_files(spark, sf):
 @query("s3_sqlite_rows", "S3", oracle="""
   SELECT o_orderkey // 500 AS file, o_orderkey AS rowid, o_orderstatus AS status, o_custkey AS cust FROM orders WHERE (o_orderkey // 500) % 9 <> 8""")
 def sqlite_rows(spark, sf):
-    rows = S.sqlite_rows(database_files(spark, sf).filter("file % 9 <> 8"), "file", "content", "orders", ["status", "cust"])
+    rows = S.sqlite_rows(database_files(spark, sf), "file", "content", "orders", ["status", "cust"])
     parsed = rows.select("file", "rowid", F.from_json("row", "status string, cust bigint").alias("r"))
     return parsed.select("file", "rowid", "r.status", "r.cust")
 
@@ -141,7 +141,7 @@ def json_lines(spark, sf):
 def merged_runs(spark, sf):
     t = timeline(spark, sf)
     old = t.select((F.col("event_id") % 5).alias("run_id"), "event_id", F.lit("old").alias("version"))
-    new = t.filter("event_id % 10 = 3").select(F.lit(3).cast("long").alias("run_id"), "event_id", F.lit("new").alias("version"))
+    new = t.filter("event_id % 10 = 3").select((F.col("event_id") % 10).alias("run_id"), "event_id", F.lit("new").alias("version"))
     return K.merge_runs(old, new)
 
 

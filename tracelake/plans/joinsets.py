@@ -212,10 +212,10 @@ def source_status(spark, sf):
 
 
 @query("v5_read_log", "V5", keep=50, oracle="""
-  SELECT source, count(*) AS total, least(count(*), 50) AS shown, count(*) > 50 AS truncated FROM documents WHERE doc_id % 2 = 0 GROUP BY source""")
+  SELECT source, count(*) AS total, least(count(*), 50) AS shown, count(*) > 50 AS truncated FROM documents WHERE lang <> 'en' GROUP BY source""")
 def read_log(spark, sf, keep):
     from tracelake.verify.checks import capped_log
-    d = table(spark, sf, "documents").filter("doc_id % 2 = 0").select("source", F.col("doc_id").alias("artifact"))
+    d = table(spark, sf, "documents").filter("lang <> 'en'").select("source", F.col("doc_id").alias("artifact"))
     shown = capped_log(d, ["source"], "artifact", keep)
     return shown.groupBy("source").agg(F.first("total").alias("total"), F.count("*").alias("shown"), F.first("truncated").alias("truncated"))
 

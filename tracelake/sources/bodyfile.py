@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINE = (r"^([^|]*)\|(.*)\|([^|]*)\|([^|]*)\|(\d+)\|(\d+)\|(\d+)\|(-?\d+)\|(-?\d+)\|(-?\d+)\|(-?\d+)$")
-TEXT_FIELDS = ("md5", "name", "inode", "mode")
+FIELDS = 11
 NUMBER_FIELDS = ("uid", "gid", "size", "atime", "mtime", "ctime", "crtime")
 
 
+def _numbers(parts: Column) -> list[Column]:
+    """The last seven fields, counted from the end of the line."""
+    return [F.get(parts, F.size(parts) - len(NUMBER_FIELDS) + i) for i in range(len(NUMBER_FIELDS))]
+
+
+def _well_formed(parts: Column) -> Column:
+    tail = F.array_join(F.slice(parts, F.size(parts) - 6, F.lit(7)), "|")
+    return (F.size(parts) >= FIELDS) & tail.rlike(r"^(\d+\|){3}(-?\d+\|){3}-?\d+$")
+
+
+def _split(lines: DataFrame, value: str, keep: list[str]) -> DataFrame:
+    return lines.filter(~F.col(value).startswith("#")).select(*keep, value, F.split(value, r"\|").alias("_p"))
+
+
 def parse_body(lines: DataFrame, value: str = "value", keep: list[str] = ()) -> DataFrame:
-    """Parsed records; the greedy name group sits between fixed outer fields."""
-    good = lines.filter(~F.col(value).startswith("#") & F.col(value).rlike(LINE))
-    part = lambda i: F.regexp_extract(value, LINE, i)
-    texts = [part(i + 1).alias(name) for i, name in enumerate(TEXT_FIELDS)]
-    numbers = [part(i + 5).try_cast("long").alias(name) for i, name in enumerate(NUMBER_FIELDS)]
-    return good.select(*keep, *texts, *numbers)
+    """Parsed records: one field before the name, nine after it, the name is what lies between."""
+    p = F.col("_p")
+    good = _split(lines, value, keep).filter(_well_formed(p))
+    name = F.array_join(F.slice(p, F.lit(2), F.size(p) - (FIELDS - 1)), "|")
+    numbers = [n.try_cast("long").alias(label) for n, label in zip(_numbers(p), NUMBER_FIELDS)]
+    return good.select(*keep, F.get(p, 0).alias("md5"), name.alias("name"), F.get(p, F.size(p) - 9).alias("inode"),
+                       F.get(p, F.size(p) - 8).alias("mode"), *numbers)
 
 
 def quarantined(lines: DataFrame, value: str = "value") -> DataFrame:
-    return lines.filter(~F.col(value).startswith("#") & ~F.col(value).rlike(LINE))
+    return _split(lines, value, []).filter(~_well_formed(F.col("_p"))).select(value)
 
 
 def body_counts(lines: DataFrame, value: str = "value") -> DataFrame:
