@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.times import webkit_time
 from tracelake.functions.urls import host, may_hint, url_hints
-from tracelake.operators.bursts import with_run
+from tracelake.operators.bursts import bucketed, numbered_runs, with_run
 from tracelake.operators.timeline import first_k_per
 
 MICROS = 1_000_000
@@ -47,34 +47,59 @@ def identity_hints(urls: DataFrame) -> DataFrame:
         "hints", F.left("m.url", F.lit(220)).alias("url"), (-F.col("m.i")).alias("id"))
 
 
-def session_visits(visits: DataFrame, urls: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
-    """Every visit with its session number and address."""
-    return with_run(visits_with_urls(visits, urls), by, gap_seconds * MICROS, "visit_time", "session")
+def known_visits(visits: DataFrame, urls: DataFrame) -> DataFrame:
+    """Visits whose address is on record; only keys meet here, no address is carried along."""
+    return visits.join(urls.select(F.col("id").alias("url_id")), "url_id", "left_semi")
 
 
-def sessions(placed: DataFrame, by: list[str], min_size: int = 1, keep_urls: int = 40, keep_domains: int = 10) -> DataFrame:
+def session_runs(visits: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
+    """One row per session with its visits and edges, from time buckets alone."""
+    gap = gap_seconds * MICROS
+    buckets = bucketed(visits, by, "visit_time", gap, [F.count("*").alias("_n")])
+    return numbered_runs(buckets, by, gap, "session").groupBy(*by, "session").agg(
+        F.sum("_n").alias("visits"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+
+
+def sessions(visits: DataFrame, urls: DataFrame, by: list[str], gap_seconds: int = 1800, min_size: int = 1,
+             keep_urls: int = 40, keep_domains: int = 10) -> DataFrame:
     """One row per session: start, end, visits, viewers, and the domains of its first addresses.
 
-    The first addresses are limited inside each map task, so the lists below
-    never hold more than ``keep_urls`` entries.
+    The first visits are cut to ``keep_urls`` per session in every map task before
+    they are shuffled, and only those meet the addresses.
     """
     keys = [*by, "session"]
-    summary = placed.groupBy(*keys).agg(F.count("*").alias("visits"), F.min("visit_time").alias("_lo"), F.max("visit_time").alias("_hi"))
-    first = first_k_per(placed.select(*keys, "visit_time", "visit_id", F.left("address", F.lit(160)).alias("address")),
-                        keys, [F.asc("visit_time"), F.asc("visit_id")], keep_urls)
-    names = F.array_sort(F.collect_set(F.when(F.col("address") != "", host(F.col("address")))))
-    listed = first.groupBy(*keys).agg(F.count("*").alias("urls"), F.array_join(F.slice(names, 1, keep_domains), ",").alias("domains"))
-    viewers = session_viewers(placed, by).groupBy(*keys).agg(F.count("*").alias("viewers"))
-    return (summary.filter(F.col("visits") >= min_size).join(listed, keys).join(viewers, keys, "left").select(
+    known = known_visits(visits, urls)
+    summary = session_runs(known, by, gap_seconds).filter(F.col("visits") >= min_size)
+    placed = with_run(known, by, gap_seconds * MICROS, "visit_time", "session")
+    first = first_k_per(placed.select(*keys, "visit_time", "visit_id", "url_id"), keys,
+                        [F.asc("visit_time"), F.asc("visit_id")], keep_urls)
+    named = first.join(urls.select(F.col("id").alias("url_id"), host(F.left("url", F.lit(160))).alias("host")), "url_id")
+    listed = named.groupBy(*keys).agg(F.count("*").alias("urls"), F.array_join(
+        F.slice(F.array_sort(F.collect_set("host")), 1, keep_domains), ",").alias("domains"))
+    viewers = session_viewers(visits, urls, by, gap_seconds).groupBy(*keys).agg(F.count("*").alias("viewers"))
+    return (summary.join(listed, keys).join(viewers, keys, "left").select(
         *keys, "visits", webkit_time(F.col("_lo")).alias("start_utc"), webkit_time(F.col("_hi")).alias("end_utc"),
         "urls", "domains", F.coalesce("viewers", F.lit(0)).alias("viewers")))
 
 
-def session_viewers(placed: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct acting accounts per session, one row each."""
-    hints = url_hints(F.col("address"))
+def url_viewers(urls: DataFrame) -> DataFrame:
+    """Acting accounts an address shows; read from the addresses once, not from every visit."""
+    hints = url_hints(F.col("url"))
     pair = F.array_compact(F.array(F.try_element_at(hints, F.lit("viewer_uid")), F.try_element_at(hints, F.lit("viewer_av"))))
-    return (placed.filter(may_hint(F.col("address"))).select(*by, "session", F.explode(pair).alias("viewer")).distinct())
+    return urls.filter(may_hint(F.col("url"))).select(F.col("id").alias("url_id"), F.explode(pair).alias("viewer"))
+
+
+def session_viewers(visits: DataFrame, urls: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
+    """Distinct acting accounts per session, one row each."""
+    placed = with_run(known_visits(visits, urls), by, gap_seconds * MICROS, "visit_time", "session")
+    return placed.join(url_viewers(urls), "url_id").select(*by, "session", "viewer").distinct()
+
+
+def longest_sessions(visits: DataFrame, urls: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
+    """Per user the session with most visits, the earlier one on a tie."""
+    runs = session_runs(known_visits(visits, urls), by, gap_seconds)
+    best = F.max(F.struct("visits", (-F.col("session")).alias("s"))).alias("b")
+    return runs.groupBy(*by).agg(best).select(*by, (-F.col("b.s")).alias("session"), F.col("b.visits").alias("visits"))
 
 
 def visits_per_day(visits: DataFrame, by: list[str]) -> DataFrame:

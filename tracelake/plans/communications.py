@@ -164,13 +164,13 @@ SQL_SESSIONS = cte("visits", "urls") + f", v AS (SELECT visits.*, url AS address
     count(*) FILTER (n <= 40) AS urls, array_to_string(list_sort(list_distinct(list(regexp_extract(left(address, 160), '//([^/?#]*)', 1)) FILTER (n <= 40)))[1:10], ',') AS domains,
     (SELECT count(DISTINCT viewer) FROM g WHERE g."user" = f."user" AND g.run = f.run AND viewer <> '') AS viewers FROM f GROUP BY f."user", f.run""")
 def browsing_sessions(spark, sf, gap):
-    return B.sessions(B.session_visits(visits(spark, sf), urls(spark, sf), ["user"], gap), ["user"])
+    return B.sessions(visits(spark, sf), urls(spark, sf), ["user"], gap)
 
 
 @query("w2_session_viewers", "W2", gap=1800, oracle=SQL_SESSIONS + """
   SELECT DISTINCT "user", run AS session, viewer FROM (SELECT "user", run, unnest([regexp_extract(address, '[?&]av=(\\d+)', 1), regexp_extract(address, '[?&]lst=(\\d+):', 1)]) AS viewer FROM r) WHERE viewer <> ''""")
 def session_viewers(spark, sf, gap):
-    return B.session_viewers(B.session_visits(visits(spark, sf), urls(spark, sf), ["user"], gap), ["user"])
+    return B.session_viewers(visits(spark, sf), urls(spark, sf), ["user"], gap)
 
 
 @query("a25_visits_per_day", "A25", oracle=cte("visits") + f"""
@@ -194,10 +194,7 @@ def history_summary(spark, sf):
 @query("a25_longest_session", "A25", gap=1800, oracle=SQL_SESSIONS + """
   SELECT "user", run AS session, visits FROM (SELECT "user", run, count(*) AS visits, row_number() OVER (PARTITION BY "user" ORDER BY count(*) DESC, run) AS n FROM r GROUP BY 1, 2) WHERE n = 1""")
 def longest_session(spark, sf, gap):
-    placed = B.session_visits(visits(spark, sf), urls(spark, sf), ["user"], gap)
-    counted = placed.groupBy("user", "session").agg(F.count("*").alias("visits"))
-    best = F.max(F.struct("visits", (-F.col("session")).alias("s"))).alias("b")
-    return counted.groupBy("user").agg(best).select("user", (-F.col("b.s")).alias("session"), F.col("b.visits").alias("visits"))
+    return B.longest_sessions(visits(spark, sf), urls(spark, sf), ["user"], gap)
 
 
 SQL_HITS = """hits AS (SELECT doc_id, source, field, token, CASE WHEN doc_id % 3 = 0 THEN '' ELSE "user" END AS uid,
