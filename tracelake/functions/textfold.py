@@ -24,7 +24,8 @@ SIGNS = {
     "✓": "OK", "✔": "OK", "✗": "x", "✘": "x", "★": "*", "☆": "*",
     "☐": "[ ]", "☑": "[x]", "☒": "[x]", "➔": "->", "▪": "*",
 }
-CORNERS = (0x250C, 0x254B), (0x2552, 0x2570)  # box corners and crossings all become "+"
+# Box corners and crossings, all drawn as a plus sign.
+CORNERS = "┌┐└┘├┤┬┴┼╭╮╰╯╔╗╚╝╒╕╘╛╞╡╤╧╪╫╬"
 
 
 @functools.cache
@@ -37,8 +38,7 @@ def fold_tables() -> tuple[dict[str, str], dict[str, str]]:
                          if not unicodedata.combining(c))
         if folded and folded != char and all(" " <= c <= "~" for c in folded):
             table[char] = folded
-    for low, high in CORNERS:
-        table.update({chr(code): "+" for code in range(low, high + 1)})
+    table.update(dict.fromkeys(CORNERS, "+"))
     table.update(SIGNS)
     one = {k: v for k, v in table.items() if len(v) == 1}
     several = {k: v for k, v in table.items() if len(v) > 1}

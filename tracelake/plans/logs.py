@@ -28,7 +28,7 @@ def usage_rows(spark, sf):
     return usage_list(spark, sf)
 
 
-NL = F.lit("\n")
+NL = "\n"
 SQL_LINES = """SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, trim(ls[i], ' ' || chr(9)) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS ls
   FROM {src}) , unnest(range(1, len(ls) + 1)) AS u(i)"""
 
@@ -107,7 +107,7 @@ def crash_history(spark, sf):
 def carry_note(spark, sf):
     n = F.col("doc_id")
     text = F.concat(F.lit("kernel reboot: old\nkernel reboot: note "), n.cast("string"), F.lit("\nother\n record time_stamp: 2024-01-02 03:04:05\nrecord time_stamp: 2024-01-02 03:05:0"),
-                    (n % 10).cast("string"), NL, F.when(n % 2 == 0, "kernel reboot: second\n").otherwise("kernel reboot\n"),
+                    (n % 10).cast("string"), F.lit(NL), F.when(n % 2 == 0, "kernel reboot: second\n").otherwise("kernel reboot\n"),
                     F.when(n % 3 == 0, "record time_stamp: x:y\n").otherwise("kernel reboot: unused\n"))
     d = table(spark, sf, "documents").select("doc_id", text.alias("t"))
     return L.carry_note(d, "t", ["doc_id"]).select("doc_id", "note", "local")
