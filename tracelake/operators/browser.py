@@ -9,6 +9,7 @@ from tracelake.functions.times import webkit_time
 from tracelake.functions.urls import host, may_hint, url_hints
 from tracelake.operators.bursts import bucketed, numbered_runs, with_run
 from tracelake.operators.timeline import first_k_per
+from tracelake.session import cut_lineage
 
 MICROS = 1_000_000
 
@@ -60,7 +61,17 @@ def session_runs(visits: DataFrame, by: list[str], gap_seconds: int = 1800) -> D
         F.sum("_n").alias("visits"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
 
 
-def sessions(visits: DataFrame, urls: DataFrame, by: list[str], gap_seconds: int = 1800, min_size: int = 1,
+def session_visits(visits: DataFrame, urls: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
+    """Visits with their session number, keys only.
+
+    Several answers start from these rows, so they are written once to the
+    checkpoint folder instead of being joined again for each.
+    """
+    known = known_visits(visits.select(*by, "visit_id", "visit_time", "url_id"), urls)
+    return cut_lineage(with_run(known, by, gap_seconds * MICROS, "visit_time", "session"))
+
+
+def sessions(placed: DataFrame, urls: DataFrame, by: list[str], min_size: int = 1,
              keep_urls: int = 40, keep_domains: int = 10) -> DataFrame:
     """One row per session: start, end, visits, viewers, and the domains of its first addresses.
 
@@ -68,15 +79,15 @@ def sessions(visits: DataFrame, urls: DataFrame, by: list[str], gap_seconds: int
     they are shuffled, and only those meet the addresses.
     """
     keys = [*by, "session"]
-    known = known_visits(visits, urls)
-    summary = session_runs(known, by, gap_seconds).filter(F.col("visits") >= min_size)
-    placed = with_run(known, by, gap_seconds * MICROS, "visit_time", "session")
+    summary = placed.groupBy(*keys).agg(
+        F.count("*").alias("visits"), F.min("visit_time").alias("_lo"), F.max("visit_time").alias("_hi")
+    ).filter(F.col("visits") >= min_size)
     first = first_k_per(placed.select(*keys, "visit_time", "visit_id", "url_id"), keys,
                         [F.asc("visit_time"), F.asc("visit_id")], keep_urls)
     named = first.join(urls.select(F.col("id").alias("url_id"), host(F.left("url", F.lit(160))).alias("host")), "url_id")
     listed = named.groupBy(*keys).agg(F.count("*").alias("urls"), F.array_join(
         F.slice(F.array_sort(F.collect_set("host")), 1, keep_domains), ",").alias("domains"))
-    viewers = session_viewers(visits, urls, by, gap_seconds).groupBy(*keys).agg(F.count("*").alias("viewers"))
+    viewers = session_viewers(placed, urls, by).groupBy(*keys).agg(F.count("*").alias("viewers"))
     return (summary.join(listed, keys).join(viewers, keys, "left").select(
         *keys, "visits", webkit_time(F.col("_lo")).alias("start_utc"), webkit_time(F.col("_hi")).alias("end_utc"),
         "urls", "domains", F.coalesce("viewers", F.lit(0)).alias("viewers")))
@@ -89,9 +100,8 @@ def url_viewers(urls: DataFrame) -> DataFrame:
     return urls.filter(may_hint(F.col("url"))).select(F.col("id").alias("url_id"), F.explode(pair).alias("viewer"))
 
 
-def session_viewers(visits: DataFrame, urls: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
+def session_viewers(placed: DataFrame, urls: DataFrame, by: list[str]) -> DataFrame:
     """Distinct acting accounts per session, one row each."""
-    placed = with_run(known_visits(visits, urls), by, gap_seconds * MICROS, "visit_time", "session")
     return placed.join(url_viewers(urls), "url_id").select(*by, "session", "viewer").distinct()
 
 

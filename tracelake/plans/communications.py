@@ -164,13 +164,15 @@ SQL_SESSIONS = cte("visits", "urls") + f", v AS (SELECT visits.*, url AS address
     count(*) FILTER (n <= 40) AS urls, array_to_string(list_sort(list_distinct(list(regexp_extract(left(address, 160), '//([^/?#]*)', 1)) FILTER (n <= 40)))[1:10], ',') AS domains,
     (SELECT count(DISTINCT viewer) FROM g WHERE g."user" = f."user" AND g.run = f.run AND viewer <> '') AS viewers FROM f GROUP BY f."user", f.run""")
 def browsing_sessions(spark, sf, gap):
-    return B.sessions(visits(spark, sf), urls(spark, sf), ["user"], gap)
+    u = urls(spark, sf)
+    return B.sessions(B.session_visits(visits(spark, sf), u, ["user"], gap), u, ["user"])
 
 
 @query("w2_session_viewers", "W2", gap=1800, oracle=SQL_SESSIONS + """
   SELECT DISTINCT "user", run AS session, viewer FROM (SELECT "user", run, unnest([regexp_extract(address, '[?&]av=(\\d+)', 1), regexp_extract(address, '[?&]lst=(\\d+):', 1)]) AS viewer FROM r) WHERE viewer <> ''""")
 def session_viewers(spark, sf, gap):
-    return B.session_viewers(visits(spark, sf), urls(spark, sf), ["user"], gap)
+    u = urls(spark, sf)
+    return B.session_viewers(B.session_visits(visits(spark, sf), u, ["user"], gap), u, ["user"])
 
 
 @query("a25_visits_per_day", "A25", oracle=cte("visits") + f"""
