@@ -6,7 +6,6 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.operators.tokens import SHAPES
 from tracelake.plans import verification as PV
 from tracelake.sinks import exports
 from tracelake.sources import binaries, bodyfile, documents, sqlite_files, textlogs
@@ -123,5 +122,5 @@ def test_live_dedupe_and_scan(spark, event_stream):
     drain(live.live_last_per_source(event_stream), "live_last")
     assert spark.table("live_last").select("source").distinct().count() == 5
     texts = spark.readStream.schema(spark.read.parquet(f"{SF}/documents.parquet").schema).option("pathGlobFilter", "documents.parquet").parquet(SF)
-    drain(live.live_secret_scan(texts, "text", ["doc_id"], SHAPES), "live_scan")
+    drain(live.live_secret_scan(texts, "text", ["doc_id"]), "live_scan")
     assert spark.table("live_scan").filter("shown not like '%…%'").count() == 0

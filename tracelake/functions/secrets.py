@@ -14,6 +14,24 @@ PREFIXES = ("v10", "v20", "v11")
 TOKEN_RX = r"EAA[A-Za-z0-9_\-]{40,}"
 TOKEN_NOISE = "EAAAAAAQ"
 TOKEN_FIELDS = ("unseen_count_access_token", "access_token", "auth_token", "token")
+# Shape name to (text that must be present, pattern); the text is the cheap first test.
+SHAPES = {
+    "hex40": ("", r"\b[0-9a-f]{40}\b"),
+    "bearer": ("EAA", TOKEN_RX),
+    "oauth": ("ya29.", r"ya29\.[A-Za-z0-9_\-]{20,}"),
+    "email": ("@", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"),
+}
+
+
+def shape_hits(text: Column, shapes: dict[str, tuple[str, str]]) -> Column:
+    """Secret-looking strings as ``array<struct<shape, value>>``."""
+    def found(shape, marker, rx):
+        hits = F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(0)),
+                           lambda v: F.struct(F.lit(shape).alias("shape"), v.alias("value")))
+        none = F.array().cast("array<struct<shape:string,value:string>>")
+        return F.when(text.contains(marker), hits).otherwise(none)
+
+    return F.concat(*[found(shape, *rule) for shape, rule in shapes.items()])
 
 
 def mask(col: Column, head: int = 0, tail: int = 4) -> Column:

@@ -120,9 +120,12 @@ def hit_report(df: DataFrame, text: str, key: str, base: Column, needle: str, ex
                block_size: int, around: int = 64, reveal: bool = False) -> DataFrame:
     """Hits with redacted context and the file that owns their place in the image."""
     rows = df.filter(F.col(text).contains(needle))
-    hits = rows.select(key, text, base.alias("_base"), F.explode(_positions(needle)(F.col(text))).alias("at"))
-    shown = context(F.col(text), F.col("at"), around, needle, reveal)
-    placed = hits.select(key, (F.col("_base") + F.col("at")).alias("offset"), shown.alias("context"))
+    found = rows.select(key, text, base.alias("_base"), _positions(needle)(F.col(text)).alias("_at"))
+    # Contexts are cut before the hits become rows, so no text is repeated per hit.
+    shown = F.transform("_at", lambda at: F.struct(
+        at.alias("at"), context(F.col(text), at, around, needle, reveal).alias("context")))
+    hits = found.select(key, "_base", F.explode(shown).alias("h"))
+    placed = hits.select(key, (F.col("_base") + F.col("h.at")).alias("offset"), F.col("h.context").alias("context"))
     return owners_of_offsets(placed, extents, block_size).select(key, "offset", "context", "path", "file_offset")
 
 

@@ -6,18 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.jsons import json_find
-from tracelake.functions.secrets import TOKEN_RX, is_noise, mask_kind
+from tracelake.functions.secrets import SHAPES, TOKEN_RX, is_noise, mask_kind, shape_hits
 
 # Markers of OAuth2 grants and of another provider's keys.
 OAUTH2_RX, OTHER_RX = r":oauth2:", r":(\^\^[^:]+)"
 # Markers left behind in an application directory.
 LEFTOVER = ("SCOUT_TOKEN", "snapchat_token", "auth_token")
-SHAPES = {
-    "hex40": r"\b[0-9a-f]{40}\b",
-    "bearer": r"EAA[A-Za-z0-9_\-]{40,}",
-    "oauth": r"ya29\.[A-Za-z0-9_\-]{20,}",
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",
-}
 
 
 def access_tokens(docs: DataFrame, doc: str, keep: list[str]) -> DataFrame:
@@ -83,14 +77,9 @@ def marker_counts(df: DataFrame, text: str, key: str, markers: tuple[str, ...] =
     return df.select(key, F.explode(cells).alias("c")).select(key, "c.marker", "c.n").filter("n > 0")
 
 
-def shape_scan(df: DataFrame, text: str, keep: list[str], shapes: dict[str, str] = SHAPES, reveal: bool = False) -> DataFrame:
+def shape_scan(df: DataFrame, text: str, keep: list[str], shapes: dict = SHAPES, reveal: bool = False) -> DataFrame:
     """Secret-looking strings by shape, masked unless revealed."""
-    def found(shape, rx):
-        return F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(0)),
-                           lambda v: F.struct(F.lit(shape).alias("shape"), v.alias("value")))
-
-    hits = F.concat(*[found(shape, rx) for shape, rx in shapes.items()])
-    rows = df.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.shape", "h.value")
+    rows = df.select(*keep, F.explode(shape_hits(F.col(text), shapes)).alias("h")).select(*keep, "h.shape", "h.value")
     shown = F.col("value") if reveal else mask_kind(F.col("value"), "token")
     return rows.groupBy(*keep, "shape", shown.alias("shown")).agg(F.count("*").alias("hits"))
 
@@ -102,8 +91,8 @@ def leak_audit(texts: DataFrame, registry: DataFrame, text: str, artefact: str,
     distinct word is hashed and shuffled once per class however common it is; the
     registry has one row per digest. An empty registry fails instead of passing silently.
     """
-    words = F.array_distinct(F.split(text, r"[^A-Za-z0-9_@.+\-]+"))
-    tokens = texts.select(artefact, F.explode(F.filter(words, lambda w: F.length(w) >= shortest)).alias("word"))
+    runs = F.regexp_extract_all(text, F.lit(rf"[A-Za-z0-9_@.+\-]{{{shortest},}}"), F.lit(0))
+    tokens = texts.select(artefact, F.explode(F.array_distinct(runs)).alias("word"))
     counted = tokens.groupBy(artefact, "word").agg(F.count("*").alias("_n"))
     hits = (counted.withColumn("sha256", F.sha2("word", 256)).join(registry.select("sha256").distinct(), "sha256")
             .groupBy(artefact).agg(F.sum("_n").alias("leaks"), F.count("*").alias("secrets")))

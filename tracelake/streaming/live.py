@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.secrets import SHAPES, mask_kind, shape_hits
+
 
 def live_bursts(events: DataFrame, by: list[str], gap_seconds: int, late: str = "10 minutes") -> DataFrame:
     """Bursts per key; a silence of exactly the gap stays in the burst."""
@@ -25,14 +27,7 @@ def live_last_per_source(events: DataFrame, late: str = "10 minutes", slot: str
             .agg(newest).select("source", F.col("w.start").alias("slot"), "m.*"))
 
 
-def live_secret_scan(texts: DataFrame, text: str, keep: list[str], shapes: dict[str, str]) -> DataFrame:
+def live_secret_scan(texts: DataFrame, text: str, keep: list[str], shapes: dict = SHAPES) -> DataFrame:
     """Stateless: masked hits per micro-batch row."""
-    from tracelake.functions.secrets import mask_kind
-
-    def found(shape, rx):
-        return F.transform(F.regexp_extract_all(text, F.lit(rx), F.lit(0)),
-                           lambda v: F.struct(F.lit(shape).alias("shape"), v.alias("value")))
-
-    hits = F.concat(*[found(s, rx) for s, rx in shapes.items()])
-    return (texts.select(*keep, F.explode(hits).alias("h"))
+    return (texts.select(*keep, F.explode(shape_hits(F.col(text), shapes)).alias("h"))
             .select(*keep, "h.shape", mask_kind(F.col("h.value"), "token").alias("shown")))
