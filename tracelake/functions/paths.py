@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # File-type bits of a mode and the letters body files use.
 TYPE_LETTERS = {0o100000: "r", 0o040000: "d", 0o120000: "l", 0o140000: "s",
                 0o010000: "p", 0o060000: "b", 0o020000: "c"}
+SOCKET = 0o140000
 DIGEST_CHARS = 12
 STOP_DIRS = ("media", "misc", "system", "app", "cache", "data", "sdcard")
 
@@ -53,10 +54,9 @@ def mode_text(mode: Column) -> Column:
     """``d/drwxrwx---``: the type letter is repeated, a socket repeats as ``h``."""
     m = mode.cast("long")
     kind = m.bitwiseAND(0o170000)
-    letter = F.lit("-")
-    for bits, mark in TYPE_LETTERS.items():
-        letter = F.when(kind == bits, mark).otherwise(letter)
-    inner = F.when(letter == "s", "h").otherwise(letter)
+    letters = F.create_map(*[F.lit(x) for pair in TYPE_LETTERS.items() for x in pair])
+    letter = F.coalesce(F.try_element_at(letters, kind.cast("int")), F.lit("-"))
+    inner = F.when(kind == SOCKET, "h").otherwise(letter)
 
     def bit(mask, mark):
         return F.when(m.bitwiseAND(mask) != 0, mark).otherwise("-")
