@@ -9,8 +9,8 @@ and ``uv`` shares the chain of ``v`` as it was when ``uv`` was born. Transitions
 these tables and kept once computed.
 
 A path of the automaton spells exactly one token sequence per string, the one that merging in
-order gives. Encoding walks the bytes of a pre-split word and keeps the one live state for each
-prefix. Decoding emits the byte labels of the arcs.
+order gives. Encoding walks a pre-split word along the longest arcs first; a prefix from which no
+arc leads on is marked dead and the walk goes back one arc. Decoding emits the arcs' byte labels.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import hashlib
 import json
 import re
 import sys
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ from tracelake.llm.common import worker_table
 WORDS_KEPT = 400_000
 STEPS_KEPT = 600_000
 NEVER = 1 << 60
+LITTLE = sys.byteorder == "little"
 
 
 def byte_letters() -> dict[str, int]:
@@ -90,6 +92,13 @@ class Automaton(dict):
             for end in range(1, len(label)):
                 self.prefixes.setdefault(label[:end], -1)
             self.prefixes[label] = token
+        self.shorter: dict[int, int] = {}
+        for token in alive:
+            label = self.labels[token]
+            for end in range(len(label) - 1, 0, -1):
+                if self.prefixes.get(label[:end], -1) >= 0:
+                    self.shorter[token] = self.prefixes[label[:end]]
+                    break
         added = data.get("added_tokens", [])
         self.labels |= {t["id"]: t["content"].encode() for t in added}
         self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
@@ -122,29 +131,32 @@ class Automaton(dict):
 
     def __missing__(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass")
-        size, prefixes, steps = len(raw), self.prefixes, self.steps
-        last, since = [-1] * (size + 1), [0] * (size + 1)
-        for start in range(size):
-            before = last[start]
-            for end in range(start + 1, size + 1):
-                token = prefixes.get(raw[start:end])
-                if token is None:
+        size, steps, labels = len(raw), self.steps, self.labels
+        path: list[int] = []
+        at, dead = 0, set()
+        token = self._longest(raw, 0) if size else None
+        while token is not None:
+            end = at + len(labels[token])
+            goes = end not in dead
+            if goes and path:
+                key = path[-1] << 20 | token
+                goes = steps.get(key)
+                if goes is None:
+                    goes = steps[key] = self._accepts(path[-1], token)
+            if goes:
+                path.append(token)
+                at = end
+                if end == size:
                     break
-                if token < 0 or last[end] >= 0:
-                    continue
-                if start:
-                    key = before << 20 | token
-                    goes = steps.get(key)
-                    if goes is None:
-                        goes = steps[key] = self._accepts(before, token)
-                    if not goes:
-                        continue
-                last[end], since[end] = token, start
-        out, end = [], size
-        while end:
-            out.append(last[end].to_bytes(4, "little"))
-            end = since[end]
-        packed = b"".join(reversed(out))
+                token = self._longest(raw, end)
+                continue
+            token = self.shorter.get(token)
+            while token is None:  # no arc leads on from here, so the last arc was wrong
+                dead.add(at)
+                token = path.pop()
+                at -= len(labels[token])
+                token = self.shorter.get(token)
+        packed = array("I", path).tobytes() if LITTLE else b"".join(t.to_bytes(4, "little") for t in path)
         if len(self) >= WORDS_KEPT:
             self.clear()
         if len(steps) >= STEPS_KEPT:
@@ -153,6 +165,17 @@ class Automaton(dict):
             self[word] = packed
         return packed
 
+    def _longest(self, raw: bytes, start: int) -> int:
+        """The longest token that begins at ``start``."""
+        prefixes, found = self.prefixes, -1
+        for end in range(start + 1, len(raw) + 1):
+            token = prefixes.get(raw[start:end])
+            if token is None:
+                break
+            if token >= 0:
+                found = token
+        return found
+
     def _plain(self, text: str) -> bytes:
         if text.isascii():
             words = self.split_ascii(text)
@@ -171,7 +194,7 @@ class Automaton(dict):
     def decode(self, packed: bytes) -> str:
         """Text of packed ids; bytes that are no UTF-8 become replacement characters."""
         ids = memoryview(packed).cast("I")
-        if sys.byteorder == "big":
+        if not LITTLE:
             ids = [int.from_bytes(packed[i:i + 4], "little") for i in range(0, len(packed), 4)]
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
