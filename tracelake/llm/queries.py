@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, packing
+from tracelake.llm import bpe, html_text, packing, quality
 from tracelake.llm.common import read
 from tracelake.session import prepare
 
@@ -20,6 +20,16 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str, fold: int = 2) -> DataFrame:
+    """Quality score of every document; learned from labels outside the held-out fold only."""
+    spark = prepare(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), fold=fold)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == fold, F.lit(False))
+    return quality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Token count and digests of the ids and of the decoded text of every document."""
     spark = prepare(spark)
@@ -35,8 +45,16 @@ def op8_packing(spark: SparkSession, sf_dir: str, path: str | None = None, width
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), path or vocabulary(), width)
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read(prepare(spark), sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op8_packing": op8_packing,
+    "op9_html": op9_html,
 }
 ORACLES: dict[str, str] = {}
