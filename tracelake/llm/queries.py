@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, html_text, packing, quality
+from tracelake.llm import bpe, html_text, packing, quality, topk
 from tracelake.llm.common import read
 from tracelake.session import prepare
 
@@ -20,6 +20,11 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str, k: int = 20, every: int = 20) -> DataFrame:
+    """The best inner products of every 20th vector with all others, exactly."""
+    return topk.top_k(read(prepare(spark), sf_dir, "embeddings").select("vec_id", "embedding"), k, every)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str, fold: int = 2) -> DataFrame:
     """Quality score of every document; learned from labels outside the held-out fold only."""
     spark = prepare(spark)
@@ -52,6 +57,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_topk": op3_topk,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op8_packing": op8_packing,
