@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, html_text, packing, quality, topk
+from tracelake.llm import bpe, html_text, packing, quality, topk, tree_index
 from tracelake.llm.common import read
 from tracelake.session import prepare
 
@@ -44,6 +44,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
                         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str, k: int = 10, every: int = 100) -> DataFrame:
+    """The nearest vectors found for every 100th vector."""
+    return tree_index.search(read(prepare(spark), sf_dir, "embeddings").select("vec_id", "embedding"), k, every)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str, path: str | None = None, width: int = 1024) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most ``width`` tokens."""
     spark = prepare(spark)
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
+    "op7_ann": op7_ann,
     "op8_packing": op8_packing,
     "op9_html": op9_html,
 }
