@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, html_text, packing, quality, topk, tree_index
+from tracelake.llm import bpe, html_text, packing, quality, surrogates, topk, tree_index
 from tracelake.llm.common import read
 from tracelake.session import prepare
 
@@ -44,6 +44,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
                         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str, key: str = "surrogate-key") -> DataFrame:
+    """Every document with surrogates for personal data, and what was replaced."""
+    docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, key).select("doc_id", "text", F.col("n_entities").cast("long").alias("n_entities"), "kinds")
+
+
 def op7_ann(spark: SparkSession, sf_dir: str, k: int = 10, every: int = 100) -> DataFrame:
     """The nearest vectors found for every 100th vector."""
     return tree_index.search(read(prepare(spark), sf_dir, "embeddings").select("vec_id", "embedding"), k, every)
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
+    "op6_surrogates": op6_surrogates,
     "op7_ann": op7_ann,
     "op8_packing": op8_packing,
     "op9_html": op9_html,
