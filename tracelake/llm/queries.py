@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, html_text, packing, quality, surrogates, topk, tree_index
+from tracelake.llm import bpe, html_text, ngram_join, packing, quality, surrogates, topk, tree_index
 from tracelake.llm.common import read
 from tracelake.session import prepare
 
@@ -20,6 +20,12 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of 5-word shingles and the component of its near duplicates."""
+    docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.link(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str, k: int = 20, every: int = 20) -> DataFrame:
     """The best inner products of every 20th vector with all others, exactly."""
     return topk.top_k(read(prepare(spark), sf_dir, "embeddings").select("vec_id", "embedding"), k, every)
@@ -68,6 +74,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_topk": op3_topk,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
