@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, html_text, ngram_join, packing, quality, surrogates, topk, tree_index
+from tracelake.llm import bpe, html_text, ngram_join, packing, quality, suffix_dedup, surrogates, topk, tree_index
 from tracelake.llm.common import read
 from tracelake.session import prepare
 
@@ -73,6 +73,13 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings of 400 bytes."""
+    docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                                           F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_topk": op3_topk,
@@ -82,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ann": op7_ann,
     "op8_packing": op8_packing,
     "op9_html": op9_html,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
