@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, html_text, ngram_join, packing, quality, suffix_dedup, surrogates, topk, tree_index
+from tracelake.llm import bpe, html_text, ngram_join, packing, passages, quality, suffix_dedup, surrogates, topk, tree_index
 from tracelake.llm.common import read
 from tracelake.session import prepare
 
@@ -20,6 +20,13 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of at least 50 words that repeats an earlier one, with the one that is kept."""
+    docs = passages.identified(read(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
+    return passages.find(docs).select(
+        "doc_id", "first_word", "n_words", "kept_doc_id", "kept_first_word", "kept_words", "similarity")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's set of 5-word shingles and the component of its near duplicates."""
     docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
@@ -81,6 +88,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_passages": op1_passages,
     "op2_ngram_join": op2_ngram_join,
     "op3_topk": op3_topk,
     "op4_quality": op4_quality,
