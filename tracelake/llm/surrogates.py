@@ -205,19 +205,20 @@ def replace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     clean = docs.where(~hit).withColumns({"n_entities": F.lit(0), "kinds": F.array().cast("array<string>")})
     dirty = docs.where(hit)
     table = surrogate_table(entities(dirty, text), key)
-    pieces = dirty.select(F.monotonically_increasing_id().alias("__row"), F.struct(*own).alias("__own"),
+    # Other columns travel with the first piece of their row, under names that can't clash.
+    others = {c: f"__own{i}" for i, c in enumerate(own) if c != text}
+    pieces = dirty.select(F.monotonically_increasing_id().alias("__row"), *(F.col(f"`{c}`").alias(n) for c, n in others.items()),
                           F.split(text, PATTERN, -1).alias("__parts"), F.regexp_extract_all(text, F.lit(PATTERN), 0).alias("__found"))
     zipped = F.transform("__parts", lambda p, i: F.struct(p.alias("part"), F.get("__found", i).alias("match")))
-    rows = pieces.select("__row", F.col("__own").dropFields(text).alias("__own") if len(own) > 1 else F.lit(None).alias("__own"),
-                         F.posexplode(zipped).alias("__at", "__piece"))
-    rows = rows.select("__row", "__at", F.when(F.col("__at") == 0, F.col("__own")).alias("__own"), "__piece.part", "__piece.match")
+    rows = pieces.select("__row", *others.values(), F.posexplode(zipped).alias("__at", "__piece"))
+    rows = rows.select("__row", "__at", *(F.when(F.col("__at") == 0, F.col(n)).alias(n) for n in others.values()), "__piece.part", "__piece.match")
     named = _described(rows).join(table, ["kind", "normal"], "left")
     new = F.coalesce(dressed(F.col("kind"), F.col("match"), F.col("value"), F.col("made")), F.lit(""))
     piece = F.struct("__at", F.concat("part", F.when(F.col("match").isNull(), "").otherwise(new)).alias("text"))
     whole = named.groupBy("__row").agg(
-        F.first("__own", ignorenulls=True).alias("__own"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]), "").alias(text),
+        *(F.first(n, ignorenulls=True).alias(n) for n in others.values()),
+        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]), "").alias("__text"),
         (F.count("match")).cast("int").alias("n_entities"),
         F.array_sort(F.collect_set(F.when(F.col("match").isNotNull(), F.col("kind")))).alias("kinds"))
-    back = [F.col(text) if c == text else F.col(f"__own.`{c}`").alias(c) for c in own]
+    back = [F.col("__text").alias(c) if c == text else F.col(others[c]).alias(c) for c in own]
     return whole.select(*back, "n_entities", "kinds").unionByName(clean)
