@@ -20,7 +20,7 @@ HEADLINE = (
     "j20_first_divergence", "j21_recoverability", "w11_free_runs", "w13_extent_holes", "w15_systematic_sample",
     "x1_literal_search", "x3_hit_report", "x4_signature_scan", "x8_shape_scan", "x10_content_copies",
     "p31_text_strings", "p41_to_ascii", "s4_prefs_rows", "s7_block_rows", "s8_crash_history", "s2_read_body",
-    "f8_token_noise", "w14_drop_nested", "x5_carve", "v2_check_results",
+    "f8_token_noise", "w14_drop_nested", "v2_check_results",
 )
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import blobs, jsons, paths, rules, secrets, textfold, times, urls
-from tracelake.operators import bursts, carving, compare, joins, messages, ordered, ranges, scan
+from tracelake.operators import bursts, compare, hits, joins, messages, ordered, ranges, scan
 
 
 def values(spark, rows, column, schema="v string"):
@@ -141,7 +141,7 @@ def test_nested_hits_against_brute_force(spark, width):
                 expected.append((run, at, kind))
                 reach = reach if cut else at + length
     df = spark.createDataFrame(rows, "run int, offset long, kind string, length long, truncated boolean")
-    assert sorted((r.run, r.offset, r.kind) for r in carving.drop_nested(df, ["run"], width).collect()) == sorted(expected)
+    assert sorted((r.run, r.offset, r.kind) for r in hits.drop_nested(df, ["run"], width).collect()) == sorted(expected)
 
 
 @pytest.mark.parametrize("size", [3, 5, 64])
@@ -181,27 +181,6 @@ def zip_bytes():
     return out.getvalue()
 
 
-def test_carving_real_objects(spark):
-    packed = gz(bytes(range(256)) * 40)
-    objects = {1: PNG, 2: zip_bytes(), 3: packed, 4: b"%PDF-1.4 text %%EOF", 5: png(480)[:512], 6: b"\x89PNG\r\n\x1a\nnonsense!",
-               7: b"GIF89a" + struct.pack(">HH", 5, 5) + b"data", 8: b"\x7fELF\x02\x01" + bytes(12) + b"\xb7\x00"}
-    rows, size = [], 512
-    for run, blob in objects.items():
-        padded = blob + b"\x01" * (-len(blob) % size)
-        count = len(padded) // size
-        rows += [(run, run * 10000 + i, run * 10000 + count - 1, padded[i * size:(i + 1) * size]) for i in range(count)]
-    blocks = spark.createDataFrame(rows, "run long, block long, run_last long, data binary")
-    got = {(r.run, r.kind): (r.length, r.truncated, r.state) for r in carving.carve(blocks, ["run"], size).collect() if r.offset == r.run * 10000 * size}
-    assert got[(1, "png")] == (len(PNG), False, "object")
-    assert got[(2, "zip")] == (len(objects[2]), False, "object")
-    assert got[(3, "gzip")] == (len(packed), False, "object")
-    assert got[(4, "pdf")] == (19, False, "object")
-    assert got[(5, "png")] == (512, True, "object")
-    assert got[(6, "png")][2] == "rejected"
-    assert got[(7, "gif")] == (512, True, "object")
-    assert got[(8, "elf")] == (64, False, "object")
-
-
 def test_row_relation(spark):
     df = spark.createDataFrame([(["a", "b"], ["a", "b"]), (["a"], ["a", "n"]), (["x"], ["a", "n"]), (["a", None], ["a", None]), (["a", "q"], ["a", "b"])],
                                "a array<string>, b array<string>")
@@ -228,3 +207,48 @@ def test_first_key_wins_in_store_order(spark):
                                  "store string, store_rank int, row_id long, ssid string, psk string, bssid string, account string")
     got = joins.merge_credentials(rows).collect()[0]
     assert (got.psk, got.sources, got.access_points, got.account, got.has_both) == ("early", "conf,db", 1, "y", True)
+
+
+def two_devices(spark):
+    """The same inode, offsets and blocks on two devices, with different owners."""
+    extents = spark.createDataFrame([("a", "/a", 1, 5, 100, 0, 10), ("b", "/b", 1, 5, 100, 0, 4), ("b", "/c", 2, 6, 104, 0, 4)],
+                                    "device string, path string, rank int, inode long, physical long, logical long, count long")
+    asked = spark.createDataFrame([("a", 1, 105 * 4096 + 7), ("b", 1, 105 * 4096 + 7), ("b", 2, 10 ** 15)], "device string, id int, offset long")
+    return extents, asked
+
+
+def test_owners_stay_on_their_device(spark):
+    extents, asked = two_devices(spark)
+    got = {(r.device, r.id): (r.path, r.file_offset, r.owners) for r in ranges.offset_owner(asked, extents, 4096, ["device"]).collect()}
+    assert got == {("a", 1): ("/a", 5 * 4096 + 7, 1), ("b", 1): ("/c", 4096 + 7, 1), ("b", 2): (None, None, 0)}
+    q = spark.createDataFrame([("a", 5, 4096), ("b", 5, 4096), ("b", 5, 5 * 4096)], "device string, inode long, file_offset long")
+    assert sorted((r.device, r.file_offset, r.image_offset) for r in ranges.image_offsets(q, extents, 4096, ["device"]).collect()) == [
+        ("a", 4096, 101 * 4096), ("b", 4096, 101 * 4096), ("b", 5 * 4096, None)]
+
+
+def test_recovery_and_metadata_stay_on_their_device(spark):
+    extents, _ = two_devices(spark)
+    runs = spark.createDataFrame([("a", 100, 10), ("b", 200, 10)], "device string, first long, count long")
+    items = spark.createDataFrame([("a", 5), ("b", 5)], "device string, inode long")
+    got = {r.device: r.verdict for r in ranges.recoverability(items, extents, runs, "inode", ["device"]).collect()}
+    assert got == {"a": "all free", "b": "all reused"}
+    free = spark.createDataFrame([("a", 109), ("b", 109), ("b", 209)], "device string, block long")
+    assert [tuple(r) for r in ranges.metadata_overlap(free, runs, ["device"]).orderBy("device").collect()] == [("a", 1, 1, 0), ("b", 1, 1, 0)]
+
+
+def test_dense_chunk_has_no_all_pairs(spark):
+    left = spark.range(500).selectExpr("id AS k", "id * 2 AS first", "1L AS count")
+    right = spark.range(500).selectExpr("id * 2 AS first", "1L AS count")
+    got = ranges.overlap_blocks(left, right, ["k"])
+    assert got.count() == 500 and got.agg(F.sum("blocks")).first()[0] == 500
+
+
+def test_one_file_per_name_meets_a_dump(spark):
+    files = spark.createDataFrame([("a", "cache.db", 10), ("a", "cache.db", 30), ("b", "cache.db", 20)], "device string, name string, mtime long")
+    dumps = spark.createDataFrame([("a", "cache.db", "p"), ("b", "cache.db", "q")], "device string, name string, process string")
+    got = sorted(map(tuple, joins.crashes_in_window(files, dumps, ["device"]).collect()))
+    assert [(d, n, u[17:19], p) for d, n, u, p in got] == [("a", "cache.db", "30", "p"), ("b", "cache.db", "20", "q")]
+
+
+def test_webkit_stamp_just_below_a_second(spark):
+    assert values(spark, [13350000000999999], times.webkit_unix(F.col("v")), "v long") == [13350000000 - 11644473600]

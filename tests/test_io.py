@@ -1,14 +1,12 @@
 """Files on disk: exports read back, database files, body files, streams."""
 
-import json
-import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake.plans import verification as PV
 from tracelake.sinks import exports
-from tracelake.sources import binaries, bodyfile, documents, sqlite_files, textlogs
+from tracelake.sources import binaries, bodyfile, documents, textlogs
 from tracelake.streaming import live
 from tracelake.verify import checks, report
 
@@ -42,24 +40,6 @@ def test_findings_keep_earlier_runs(spark, tmp_path):
     assert {r.run_id: r["count"] for r in spark.read.parquet(path).groupBy("run_id").count().collect()} == {"a": 1, "b": 2}
 
 
-def test_sqlite_source(spark, tmp_path):
-    for i, name in enumerate(["a.db", "odd #%?.db"]):
-        conn = sqlite3.connect(tmp_path / name)
-        conn.execute("create table t(k text, v blob)")
-        conn.executemany("insert into t values (?, ?)", [(f"k{j}", b"\x01") for j in range(i + 2)])
-        conn.commit()
-        conn.close()
-    (tmp_path / "broken.db").write_bytes(b"not a database at all, but long enough to be read as one")
-    sqlite_files.register(spark)
-    source = spark.read.format("sqlite_files").option("path", str(tmp_path / "*.db"))
-    rows = source.option("table", "t").load()
-    good = rows.filter("status = 'PRESENT'").collect()
-    assert len(good) == 5 and json.loads(good[0].row) == {"k": "k0", "v": "01"}
-    assert rows.filter(F.col("file") == str(tmp_path / "odd #%?.db")).count() == 3
-    status = {(r.file.rsplit("/", 1)[-1], r.status): r.number for r in spark.read.format("sqlite_files").option("path", str(tmp_path / "*.db")).load().collect()}
-    assert status == {("a.db", "PRESENT"): 2, ("odd #%?.db", "PRESENT"): 3, ("broken.db", "UNREADABLE"): None}
-
-
 def test_binary_manifest(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     read = binaries.read_binaries(spark, str(tmp_path), "*.bin")

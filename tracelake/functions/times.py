@@ -73,7 +73,8 @@ def epoch_auto(col: Column) -> Column:
 
 def webkit_unix(col: Column) -> Column:
     """Microseconds since 1601 to Unix seconds."""
-    return F.floor(col / 1_000_000).cast("long") - WEBKIT_DELTA
+    whole = col.cast("long")
+    return F.call_function("div", whole - F.pmod(whole, F.lit(1_000_000)), F.lit(1_000_000)) - WEBKIT_DELTA
 
 
 def webkit_time(col: Column) -> Column:

@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 from tracelake.functions.times import utc_text
 
 
-def crashes_in_window(files: DataFrame, dumps: DataFrame) -> DataFrame:
-    """Dumps whose file was written inside the window, matched on the base name."""
-    return files.join(dumps, "name").select("name", utc_text(F.col("mtime")).alias("utc"), "process")
+def crashes_in_window(files: DataFrame, dumps: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Dumps whose file was written inside the window, matched on the base name.
+
+    Of several files with one name (per ``by``, a device, say) the one written last counts, so a
+    dump meets at most one file.
+    """
+    keys = [*by, "name"]
+    latest = files.groupBy(*keys).agg(F.max("mtime").alias("mtime"))
+    return latest.join(dumps, keys).select(*keys, utc_text(F.col("mtime")).alias("utc"), "process")
 
 
 def install_state(installed: DataFrame, directories: DataFrame, used: DataFrame, key: str) -> DataFrame:

@@ -16,7 +16,9 @@ WIDTH = 65536
 
 
 def _floor_div(col: Column, width: int) -> Column:
-    return F.floor(col / width).cast("long")
+    """Exact floor of whole numbers; a division of doubles is off by one near large multiples."""
+    whole = col.cast("long")
+    return F.call_function("div", whole - F.pmod(whole, F.lit(width)), F.lit(width))
 
 
 def chunked(df: DataFrame, first: str, count: str, width: int = CHUNK, name: str = "_chunk") -> DataFrame:
@@ -31,39 +33,48 @@ def blocks_of(df: DataFrame, first: str, count: str, keep: list[str] = ()) -> Da
         *keep, F.explode(F.sequence(F.col(first), F.col(first) + F.col(count) - 1)).alias("block"))
 
 
-def owners_of_offsets(offsets: DataFrame, extents: DataFrame, block_size: int) -> DataFrame:
+def owners_of_offsets(offsets: DataFrame, extents: DataFrame, block_size: int, by: list[str] = ()) -> DataFrame:
     """Byte offsets to every owner of their block; offsets nobody owns stay with a null path.
 
     ``extents`` carry path, rank (index order), physical, logical, count. The file
     offset always comes from the first mapping of the block, as competing owners
-    share it; ``position`` 1 is that first owner.
+    share it; ``position`` 1 is that first owner. Columns ``by`` (a device, say) are
+    in both tables; only equal ones meet.
     """
     asked = (offsets.withColumn("block", _floor_div(F.col("offset"), block_size))
              .withColumn("_chunk", _floor_div(F.col("block"), CHUNK)))
     hit = ((F.col("block") >= F.col("physical")) & (F.col("block") < F.col("physical") + F.col("count")))
-    mapped = chunked(extents, "physical", "count").withColumnRenamed("_chunk", "_c")
-    found = asked.join(mapped, (asked["_chunk"] == mapped["_c"]) & hit, "left")
+    # Only chunks that are asked for bring their extents to the join.
+    wanted = asked.select(*by, F.col("_chunk").alias("_c")).distinct()
+    mapped = chunked(extents, "physical", "count").withColumnRenamed("_chunk", "_c").join(wanted, [*by, "_c"], "left_semi")
+    mapped = mapped.withColumnsRenamed({k: f"_by_{k}" for k in by})
+    met = (asked["_chunk"] == mapped["_c"]) & hit
+    for k in by:
+        met &= asked[k] == mapped[f"_by_{k}"]
+    found = asked.join(mapped, met, "left")
     inside = ((F.col("logical") + F.col("block") - F.col("physical")) * block_size
               + F.pmod(F.col("offset"), F.lit(block_size)))
     return found.select(*offsets.columns, "block", "path", "rank", inside.alias("file_offset"))
 
 
-def offset_owner(offsets: DataFrame, extents: DataFrame, block_size: int) -> DataFrame:
+def offset_owner(offsets: DataFrame, extents: DataFrame, block_size: int, by: list[str] = ()) -> DataFrame:
     """One row per offset: first owner, offset inside it, and how many owners compete."""
-    found = owners_of_offsets(offsets, extents, block_size)
+    found = owners_of_offsets(offsets, extents, block_size, by)
     first = F.min(F.when(F.col("path").isNotNull(), F.struct("rank", "path", "file_offset")))
     return (found.groupBy(*offsets.columns, "block").agg(first.alias("f"), F.count("path").alias("owners"))
             .select(*offsets.columns, "block", F.col("f.path").alias("path"),
                     F.col("f.file_offset").alias("file_offset"), "owners"))
 
 
-def image_offsets(asked: DataFrame, extents: DataFrame, block_size: int) -> DataFrame:
-    """File offsets to image offsets; an offset in a hole stays with null."""
+def image_offsets(asked: DataFrame, extents: DataFrame, block_size: int, by: list[str] = ()) -> DataFrame:
+    """File offsets to image offsets; an offset in a hole stays with null. ``by`` as in ``owners_of_offsets``."""
     a = (asked.withColumn("_block", _floor_div(F.col("file_offset"), block_size))
          .withColumn("_chunk", _floor_div(F.col("_block"), CHUNK)).alias("a"))
-    e = chunked(extents.select("inode", "logical", "physical", "count"), "logical", "count").alias("e")
+    e = chunked(extents.select(*by, "inode", "logical", "physical", "count"), "logical", "count").alias("e")
     hit = ((F.col("a.inode") == F.col("e.inode")) & (F.col("a._chunk") == F.col("e._chunk"))
            & (F.col("_block") >= F.col("logical")) & (F.col("_block") < F.col("logical") + F.col("count")))
+    for k in by:
+        hit &= F.col(f"a.{k}") == F.col(f"e.{k}")
     image = ((F.col("physical") + F.col("_block") - F.col("logical")) * block_size
              + F.pmod(F.col("file_offset"), F.lit(block_size)))
     return a.join(e, hit, "left").select(*[F.col(f"a.{c}") for c in asked.columns], image.alias("image_offset"))
@@ -169,34 +180,41 @@ def stride_sample(ids: DataFrame, by: list[str], column: str, limit: int) -> Dat
             .drop("_total"))
 
 
-def overlap_blocks(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks of each left interval that lie in the disjoint right intervals.
+def overlap_blocks(left: DataFrame, right: DataFrame, keys: list[str], by: list[str] = ()) -> DataFrame:
+    """Blocks of each left interval that lie in the disjoint right intervals of the same ``by``.
 
-    ``right`` intervals must not overlap one another (free runs never do).
+    ``right`` intervals must not overlap one another (free runs never do). Only intervals that
+    do overlap leave the join.
     """
     a, b = chunked(left, "first", "count").alias("a"), chunked(right, "first", "count").alias("b")
     low = F.greatest(F.col("a.first"), F.col("b.first"), F.col("a._chunk") * CHUNK)
     high = F.least(F.col("a.first") + F.col("a.count"), F.col("b.first") + F.col("b.count"), (F.col("a._chunk") + 1) * CHUNK)
-    joined = a.join(b, F.col("a._chunk") == F.col("b._chunk"))
+    met = ((F.col("a._chunk") == F.col("b._chunk")) & (F.col("a.first") < F.col("b.first") + F.col("b.count"))
+           & (F.col("b.first") < F.col("a.first") + F.col("a.count")))
+    for k in by:
+        met &= F.col(f"a.{k}") == F.col(f"b.{k}")
+    joined = a.join(b, met)
     return joined.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(F.sum(F.greatest(high - low, F.lit(0))).alias("blocks"))
 
 
-def recoverability(items: DataFrame, extents: DataFrame, free_runs: DataFrame, key: str) -> DataFrame:
-    """Whether a deleted item's former blocks are still unclaimed, per item."""
-    e = extents.select(key, F.col("physical").alias("first"), "count")
-    owned = e.groupBy(key).agg(F.sum("count").alias("blocks"))
-    free = overlap_blocks(e, free_runs, [key]).withColumnRenamed("blocks", "free")
-    joined = items.select(key).join(owned, key, "left").join(free, key, "left").select(
-        key, F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("free", F.lit(0)).alias("free"))
+def recoverability(items: DataFrame, extents: DataFrame, free_runs: DataFrame, key: str, by: list[str] = ()) -> DataFrame:
+    """Whether a deleted item's former blocks are still unclaimed, per item (and device, if ``by`` names it)."""
+    keys = [*by, key]
+    e = extents.select(*keys, F.col("physical").alias("first"), "count")
+    owned = e.groupBy(*keys).agg(F.sum("count").alias("blocks"))
+    free = overlap_blocks(e, free_runs, keys, by).withColumnRenamed("blocks", "free")
+    joined = items.select(*keys).join(owned, keys, "left").join(free, keys, "left").select(
+        *keys, F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("free", F.lit(0)).alias("free"))
     verdict = (F.when(F.col("blocks") == 0, "no blocks").when(F.col("free") == F.col("blocks"), "all free")
                .when(F.col("free") == 0, "all reused").otherwise("mixed"))
     return joined.withColumn("verdict", verdict)
 
 
-def metadata_overlap(free_blocks: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Unallocated blocks that are also metadata, split into extent ends and interior (one row)."""
-    meta = blocks_of(metadata, "first", "count").distinct()
-    ends = metadata.select((F.col("first") + F.col("count") - 1).alias("block")).distinct().withColumn("end", F.lit(True))
-    both = free_blocks.select("block").distinct().join(meta, "block", "left_semi").join(ends, "block", "left")
-    return both.agg(F.count("*").alias("overlap"), F.count("end").alias("at_extent_end")).withColumn(
+def metadata_overlap(free_blocks: DataFrame, metadata: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Unallocated blocks that are also metadata, split into extent ends and interior (one row per ``by``)."""
+    meta = blocks_of(metadata, "first", "count", by).distinct()
+    ends = metadata.select(*by, (F.col("first") + F.col("count") - 1).alias("block")).distinct().withColumn("end", F.lit(True))
+    keys = [*by, "block"]
+    both = free_blocks.select(*keys).distinct().join(meta, keys, "left_semi").join(ends, keys, "left")
+    return both.groupBy(*by).agg(F.count("*").alias("overlap"), F.count("end").alias("at_extent_end")).withColumn(
         "interior", F.col("overlap") - F.col("at_extent_end"))

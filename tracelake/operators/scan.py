@@ -145,50 +145,6 @@ def signature_hits(blocks: DataFrame, keep: list[str], data: str = "data") -> Da
     return hits.select(*keep, "h.kind", "h.start", grades[F.col("h.kind")].alias("grade"))
 
 
-def entry_scan(pages: DataFrame, keep: list[str], max_inode: int, data: str = "data") -> DataFrame:
-    """Directory entries in pages: a printable name after a plausible 8-byte header.
-
-    Entries on the record chain are trusted; names seen only by the window test
-    are kept with lower trust, and rejected positions are reported as such.
-    """
-    run = re.compile(rb"[\x20-\x7e]+")
-
-    def header(page, at):
-        return (int.from_bytes(page[at:at + 4], "little"), int.from_bytes(page[at + 4:at + 6], "little"), page[at + 6], page[at + 7])
-
-    def entry(page, at, source):
-        inode, _, length, kind = header(page, at)
-        name = page[at + 8:at + 8 + length].decode("latin-1")
-        return {"offset": at, "inode": inode, "kind": kind, "name": name, "source": source}
-
-    def scan(page):
-        found, chain, at = [], set(), 0
-        while at + 8 <= len(page):
-            inode, step, length, _ = header(page, at)
-            if step < 8 or at + step > len(page):
-                break
-            if length:
-                chain.add(at)
-                found.append(entry(page, at, "chain"))
-            at += step
-        for match in run.finditer(page):
-            at = match.start() - 8
-            if at < 0 or at in chain:
-                continue
-            inode, step, length, _ = header(page, at)
-            fits = (inode <= max_inode and 8 <= step <= len(page) - at and 1 <= length <= step - 8
-                    and match.end() - match.start() >= length)
-            found.append(entry(page, at, "window") if fits else {
-                "offset": at, "inode": None, "kind": None, "name": None, "source": "rejected"})
-        return found
-
-    @F.pandas_udf("array<struct<offset:int,inode:bigint,kind:int,name:string,source:string>>")
-    def entries(values: pd.Series) -> pd.Series:
-        return values.map(lambda page: scan(bytes(page)))
-
-    return pages.select(*keep, F.explode(entries(F.col(data))).alias("e")).select(*keep, "e.*")
-
-
 def name_summary(entries: DataFrame, k: int = 10) -> DataFrame:
     """Recovered names by kind, with the implausible kinds (outside 0 to 8) counted."""
     return entries.groupBy("kind").agg(

@@ -1,11 +1,11 @@
-"""Registered queries: text search, signatures, carving and recovered names."""
+"""Registered queries: text search, signatures, scan budgets and recovered names."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tracelake.functions import blobs as BL
-from tracelake.operators import carving as C
+from tracelake.operators import hits as C
 from tracelake.operators import scan as S
 from tracelake.plans.blocks import SQL_INDEX, index
 from tracelake.plans.standins import BLOCK, blobs, cte, table
@@ -105,18 +105,7 @@ def signature_scan(spark, sf):
     return S.signature_hits(image_blocks(spark, sf), ["run", "block"])
 
 
-@query("x5_carve", "X5")
-def carve(spark, sf):
-    return C.carve(image_blocks(spark, sf), ["run"], SPACE)
-
-
-@query("x5_carve_summary", "X5")
-def carve_summary(spark, sf):
-    found = C.carve(image_blocks(spark, sf), ["run"], SPACE)
-    return C.run_job_summary(found.withColumn("volume", F.lit(0)), ["volume"])
-
-
-@query("x5_budget", "X5", budget=40, oracle="""
+@query("x5_budget", "W14", budget=40, oracle="""
   WITH r AS (SELECT doc_id % 20 AS volume, doc_id AS first, n_chars // 500 + 1 AS count FROM documents),
   u AS (SELECT *, coalesce(sum(count) OVER (PARTITION BY volume ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM r)
   SELECT volume, first, count, CAST(greatest(0, least(count, 40 - used)) AS BIGINT) AS take, greatest(0, least(count, 40 - used)) = count AS complete FROM u""")
@@ -143,34 +132,6 @@ def drop_nested(spark, sf):
     return C.drop_nested(overlapping_hits(spark, sf), ["run"], 4096)
 
 
-def directory_pages(spark, sf):
-    """Directory pages from orders: a live entry, a deleted one in its slack, and noise."""
-    n = F.col("o_orderkey")
-    little = lambda col, width: F.substring(F.unhex(F.concat(
-        *[F.substring(F.lpad(F.hex(col.cast("long")), 16, "0"), 15 - 2 * i, 2) for i in range(width)])), 1, width)
-    name = F.concat(F.lit("file"), n.cast("string"))
-    old = F.concat(F.lit("gone"), (n % 1000).cast("string"))
-    entry = lambda inode, step, label, kind: F.concat(
-        little(inode, 4), little(step, 2), little(F.length(label), 1), F.unhex(F.lit(kind)), F.encode(label, "UTF-8"))
-    pad = lambda part, size: F.concat(part, F.unhex(F.repeat(F.lit("00"), (size - F.octet_length(part)).cast("int"))))
-    live, dead = pad(entry(n + 11, F.lit(128), name, "01"), 64), pad(entry(n + 900, F.lit(32), old, "02"), 64)
-    page = F.concat(live, dead, pad(F.encode(F.concat(F.lit("\x01\x02noise"), "o_orderpriority"), "UTF-8"), 128))
-    return table(spark, sf, "orders").select(n.alias("page"), page.alias("data"))
-
-
-@query("x6_entry_scan", "X6", oracle="""
-  SELECT o_orderkey AS page, CAST(0 AS INTEGER) AS "offset", o_orderkey + 11 AS inode, 1 AS kind, 'file' || o_orderkey AS name, 'chain' AS source FROM orders
-  UNION ALL SELECT o_orderkey, 64, o_orderkey + 900, 2, 'gone' || (o_orderkey % 1000), 'window' FROM orders""")
-def entry_scan(spark, sf):
-    return S.entry_scan(directory_pages(spark, sf), ["page"], 10_000_000).filter("source <> 'rejected'")
-
-
-@query("x6_scan_summary", "X6")
-def scan_summary(spark, sf):
-    found = S.entry_scan(directory_pages(spark, sf), ["page"], 10_000_000)
-    return found.groupBy("source").agg(F.count("*").alias("positions"), F.countDistinct("page").alias("pages"))
-
-
 @query("a26_name_summary", "A26", oracle="""
   SELECT l_linenumber * 2 - 1 AS kind, count(*) AS names, count(DISTINCT l_suppkey) AS directories, count(*) FILTER (l_linenumber * 2 - 1 > 8) AS implausible FROM lineitem GROUP BY 1""")
 def name_summary(spark, sf):

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import sqlite3
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tracelake.plans.standins import blobs, cte, inventory, table, timeline
@@ -13,7 +10,6 @@ from tracelake.registry import query
 from tracelake.sinks import exports as K
 from tracelake.sources import binaries as B
 from tracelake.sources import bodyfile as BF
-from tracelake.sources import sqlite_files as S
 
 
 def body_inventory(spark, sf):
@@ -58,38 +54,6 @@ def body_counts(spark, sf):
     return BF.body_counts(lines)
 
 
-def database_files(spark, sf):
-    """Small SQLite files built by Spark, one per 500 orders; every ninth is cut short."""
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        conn = sqlite3.connect(":memory:")
-        conn.execute("create table orders(k integer primary key, status text, cust integer)")
-        conn.execute("create table empty(a)")
-        rows = pdf.sort_values("k")[["k", "status", "cust"]].itertuples(index=False, name=None)
-        conn.executemany("insert into orders values (?, ?, ?)", [(int(k), s, int(c)) for k, s, c in rows])
-        conn.commit()
-        blob, number = conn.serialize(), int(pdf["file"].iloc[0])
-        return pd.DataFrame({"file": [number], "content": [blob[:5000] if number % 9 == 8 else blob]})
-
-    o = table(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 500).alias("file"), F.col("o_orderkey").alias("k"),
-                                          F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("cust"))
-    return o.groupBy("file").applyInPandas(build, "file bigint, content binary")
-
-
-@query("s3_sqlite_rows", "S3", oracle="""
-  SELECT o_orderkey // 500 AS file, o_orderkey AS rowid, o_orderstatus AS status, o_custkey AS cust FROM orders WHERE (o_orderkey // 500) % 9 <> 8""")
-def sqlite_rows(spark, sf):
-    rows = S.sqlite_rows(database_files(spark, sf), "file", "content", "orders", ["status", "cust"])
-    parsed = rows.select("file", "rowid", F.from_json("row", "status string, cust bigint").alias("r"))
-    return parsed.select("file", "rowid", "r.status", "r.cust")
-
-
-@query("s3_sqlite_summary", "S3", oracle="""
-  SELECT f AS file, t AS "table", CASE WHEN t = 'empty' THEN 0 WHEN t = 'orders' THEN n END AS rows, CASE WHEN t = '' THEN 'UNREADABLE' ELSE 'PRESENT' END AS status
-  FROM (SELECT o_orderkey // 500 AS f, count(*) AS n FROM orders GROUP BY 1), (SELECT unnest(['', 'empty', 'orders']) AS t) WHERE (f % 9 = 8) = (t = '')""")
-def sqlite_summary(spark, sf):
-    return S.sqlite_summary(database_files(spark, sf), "file", "content").drop("integrity")
-
-
 @query("s14_manifest", "S14", oracle=cte("blobs") + """,
   w AS (SELECT DISTINCT path, false AS companion FROM (SELECT path FROM blobs WHERE doc_id % 3 = 0 UNION ALL SELECT '/missing' || doc_id FROM blobs WHERE doc_id % 50 = 0)),
   a AS (SELECT * FROM w UNION ALL SELECT path || s, true FROM w, (SELECT unnest(['-wal', '-shm', '-journal']) AS s))
