@@ -264,29 +264,44 @@ def shape_scan(spark, sf):
     return T.shape_scan(table(spark, sf, "documents"), "text", ["doc_id"])
 
 
-SQL_AUDIT = """SELECT artefact, count(*) AS texts, (SELECT count(*) FROM reg) AS known_secrets, CAST(coalesce(sum(n), 0) AS BIGINT) AS leaks,
-    (SELECT count(DISTINCT word) FROM w x WHERE x.artefact = t.artefact AND word IN (SELECT s FROM reg)) AS secrets,
-    CASE WHEN (SELECT count(*) FROM reg) = 0 THEN 'FAIL: empty registry' WHEN artefact = 'evidence' THEN 'excluded' WHEN coalesce(sum(n), 0) = 0 THEN 'clean'
+#: Planted secrets: short ones, with signs and with white space; texts end in them in turn.
+PLANTED = ("4821", "hunter22", "p@ss-w0rd!", "two words 7", "never used 9")
+SQL_TEXTS = """WITH t AS (SELECT doc_id, text || CASE doc_id % 7 WHEN 0 THEN ' the password is hunter22.' WHEN 1 THEN ' pin 4821 and p@ss-w0rd! too' WHEN 2 THEN ' note "two words 7"' ELSE '' END AS text,
+    CASE doc_id % 3 WHEN 0 THEN 'derived' WHEN 1 THEN 'evidence' ELSE 'working' END AS artefact FROM documents),
+  plain AS (SELECT unnest(['4821', 'hunter22', 'p@ss-w0rd!', 'two words 7', 'never used 9']) AS s),
+  hexes AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9a-f]{40}')) AS s FROM documents)"""
+#: A secret leaks where the text contains it between signs or spaces; the rule knows no cuts.
+SQL_AUDIT = """, hit AS (SELECT artefact, doc_id, s FROM t JOIN reg ON contains(text, s)
+    AND regexp_matches(' ' || text || ' ', '[^A-Za-z0-9]' || regexp_escape(s) || '[^A-Za-z0-9]'))
+  SELECT artefact, count(*) AS texts, (SELECT count(*) FROM reg) AS known_secrets, (SELECT count(*) FROM reg WHERE s LIKE '% %') AS unchecked,
+    (SELECT count(*) FROM hit WHERE hit.artefact = t.artefact) AS leaks, (SELECT count(DISTINCT s) FROM hit WHERE hit.artefact = t.artefact) AS secrets,
+    CASE WHEN (SELECT count(*) FROM reg) = 0 THEN 'FAIL: empty registry' WHEN artefact = 'evidence' THEN 'excluded'
+      WHEN (SELECT count(*) FROM hit WHERE hit.artefact = t.artefact) = 0 THEN CASE WHEN (SELECT count(*) FROM reg WHERE s LIKE '% %') > 0 THEN 'NOT CHECKED' ELSE 'clean' END
       WHEN artefact = 'working' THEN 'private mode required' ELSE 'FAIL: leak' END AS verdict
-  FROM t LEFT JOIN (SELECT doc_id, count(*) AS n FROM w WHERE word IN (SELECT s FROM reg) GROUP BY 1) USING (doc_id) GROUP BY artefact"""
-SQL_TEXTS = """WITH t AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'derived' WHEN 1 THEN 'evidence' ELSE 'working' END AS artefact FROM documents),
-  w AS (SELECT doc_id, artefact, unnest(list_distinct(regexp_split_to_array(text, '[^A-Za-z0-9_@.+\\-]+'))) AS word FROM t)"""
+  FROM t GROUP BY artefact"""
 
 
 def audit(spark, sf, known):
     d = table(spark, sf, "documents")
-    n = F.col("doc_id") % 3
-    texts = d.select("doc_id", "text", F.when(n == 0, "derived").when(n == 1, "evidence").otherwise("working").alias("artefact"))
-    secrets = d.select(F.explode(F.regexp_extract_all("text", F.lit("[0-9a-f]{40}"), F.lit(0))).alias("s")).filter(known)
-    return T.leak_audit(texts, secrets.select(F.sha2("s", 256).alias("sha256")).distinct(), "text", "artefact")
+    n, end = F.col("doc_id") % 3, F.col("doc_id") % 7
+    planted = F.when(end == 0, " the password is hunter22.").when(end == 1, " pin 4821 and p@ss-w0rd! too").when(end == 2, ' note "two words 7"').otherwise("")
+    texts = d.select("doc_id", F.concat("text", planted).alias("text"), F.when(n == 0, "derived").when(n == 1, "evidence").otherwise("working").alias("artefact"))
+    hexes = d.select(F.explode(F.regexp_extract_all("text", F.lit("[0-9a-f]{40}"), F.lit(0))).alias("s"))
+    plain = d.select(F.explode(F.array(*map(F.lit, PLANTED))).alias("s")).distinct()
+    return T.leak_audit(texts, T.secret_registry(hexes.union(plain).filter(known), "s"), "text", "artefact")
 
 
-@query("j18_leak_audit", "J18", oracle=SQL_TEXTS + ", reg AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9a-f]{40}')) AS s FROM documents) " + SQL_AUDIT)
+@query("j18_leak_audit", "J18", oracle=SQL_TEXTS + ", reg AS (SELECT s FROM plain UNION SELECT s FROM hexes)" + SQL_AUDIT)
 def leak_audit(spark, sf):
     return audit(spark, sf, F.lit(True))
 
 
-@query("j18_empty_registry", "J18", oracle=SQL_TEXTS + ", reg AS (SELECT doc_id::VARCHAR AS s FROM documents WHERE doc_id < 0) " + SQL_AUDIT)
+@query("j18_not_checked", "J18", oracle=SQL_TEXTS + ", reg AS (SELECT s FROM plain WHERE s = 'never used 9')" + SQL_AUDIT)
+def unchecked_registry(spark, sf):
+    return audit(spark, sf, F.col("s") == "never used 9")
+
+
+@query("j18_empty_registry", "J18", oracle=SQL_TEXTS + ", reg AS (SELECT s FROM plain WHERE s = 'none')" + SQL_AUDIT)
 def empty_registry(spark, sf):
     return audit(spark, sf, F.col("s") == "none")
 
