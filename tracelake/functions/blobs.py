@@ -32,7 +32,7 @@ def _head(blob: Column, n: int) -> Column:
 
 def blob_class(blob: Column) -> Column:
     """Container format by leading bytes; the order of the tests matters."""
-    head = _head(blob, 512)
+    head = latin(blob)
     space = r"^[ \t\n\r\x0b\f]*"
     return (F.when(head.startswith(SQLITE_MAGIC), "sqlite")
             .when(head.startswith(JAVA_MAGIC), "java-serialized")
@@ -97,7 +97,7 @@ def digit_fields(text: Column, country: str = "48", domain: str = "s.whatsapp.ne
 
 def utf16_names(blob: Column) -> Column:
     """Names written as UTF-16 runs, distinct, in order of appearance."""
-    runs = F.regexp_extract_all(latin(blob), F.lit(r"(?:[ -~]\x00){3,48}"), F.lit(0))
+    runs = F.regexp_extract_all(latin(blob), F.lit(r"(?:[ -~]\x00){3,}"), F.lit(0))
     return F.array_distinct(F.transform(runs, lambda r: F.replace(r, F.lit("\x00"), F.lit(""))))
 
 

@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OBJECT_LIMIT = 1_000_000
-
 
 def is_document(col: Column) -> Column:
     """Text that parses to a JSON object or array; the cheap test runs first."""
@@ -37,7 +35,7 @@ def json_find(col: Column, keys: Sequence[str], text_only: bool = False) -> Colu
         def one(text):
             try:
                 return lookup(json.loads(text)) if text else ""
-            except ValueError:
+            except (ValueError, RecursionError):  # broken, or nested deeper than any real document
                 return ""
         return docs.map(one)
 
@@ -48,9 +46,9 @@ def json_find(col: Column, keys: Sequence[str], text_only: bool = False) -> Colu
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|["{}]', re.DOTALL)
 
 
-def _balanced_end(text: str, start: int, limit: int) -> int:
+def _balanced_end(text: str, start: int) -> int:
     depth = 0
-    for token in _TOKEN.finditer(text, start, start + limit):
+    for token in _TOKEN.finditer(text, start):
         mark = token.group()
         if mark == '"':
             return -1
@@ -60,7 +58,7 @@ def _balanced_end(text: str, start: int, limit: int) -> int:
     return -1
 
 
-def json_objects(col: Column, limit: int = OBJECT_LIMIT) -> Column:
+def json_objects(col: Column) -> Column:
     """Every complete JSON object in free text, distinct, in order of appearance.
 
     A balanced stretch that is not JSON is passed over as a whole, and a brace
@@ -73,13 +71,13 @@ def json_objects(col: Column, limit: int = OBJECT_LIMIT) -> Column:
             found: dict[str, bool] = {}
             at = text.find("{") if text else -1
             while at >= 0:
-                end = _balanced_end(text, at, limit)
+                end = _balanced_end(text, at)
                 piece = text[at:end] if end > 0 else None
                 if piece is not None and piece not in found:
                     try:
                         json.loads(piece)
                         found[piece] = True
-                    except ValueError:
+                    except (ValueError, RecursionError):
                         found[piece] = False
                 at = text.find("{", end if end > 0 else at + 1)
             return [piece for piece, valid in found.items() if valid]

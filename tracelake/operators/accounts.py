@@ -22,10 +22,10 @@ def newest_grants(grants: DataFrame, tie: str, scope_part: str) -> DataFrame:
 
 
 def interesting_keys(extras: DataFrame, order: str, k: int) -> DataFrame:
-    """First k rows whose key mentions one of the fragments, in row order."""
+    """First k rows whose key mentions one of the fragments, in row order, keys and values whole."""
     rx = "|".join(INTERESTING).lower()
     return (extras.filter(F.lower("key").rlike(rx)).orderBy(order).limit(k)
-            .select(order, F.left("key", F.lit(140)).alias("key"), F.left("value", F.lit(400)).alias("value")))
+            .select(order, "key", "value"))
 
 
 def distinct_secrets(df: DataFrame, by: list[str], secret: str, account: str) -> DataFrame:

@@ -24,7 +24,7 @@ def visits_with_urls(visits: DataFrame, urls: DataFrame) -> DataFrame:
 def search_terms(terms: DataFrame, urls: DataFrame) -> DataFrame:
     """Typed terms with the address they led to; the caller orders or limits."""
     return terms.join(urls, terms["url_id"] == urls["id"]).select(
-        "term", F.left("url", F.lit(160)).alias("url"), webkit_time(F.col("last_visit")).alias("last_visit_utc"), "last_visit", "visit_count")
+        "term", "url", webkit_time(F.col("last_visit")).alias("last_visit_utc"), "last_visit", "visit_count")
 
 
 def recent_urls(urls: DataFrame, k: int) -> DataFrame:
@@ -40,12 +40,12 @@ def top_domains(urls: DataFrame, k: int = 15) -> DataFrame:
 
 
 def identity_hints(urls: DataFrame) -> DataFrame:
-    """Newest address per distinct set of hints and address start; heuristic by nature."""
+    """Newest row per distinct set of hints and address; heuristic by nature."""
     hinted = (urls.filter(may_hint(F.col("url"))).withColumn("hints", F.to_json(F.map_from_entries(
         F.array_sort(F.map_entries(url_hints(F.col("url"))))))).filter("hints <> '{}'"))
     newest = F.max(F.struct("last_visit", (-F.col("id")).alias("i"), "url")).alias("m")
-    return hinted.groupBy("hints", F.left("url", F.lit(60)).alias("head")).agg(newest).select(
-        "hints", F.left("m.url", F.lit(220)).alias("url"), (-F.col("m.i")).alias("id"))
+    return hinted.groupBy("hints", F.col("url").alias("head")).agg(newest).select(
+        "hints", "m.url", (-F.col("m.i")).alias("id"))
 
 
 def known_visits(visits: DataFrame, urls: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def name_threads(spark, sf):
 
 
 @query("j7_search_terms", "J7", oracle=cte("histories") + f"""
-  SELECT term, left(url, 160) AS url, {sql_utc(f'(last_visit // 1000000 - {WEBKIT_DELTA})')} AS last_visit_utc, visit_count
+  SELECT term, url, {sql_utc(f'(last_visit // 1000000 - {WEBKIT_DELTA})')} AS last_visit_utc, visit_count
   FROM histories JOIN (SELECT c_name AS term, c_custkey % (SELECT count(*) FROM pages) AS url_id FROM customer) ON id = url_id""")
 def search_terms(spark, sf):
     n = table(spark, sf, "pages").agg(F.count("*")).scalar()
@@ -149,7 +149,7 @@ def top_domains(spark, sf, k):
   h AS (SELECT *, CASE WHEN av <> '' THEN '{"viewer_av":"' || av || '"}' WHEN lst <> '' THEN '{"author_uid":"77","story_ts":"' || split_part(lst, ':', 3) || '","viewer_lst":"' || lst || '","viewer_uid":"' || split_part(lst, ':', 1) || '"}'
       ELSE '{"profile_id":"' || pid || '","story_fbid":"' || sf || '"}' END AS hints FROM (SELECT *, regexp_extract(url, '[?&]av=(\\d+)', 1) AS av, regexp_extract(url, '[?&]lst=([^&]+)', 1) AS lst,
       regexp_extract(url, '[?&]id=(\\d+)', 1) AS pid, regexp_extract(url, 'story_fbid=(\\d+)', 1) AS sf FROM histories) WHERE av <> '' OR lst <> '' OR sf <> '')
-  SELECT hints, left(url, 220) AS url, id FROM (SELECT *, row_number() OVER (PARTITION BY hints, left(url, 60) ORDER BY last_visit DESC, id) AS r FROM h) WHERE r = 1""")
+  SELECT hints, url, id FROM (SELECT *, row_number() OVER (PARTITION BY hints, url ORDER BY last_visit DESC, id) AS r FROM h) WHERE r = 1""")
 def identity_hints(spark, sf):
     return B.identity_hints(histories(spark, sf))
 

@@ -115,7 +115,7 @@ def carry_note(spark, sf):
 
 @query("s10_debug_log", "S10", oracle="""
   SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'app.txt' ELSE 'app_2024.txt' END AS name, '5' AS priority, 'Tag' || source AS tag, 'MAIN' AS level,
-    CASE WHEN doc_id % 4 = 0 THEN '03-0' ELSE '2024-03-0' END || (doc_id % 9 + 1) AS date, '10:11:12' AS time, left('am ' || split_part(text, chr(10), 1), 300) AS message FROM documents""")
+    CASE WHEN doc_id % 4 = 0 THEN '03-0' ELSE '2024-03-0' END || (doc_id % 9 + 1) AS date, '10:11:12' AS time, 'am ' || split_part(text, chr(10), 1) AS message FROM documents""")
 def debug_log(spark, sf):
     n = F.col("doc_id")
     first = F.get(F.split("text", "\n"), 0)

@@ -125,7 +125,7 @@ def newest_grants(spark, sf):
 
 
 @query("f10_interesting_keys", "F10", k=12, oracle=cte("timeline") + f""", {SQL_EXTRAS}
-  SELECT row_id, left(key, 140) AS key, left(value, 400) AS value FROM extras WHERE regexp_matches(lower(key), 'googleuserid|firstname|lastname|credentialsstate|services|last_unseen|authenticator|account_type|recovery')
+  SELECT row_id, key, value FROM extras WHERE regexp_matches(lower(key), 'googleuserid|firstname|lastname|credentialsstate|services|last_unseen|authenticator|account_type|recovery')
   ORDER BY row_id LIMIT 12""")
 def interesting_keys(spark, sf, k):
     from tracelake.operators.accounts import interesting_keys as interesting

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.jsons import is_document, json_objects
 
-MAX_XML = 5 * 1024 * 1024
 _ITEM = "array<struct<_name:string,_value:string,_text:string>>"
 PREFS_SCHEMA = (f"string {_ITEM}, int {_ITEM}, long {_ITEM}, boolean {_ITEM}, float {_ITEM}, "
                 "`set` array<struct<_name:string,string:array<string>>>, _bad string")
@@ -16,12 +15,11 @@ PREFS_SCHEMA = (f"string {_ITEM}, int {_ITEM}, long {_ITEM}, boolean {_ITEM}, fl
 def prefs_rows(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:
     """Typed preference rows ``(key, type, value)`` plus one ``error`` row per bad file.
 
-    Files above the size limit are refused, not read in part; entries without a
-    name are skipped; longs keep all their digits as text.
+    Entries without a name are skipped; longs keep all their digits as text.
     """
-    parsed = F.from_xml(F.when(F.octet_length(xml) <= MAX_XML, F.col(xml)), PREFS_SCHEMA,
+    parsed = F.from_xml(F.col(xml), PREFS_SCHEMA,
                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "valueTag": "_text"})
-    rows = df.select(*keep, F.octet_length(xml).alias("_size"), parsed.alias("p"))
+    rows = df.select(*keep, parsed.alias("p"))
 
     def item(kind: str):
         def one(e):
@@ -35,8 +33,7 @@ def prefs_rows(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:
         e["_name"].alias("key"), F.lit("set").alias("type"),
         F.to_json(F.coalesce(e["string"], F.array().cast("array<string>"))).alias("value")))
     entry = "array<struct<key:string,type:string,value:string>>"
-    refused = F.when(F.col("_size") > MAX_XML, f"XML > {MAX_XML} B").when(
-        F.col("p._bad").isNotNull() | F.col("p").isNull(), "not well formed")
+    refused = F.when(F.col("p._bad").isNotNull() | F.col("p").isNull(), "not well formed")
     error = F.array(F.struct(F.lit("").alias("key"), F.lit("error").alias("type"), refused.alias("value")))
     good = F.concat(*[item(k).cast(entry) for k in ("string", "int", "long", "boolean", "float")],
                     F.coalesce(sets, F.array().cast(entry)).cast(entry))
@@ -47,7 +44,7 @@ def prefs_rows(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:
 
 def backup_records(df: DataFrame, xml: str, keep: list[str], package: str = "") -> DataFrame:
     """``<package name=…><child>text</child>…`` as one row per package and child."""
-    text = F.when(F.octet_length(xml) <= MAX_XML, F.col(xml))
+    text = F.col(xml)
     names = F.from_xml(text, "package array<struct<_name:string>>")["package"]
     fields = F.from_xml(text, "package array<map<string,string>>")["package"]
     rows = (df.select(*keep, F.explode(F.arrays_zip(names.alias("n"), fields.alias("f"))).alias("z"))

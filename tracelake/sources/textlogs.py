@@ -115,7 +115,7 @@ def parse_debug_log(files: DataFrame, text: str, name: str, keep: list[str]) ->
     return lines.select(
         name, *keep, "pos", field(1).alias("priority"), field(2).alias("tag"), field(3).alias("level"),
         F.when(year != "", F.concat_ws("-", year, field(4))).otherwise(field(4)).alias("date"),
-        field(5).alias("time"), F.left(field(6), F.lit(300)).alias("message"))
+        field(5).alias("time"), field(6).alias("message"))
 
 
 def tombstone_fields(text: Column) -> Column:
