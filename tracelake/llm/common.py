@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,10 @@ _OWN = "_tracelake_worker_tables"
 def worker_table(key: Any, build: Callable[[], Any]) -> Any:
     """A read-only table built once per Python worker process and kept across tasks."""
     holder = sys.modules.setdefault(_OWN, types.ModuleType(_OWN))
-    if key not in holder.__dict__:
-        holder.__dict__[key] = build()
-    return holder.__dict__[key]
+    tables = holder.__dict__.setdefault("tables", {})
+    if key not in tables:
+        tables[key] = build()
+    return tables[key]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,8 +60,32 @@ def stored(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(df: DataFrame, column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+#: log2 of the bits of a sieve: its size (1 MB) does not depend on the data.
+SIEVE_BITS = 23
+
+
+def sift(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose long ``key`` may be in ``keys`` (one column); all that are in it stay.
+
+    A bitmap of fixed size is filled from the keys in Spark and sent to the tasks, so that wide
+    rows which a later join would drop are not shuffled for it. More keys only let more rows pass.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIEVE_BITS))
+    named = keys.toDF("key").select(slot("key").alias("slot"))
+    words = named.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits"))
+    table = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    for row in words.collect():
+        table[row["word"]] = row["bits"]
+    sent = df.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+            kept = (sent.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(kept.astype(bool)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.select(slot(key).alias("__slot"), "*").mapInArrow(run, schema)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

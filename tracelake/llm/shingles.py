@@ -2,40 +2,26 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 
-from tracelake.llm.common import worker_table
-
-KEPT = 500_000
-_MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
+from tracelake.llm.hashing import hasher, mixed
 
-def mixed(values: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit numbers."""
-    values = (values ^ (values >> np.uint64(31))) * _MIX[0]
-    values = (values ^ (values >> np.uint64(29))) * _MIX[1]
-    return values ^ (values >> np.uint64(32))
+#: Fixed value: the bytes between words.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def words(text: str | None) -> list[bytes]:
-    """Runs of bytes other than ASCII white space, with A-Z in lower case."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+def words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, start, end) of the runs of bytes other than ASCII white space; A-Z count as a-z."""
+    raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+    edge = np.diff(_SPACE[raw].view(np.int8), prepend=1, append=1)
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    tools = hasher(fold=True)
+    return tools.between(tools.sums(raw), start, end), start, end
 
 
-def fingerprints(tokens: list[bytes], size: int = 5) -> np.ndarray:
+def fingerprints(codes: np.ndarray, size: int = 5) -> np.ndarray:
     """Fingerprint of the ``size`` words from each position on; one of the whole if there are fewer."""
-    known = worker_table("word-fingerprints", _Words)
-    codes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     if not len(codes):
         return codes
     width = min(size, len(codes))
@@ -47,4 +33,4 @@ def fingerprints(tokens: list[bytes], size: int = 5) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     """Distinct fingerprints of a text, ascending."""
-    return np.unique(fingerprints(words(text), size))
+    return np.unique(fingerprints(words(text)[0], size))

@@ -27,13 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import stored, worker_table
-from tracelake.llm.shingles import mixed
-
-BASE = 0x9E3779B97F4A7C15
-#: Bytes hashed at a time.
-CHUNK = 4 << 20
-
+from tracelake.llm.common import sift, stored
+from tracelake.llm.hashing import hasher, mixed
 
 def cover(p: int) -> tuple[int, list[int]]:
     """A perfect difference set of p + 1 residues modulo p * p + p + 1, for prime p.
@@ -54,39 +49,6 @@ def cover(p: int) -> tuple[int, list[int]]:
     raise ValueError("p must be prime")
 
 
-class Hasher:
-    """Fingerprints of substrings by one pass over the bytes."""
-
-    def __init__(self) -> None:
-        self.letters = mixed(np.arange(1, 257, dtype=np.uint64))
-        self.grow(CHUNK)
-
-    def grow(self, size: int) -> None:
-        self.power = np.empty(size + 1, np.uint64)
-        self.back = np.empty(size + 1, np.uint64)
-        for out, base in ((self.power, BASE), (self.back, pow(BASE, -1, 1 << 64))):
-            out[0] = 1
-            done = 1
-            while done <= size:
-                more = min(done, size + 1 - done)
-                out[done:done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
-                done += more
-
-    def sums(self, raw: np.ndarray) -> np.ndarray:
-        if len(raw) >= len(self.power):
-            self.grow(2 * len(raw))
-        out = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.letters[raw] * self.power[:len(raw)], out=out[1:])
-        return out
-
-    def between(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((sums[end] - sums[start]) * self.back[start] + (end - start).astype(np.uint64))
-
-
-def hasher() -> Hasher:
-    return worker_table("byte-hasher", Hasher)
-
-
 class Shape:
     """String length k with its cover: modulus v, residues, length m of the named strings."""
 
@@ -284,7 +246,7 @@ def repeats(df: DataFrame, k: int = 400, p: int = 13, text: str = "text") -> tup
     names = sampled(distinct, shape)
     names = names.withColumn("open", (F.min("text_key").over(by_name) != F.max("text_key").over(by_name)) | F.max("twice").over(by_name))
     wanted = stored(names.where("open").groupBy("text_key").agg(F.collect_set("name").alias("names")))
-    held = stored(distinct.join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]))
+    held = stored(sift(distinct, "text_key", wanted.select("text_key")).join(wanted.select("text_key"), "text_key").dropDuplicates(["text_key"]))
     marks = triples(held.join(wanted, "text_key"), shape)
     by_triple = Window.partitionBy("name", "triple")
     marks = stored(marks.withColumn("mixed", F.min("triple").over(by_name) != F.max("triple").over(by_name))
