@@ -164,6 +164,22 @@ def test_passages(spark):
     assert passages.find(passages.identified(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("common", [20, 30, 40])
+def test_passages_around_a_frequent_line(spark, common):
+    dice = random.Random(common)
+    line = prose(dice, common)
+    rows = [(i, " ".join(prose(dice, 40) + line + prose(dice, 40))) for i in range(400)]
+    for i in range(40):
+        left = dice.randint(0, 50 - common)
+        twice = prose(dice, left) + line + prose(dice, 50 - common - left)
+        rows += [(5000 + 10 * dice.randint(0, 90) + k * 1000, " ".join(prose(dice, 40) + twice + prose(dice, 40))) for k in (0, 1)]
+    # Ids are dealt anew so that no copy stands beside its original.
+    ids = dice.sample(range(len(rows)), len(rows))
+    rows = [(n, t) for n, (_, t) in zip(ids, rows)]
+    found = {r.doc_id for r in passages.find(passages.identified(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert found == {max(rows[400 + 2 * i][0], rows[401 + 2 * i][0]) for i in range(40)}
+
+
 def test_compact_windows_cover_every_long_subsequence():
     dice = np.random.default_rng(1)
     for n in (0, 4, 5, 40):
