@@ -164,6 +164,27 @@ def test_passages(spark):
     assert passages.find(passages.identified(df.limit(0))).count() == 0
 
 
+def test_passages_of_the_stated_similarity_are_all_found(spark):
+    dice = random.Random(12)
+    rows, want = [], {75: set(), 80: set(), 85: set()}
+    for i in range(3000):
+        base = prose(dice, 50)
+        near = list(base)
+        for _ in range(2):
+            at = dice.choice([dice.randint(0, 4), dice.randint(45, 49), dice.randrange(50)])
+            near[at:at + 1] = prose(dice, 1)
+        rows += [(i, " ".join(prose(dice, 10) + base + prose(dice, 10))), (10000 + i, " ".join(prose(dice, 9) + near + prose(dice, 11)))]
+        y, x = (passages.fingerprints(passages.words(t)[0], 5) for _, t in rows[-2:])
+        # Texts of different pairs have nothing in common.
+        level = max((level for level in want if passages.matches(x, y, -1, 46, level, 100)), default=None)
+        if level:
+            want[level].add((10000 + i, i))
+    got = {(r.doc_id, r.kept_doc_id) for r in passages.find(passages.identified(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for level, pairs in want.items():
+        print(f"similarity from {level}: {len(pairs & got)} of {len(pairs)} found")
+    assert all(want.values()) and set().union(*want.values()) == got
+
+
 @pytest.mark.parametrize("common", [20, 30, 40])
 def test_passages_around_a_frequent_line(spark, common):
     dice = random.Random(common)
