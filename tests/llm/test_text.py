@@ -188,6 +188,17 @@ def test_surrogates_stay_distinct_in_a_narrow_format(spark):
     assert not ips & {t.split(" and ")[0] for _, t in texts}
 
 
+def test_surrogate_names_widen_with_the_attempts(spark, monkeypatch):
+    # With 2 family names there are 2, 4 and 8 forms of a surname, so 40 need parts that later attempts add.
+    monkeypatch.setattr(surrogates, "FAMILY", {k: v[:2] for k, v in surrogates.FAMILY.items()})
+    rows = spark.range(400).crossJoin(spark.createDataFrame([(a,) for a in (0, 3, 5, 8, 12)], "attempt int"))
+    rows = rows.withColumn("normal", F.concat(F.lit("x"), F.col("id").cast("string")))
+    made = surrogates.surrogate("k", F.lit("name"), F.col("normal"), F.lit("Mr "), F.col("attempt"))
+    rows = rows.groupBy("attempt").agg(F.countDistinct(made).alias("n"))
+    forms = {r.attempt: r.n for r in rows.collect()}
+    assert (forms[0], forms[3], forms[5]) == (2, 4, 8) and 40 < forms[8] <= 64 and forms[12] > 200
+
+
 def test_digests_of_the_query(spark, library):
     from tracelake.llm.queries import QUERIES
     folder = "/root/testdata/sf0.001"

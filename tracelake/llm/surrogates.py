@@ -141,6 +141,9 @@ def surrogate(key: str, kind: Column, normal: Column, title: Column, attempt: Co
         given, family = pick(names, number(hexed, 0)), pick(FAMILY[letters], number(hexed, 1))
         more = F.when(attempt > 1, F.concat(F.lit("-"), pick(FAMILY[letters], number(hexed, 2)))).otherwise("")
         most = F.when(attempt > 3, F.concat(F.lit("-"), pick(FAMILY[letters], number(hexed, 3)))).otherwise("")
+        # From attempt 6 on each attempt adds a part, drawn from two bytes so that parts are not tied to one another.
+        added = F.transform(F.sequence(F.lit(6), F.greatest(attempt, F.lit(6))), lambda i: F.concat(F.lit("-"), pick(FAMILY[letters], number(hexed, 2 * i) * 256 + number(hexed, 2 * i + 1))))
+        most = F.concat(most, F.when(wide, F.array_join(added, "")).otherwise(""))
         whole = F.when(normal.contains(" "), F.concat(given, F.lit(" "), family, more, most)).otherwise(F.concat(family, more, most))
         name = name.when((F.when(title.rlike(FEMALE), "f").otherwise("m") == gender) & (script == letters), whole)
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
