@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, html_text, ngram_join, packing, passages, quality, suffix_dedup, surrogates, topk, tree_index
+from tracelake.llm import bpe, hard_negatives, html_text, lexical, licenses, ngram_join, packing, passages, quality, suffix_dedup, surrogates, topk, tree_index
 from tracelake.llm.common import read
 from tracelake.session import prepare
 
@@ -87,6 +87,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector's positives; every seventh vector has the next label."""
+    rows = read(prepare(spark), sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the base phrases, labels and a score of every document."""
+    docs = licenses.scan(read(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    return docs.select(
+        "doc_id", "n_words", F.size("base_places").cast("long").alias("n_base"), F.array_min("base_places.first_word").alias("first_word"),
+        F.array_max("base_places.first_word").alias("last_word"), joined(F.col("base_places.label")).alias("base_labels"),
+        joined(F.concat(F.col("base_places.label"), F.col("found.label"))).alias("labels"), "score")
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """The documents that score highest for every benchmark item."""
+    spark = prepare(spark)
+    return lexical.search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"), k)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_passages": op1_passages,
     "op2_ngram_join": op2_ngram_join,
@@ -98,5 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_html": op9_html,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_licenses": op12_licenses,
+    "op13_lexical": op13_lexical,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_hard_negatives": hard_negatives.SQL, "op13_lexical": lexical.SQL}
