@@ -210,11 +210,38 @@ def recoverability(items: DataFrame, extents: DataFrame, free_runs: DataFrame, k
     return joined.withColumn("verdict", verdict)
 
 
-def metadata_overlap(free_blocks: DataFrame, metadata: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Unallocated blocks that are also metadata, split into extent ends and interior (one row per ``by``)."""
-    meta = blocks_of(metadata, "first", "count", by).distinct()
-    ends = metadata.select(*by, (F.col("first") + F.col("count") - 1).alias("block")).distinct().withColumn("end", F.lit(True))
-    keys = [*by, "block"]
-    both = free_blocks.select(*keys).distinct().join(meta, keys, "left_semi").join(ends, keys, "left")
-    return both.groupBy(*by).agg(F.count("*").alias("overlap"), F.count("end").alias("at_extent_end")).withColumn(
-        "interior", F.col("overlap") - F.col("at_extent_end"))
+def metadata_overlap(free: DataFrame, metadata: DataFrame, by: list[str] = (), width: int = WIDTH) -> DataFrame:
+    """Unallocated blocks that are also metadata, split into extent ends and interior (one row per ``by``).
+
+    ``free`` holds blocks (``block``) or intervals (``first``, ``count``), ``metadata`` intervals; both
+    may overlap themselves. A sweep: where an interval begins one more is open, past its end one less.
+    Sums over the places inside a chunk start from the sums of all chunks before it, and between two
+    neighbouring places nothing changes. So the work depends on the number of intervals, not on how
+    many blocks they hold. Where ``by`` has metadata or free blocks but no overlap the row says 0.
+    """
+    if "block" in free.columns:
+        free = free.select(*by, F.col("block").alias("first"), F.lit(1).cast("long").alias("count"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def points(side: DataFrame, f, m) -> DataFrame:
+        i = side.filter(F.col("count") > 0)
+        end = F.col("first") + F.col("count")
+        return (i.select(*by, F.col("first").alias("pos"), f.alias("f"), m.alias("m"), F.lit(0).alias("last"))
+                .unionByName(i.select(*by, end.alias("pos"), (-f).alias("f"), (-m).alias("m"), F.lit(0).alias("last"))))
+
+    lasts = metadata.filter(F.col("count") > 0).select(*by, (F.col("first") + F.col("count") - 1).alias("pos"), none.alias("f"), none.alias("m"), F.lit(1).alias("last"))
+    places = (points(free, one, none).unionByName(points(metadata, none, one)).unionByName(lasts)
+              .groupBy(*by, "pos").agg(F.sum("f").alias("f"), F.sum("m").alias("m"), F.max("last").alias("last"))
+              .withColumn("_chunk", _floor_div(F.col("pos"), width)))
+    chunks = places.groupBy(*by, "_chunk").agg(F.sum("f").alias("f"), F.sum("m").alias("m"), F.min("pos").alias("lo"))
+    order = W.partitionBy(*by).orderBy("_chunk")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    carried = chunks.select(*by, "_chunk", F.coalesce(F.sum("f").over(before), none).alias("_f"), F.coalesce(F.sum("m").over(before), none).alias("_m"), F.lead("lo").over(order).alias("_next"))
+    own = W.partitionBy(*by, "_chunk").orderBy("pos")
+    here = own.rowsBetween(W.unboundedPreceding, 0)
+    is_free, is_meta = F.col("_f") + F.sum("f").over(here) > 0, F.col("_m") + F.sum("m").over(here) > 0
+    stretch = F.coalesce(F.lead("pos").over(own), F.col("_next")) - F.col("pos")
+    swept = places.join(carried, [*by, "_chunk"]).select(*by, "last", is_free.alias("free"), is_meta.alias("meta"), stretch.alias("n"))
+    return swept.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(F.col("free") & F.col("meta"), F.col("n"))), none).alias("overlap"),
+        F.count_if(F.col("free") & (F.col("last") == 1)).alias("at_extent_end")).withColumn("interior", F.col("overlap") - F.col("at_extent_end"))

@@ -1,4 +1,4 @@
-"""Access tokens in documents and text, and where known secrets leak."""
+"""Access tokens in documents and text."""
 
 from __future__ import annotations
 
@@ -82,47 +82,3 @@ def shape_scan(df: DataFrame, text: str, keep: list[str], shapes: dict = SHAPES,
     rows = df.select(*keep, F.explode(shape_hits(F.col(text), shapes)).alias("h")).select(*keep, "h.shape", "h.value")
     shown = F.col("value") if reveal else mask_kind(F.col("value"), "token")
     return rows.groupBy(*keep, "shape", shown.alias("shown")).agg(F.count("*").alias("hits"))
-
-
-#: Ways to cut a text into strings that may be a secret: whole runs, runs without edge signs,
-#: token characters, letters and digits alone, quoted strings, and what follows = or : on a line.
-CUTS = (r"(\S+)", r"([\p{L}\p{N}](?:\S*[\p{L}\p{N}])?)", r"([A-Za-z0-9_@.+\-]+)", r"([A-Za-z0-9_@+\-]+)", r"([\p{L}\p{N}]+)",
-        r"\"([^\"\n]+)\"", r"'([^'\n]+)'", r"(?m)[=:][ \t]*([^\s](?:[^\n]*[^\s])?)[ \t]*$")
-
-
-def secret_registry(secrets: DataFrame, column: str) -> DataFrame:
-    """(sha256, checkable): digests of known secrets of any length; empty ones are left out.
-
-    A secret with white space is only found where it is quoted or ends its line after = or :, so
-    it is not ``checkable`` and its absence proves nothing.
-    """
-    value = F.col(column)
-    return (secrets.where(value.isNotNull() & (value != "")).select(F.sha2(value, 256).alias("sha256"), (~value.rlike(r"\s")).alias("checkable"))
-            .groupBy("sha256").agg(F.bool_and("checkable").alias("checkable")))
-
-
-def leak_audit(texts: DataFrame, registry: DataFrame, text: str, artefact: str) -> DataFrame:
-    """Known secrets (by SHA-256) found in exported text, per artefact class, with a verdict.
-
-    Each text is cut in several ways (``CUTS``), whatever the length of the pieces; distinct pieces
-    are counted per class before hashing, so each is hashed and shuffled once per class however
-    common it is. ``registry`` has a digest per row and may have ``checkable`` (see
-    ``secret_registry``): secrets that the cuts may miss are counted in ``unchecked``, and a class
-    without hits is then NOT CHECKED instead of clean. An empty registry fails.
-    """
-    known = registry if "checkable" in registry.columns else registry.withColumn("checkable", F.lit(True))
-    known = known.groupBy("sha256").agg(F.bool_and("checkable").alias("checkable"))
-    pieces = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(cut), F.lit(1)) for cut in CUTS]))
-    tokens = texts.select(artefact, F.explode(pieces).alias("word"))
-    counted = tokens.groupBy(artefact, "word").agg(F.count("*").alias("_n"))
-    hits = (counted.withColumn("sha256", F.sha2("word", 256)).join(known, "sha256")
-            .groupBy(artefact).agg(F.sum("_n").alias("leaks"), F.count("*").alias("secrets")))
-    totals = known.agg(F.count("*").alias("known_secrets"), F.count_if(~F.col("checkable")).alias("unchecked"))
-    leaks = F.coalesce("leaks", F.lit(0))
-    verdict = (F.when(F.col("known_secrets") == 0, "FAIL: empty registry")
-               .when(F.col(artefact) == "evidence", "excluded").when((leaks == 0) & (F.col("unchecked") > 0), "NOT CHECKED")
-               .when(leaks == 0, "clean").when(F.col(artefact) == "working", "private mode required").otherwise("FAIL: leak"))
-    classes = (texts.groupBy(artefact).agg(F.count("*").alias("texts"))
-               .withColumn("known_secrets", totals.select("known_secrets").scalar()).withColumn("unchecked", totals.select("unchecked").scalar()))
-    return classes.join(hits, artefact, "left").select(
-        artefact, "texts", "known_secrets", "unchecked", leaks.alias("leaks"), F.coalesce("secrets", F.lit(0)).alias("secrets"), verdict.alias("verdict"))

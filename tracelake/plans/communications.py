@@ -9,6 +9,7 @@ from tracelake.functions import secrets as S
 from tracelake.functions.times import WEBKIT_DELTA
 from tracelake.operators import accounts as A
 from tracelake.operators import browser as B
+from tracelake.operators import leaks as LK
 from tracelake.operators import messages as M
 from tracelake.operators import tokens as T
 from tracelake.plans.standins import (cte, histories, messages, sql_utc, table, timeline, token_docs, urls, visits)
@@ -264,31 +265,35 @@ def shape_scan(spark, sf):
     return T.shape_scan(table(spark, sf, "documents"), "text", ["doc_id"])
 
 
-#: Planted secrets: short ones, with signs and with white space; texts end in them in turn.
-PLANTED = ("4821", "hunter22", "p@ss-w0rd!", "two words 7", "never used 9")
-SQL_TEXTS = """WITH t AS (SELECT doc_id, text || CASE doc_id % 7 WHEN 0 THEN ' the password is hunter22.' WHEN 1 THEN ' pin 4821 and p@ss-w0rd! too' WHEN 2 THEN ' note "two words 7"' ELSE '' END AS text,
+#: Planted secrets: short ones, with signs, with white space and in other letters; texts hold them in turn.
+PLANTED = ("4821", "hunter22", "p@ss-w0rd!", "two words 7", "zażółć ✓", "never used 9")
+#: What stands behind a text, by doc_id % 9: secrets between spaces, touched by signs and letters, at an edge, next to each other.
+ENDS = {0: " the password is hunter22.", 1: " pin 4821 and p@ss-w0rd! too", 2: ' note "two words 7"', 3: " p@ss-w0rd!, he said", 4: "(p@ss-w0rd!)?pw=p@ss-w0rd!&x=1",
+        5: "xhunter22y4821hunter22", 6: "\ntwo words 7two words 7", 7: " zażółć ✓ and zażółć ✗"}
+SQL_TEXTS = "WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 2 AND doc_id % 11 = 3 THEN NULL ELSE text || CASE doc_id % 9 " + " ".join(
+    f"WHEN {k} THEN '" + v.replace("\n", "' || chr(10) || '") + "'" for k, v in ENDS.items()) + """ ELSE '' END END AS text,
     CASE doc_id % 3 WHEN 0 THEN 'derived' WHEN 1 THEN 'evidence' ELSE 'working' END AS artefact FROM documents),
-  plain AS (SELECT unnest(['4821', 'hunter22', 'p@ss-w0rd!', 'two words 7', 'never used 9']) AS s),
+  plain AS (SELECT unnest([""" + ", ".join(f"'{s}'" for s in PLANTED) + """]) AS s),
   hexes AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9a-f]{40}')) AS s FROM documents)"""
-#: A secret leaks where the text contains it between signs or spaces; the rule knows no cuts.
-SQL_AUDIT = """, hit AS (SELECT artefact, doc_id, s FROM t JOIN reg ON contains(text, s)
-    AND regexp_matches(' ' || text || ' ', '[^A-Za-z0-9]' || regexp_escape(s) || '[^A-Za-z0-9]'))
-  SELECT artefact, count(*) AS texts, (SELECT count(*) FROM reg) AS known_secrets, (SELECT count(*) FROM reg WHERE s LIKE '% %') AS unchecked,
-    (SELECT count(*) FROM hit WHERE hit.artefact = t.artefact) AS leaks, (SELECT count(DISTINCT s) FROM hit WHERE hit.artefact = t.artefact) AS secrets,
-    CASE WHEN (SELECT count(*) FROM reg) = 0 THEN 'FAIL: empty registry' WHEN artefact = 'evidence' THEN 'excluded'
-      WHEN (SELECT count(*) FROM hit WHERE hit.artefact = t.artefact) = 0 THEN CASE WHEN (SELECT count(*) FROM reg WHERE s LIKE '% %') > 0 THEN 'NOT CHECKED' ELSE 'clean' END
-      WHEN artefact = 'working' THEN 'private mode required' ELSE 'FAIL: leak' END AS verdict
-  FROM t GROUP BY artefact"""
+#: A secret leaks where a text contains it.
+SQL_AUDIT = """, hit AS (SELECT artefact, doc_id, s FROM t JOIN reg ON contains(text, s)),
+  c AS (SELECT artefact, count(*) AS texts, count(*) - count(text) AS skipped, (SELECT count(*) FROM reg) AS known_secrets, 0::BIGINT AS unchecked,
+    (SELECT count(*) FROM hit WHERE hit.artefact = t.artefact) AS leaks, (SELECT count(DISTINCT s) FROM hit WHERE hit.artefact = t.artefact) AS secrets FROM t GROUP BY artefact)
+  SELECT *, CASE WHEN known_secrets = 0 THEN 'FAIL: empty registry' WHEN artefact = 'evidence' THEN 'excluded' WHEN leaks = 0 AND skipped > 0 THEN 'NOT CHECKED' WHEN leaks = 0 THEN 'clean'
+    WHEN artefact = 'working' THEN 'private mode required' ELSE 'FAIL: leak' END AS verdict FROM c"""
 
 
 def audit(spark, sf, known):
     d = table(spark, sf, "documents")
-    n, end = F.col("doc_id") % 3, F.col("doc_id") % 7
-    planted = F.when(end == 0, " the password is hunter22.").when(end == 1, " pin 4821 and p@ss-w0rd! too").when(end == 2, ' note "two words 7"').otherwise("")
-    texts = d.select("doc_id", F.concat("text", planted).alias("text"), F.when(n == 0, "derived").when(n == 1, "evidence").otherwise("working").alias("artefact"))
+    n, end = F.col("doc_id") % 3, F.col("doc_id") % 9
+    planted = F.lit("")
+    for k, v in ENDS.items():
+        planted = F.when(end == k, v).otherwise(planted)
+    text = F.when(~((n == 2) & (F.col("doc_id") % 11 == 3)), F.concat("text", planted))
+    texts = d.select(text.alias("text"), F.when(n == 0, "derived").when(n == 1, "evidence").otherwise("working").alias("artefact"))
     hexes = d.select(F.explode(F.regexp_extract_all("text", F.lit("[0-9a-f]{40}"), F.lit(0))).alias("s"))
     plain = d.select(F.explode(F.array(*map(F.lit, PLANTED))).alias("s")).distinct()
-    return T.leak_audit(texts, T.secret_registry(hexes.union(plain).filter(known), "s"), "text", "artefact")
+    return LK.leak_audit(texts, LK.secret_registry(hexes.union(plain).filter(known), "s"), "text", "artefact")
 
 
 @query("j18_leak_audit", "J18", oracle=SQL_TEXTS + ", reg AS (SELECT s FROM plain UNION SELECT s FROM hexes)" + SQL_AUDIT)

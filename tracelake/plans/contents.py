@@ -129,7 +129,7 @@ def overlapping_hits(spark, sf):
     UNION ALL SELECT o.run, o.n, o."offset" >= f.reach, CASE WHEN o."offset" >= f.reach AND NOT o.truncated THEN o."offset" + o.length ELSE f.reach END FROM f JOIN o ON o.run = f.run AND o.n = f.n + 1)
   SELECT o.run, "offset", kind, length, truncated FROM o JOIN f ON f.run = o.run AND f.n = o.n WHERE kept""")
 def drop_nested(spark, sf):
-    return C.drop_nested(overlapping_hits(spark, sf), ["run"], 4096)
+    return C.drop_nested(overlapping_hits(spark, sf), ["run"])
 
 
 @query("a26_name_summary", "A26", oracle="""
