@@ -14,17 +14,21 @@ from tracelake.session import cut_lineage
 MICROS = 1_000_000
 
 
-def visits_with_urls(visits: DataFrame, urls: DataFrame) -> DataFrame:
-    """Visits joined to their addresses, whichever name the key column has."""
+def visits_with_urls(visits: DataFrame, urls: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Visits joined to their addresses, whichever name the key column has.
+
+    Ids count inside one store only: columns ``by`` (device, profile) are in both tables.
+    """
     key = "url" if "url" in visits.columns else "url_id"
-    right = urls.select(F.col("id").alias(key), F.col("url").alias("address"))
-    return visits.join(right, key)
+    right = urls.select(*by, F.col("id").alias(key), F.col("url").alias("address"))
+    return visits.join(right, [*by, key])
 
 
-def search_terms(terms: DataFrame, urls: DataFrame) -> DataFrame:
-    """Typed terms with the address they led to; the caller orders or limits."""
-    return terms.join(urls, terms["url_id"] == urls["id"]).select(
-        "term", "url", webkit_time(F.col("last_visit")).alias("last_visit_utc"), "last_visit", "visit_count")
+def search_terms(terms: DataFrame, urls: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Typed terms with the address they led to; the caller orders or limits. ``by`` as in ``visits_with_urls``."""
+    right = urls.withColumnRenamed("id", "url_id")
+    return terms.join(right, [*by, "url_id"]).select(
+        *by, "term", "url", webkit_time(F.col("last_visit")).alias("last_visit_utc"), "last_visit", "visit_count")
 
 
 def recent_urls(urls: DataFrame, k: int) -> DataFrame:

@@ -82,10 +82,10 @@ def merge_credentials(rows: DataFrame, key: str = "ssid") -> DataFrame:
                       ((F.col("_n") > 1) & (F.col("psk") != "")).alias("has_both"))
 
 
-def named_owner(df: DataFrame, dictionary: DataFrame, uid: str, name: str) -> DataFrame:
-    """Owner names from a uid dictionary; unknown uids show as ``uid:N``."""
+def named_owner(df: DataFrame, dictionary: DataFrame, uid: str, name: str, by: list[str] = ()) -> DataFrame:
+    """Owner names from a uid dictionary (of the same ``by``, a device, say); unknown uids show as ``uid:N``."""
     label = F.coalesce(F.col(name), F.concat(F.lit("uid:"), F.col(uid).cast("string")))
-    return df.join(dictionary, uid, "left").withColumn("owner", label).drop(name)
+    return df.join(dictionary, [*by, uid], "left").withColumn("owner", label).drop(name)
 
 
 def best_candidate(stores: DataFrame, by: list[str]) -> DataFrame:

@@ -34,24 +34,26 @@ def _allowed(kind: Column, family: Column) -> Column:
     return out
 
 
-def type_profile(messages: DataFrame, media: DataFrame, table: Mapping[int, str]) -> DataFrame:
+def type_profile(messages: DataFrame, media: DataFrame, table: Mapping[int, str], by: list[str] = ()) -> DataFrame:
     """Per type code: kind, count, observed media families and whether they dispute the kind.
 
+    Message ids count inside one store only: columns ``by`` (a device, say) are in both tables.
+
     Media join on the unique message id and collapse to distinct (code, family)
     pairs first; a code without media, or whose kind lists no families, is never disputed.
     """
     kind = code_label(F.col("code").cast("string"), table)
-    counted = messages.groupBy("code").agg(F.count("*").alias("messages"))
+    counted = messages.groupBy(*by, "code").agg(F.count("*").alias("messages"))
     family = F.lower(F.substring_index("mime", "/", 1))
     seen = (media.filter(F.coalesce(F.col("mime"), F.lit("")) != "")
-            .join(messages.select("message_id", "code"), "message_id")
-            .select("code", family.alias("family")).distinct())
+            .join(messages.select(*by, "message_id", "code"), [*by, "message_id"])
+            .select(*by, "code", family.alias("family")).distinct())
     # At most one entry per media family, a vocabulary of a few words.
-    observed = seen.groupBy("code").agg(
+    observed = seen.groupBy(*by, "code").agg(
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
         F.max(_allowed(kind, F.col("family"))).alias("any_allowed"))
-    joined = counted.join(observed, "code", "left")
-    return joined.select("code", kind.alias("kind"), "messages", F.coalesce("families", F.lit("")).alias("families"),
+    joined = counted.join(observed, [*by, "code"], "left")
+    return joined.select(*by, "code", kind.alias("kind"), "messages", F.coalesce("families", F.lit("")).alias("families"),
                          F.coalesce(~F.col("any_allowed"), F.lit(False)).alias("disputed"))
 
 
@@ -90,16 +92,16 @@ def top_senders(messages: DataFrame, users: DataFrame, threads: DataFrame, devic
     return resolved.unionByName(snippets.join(resolved.select(device).distinct(), device, "left_anti"))
 
 
-def name_threads(threads: DataFrame, participants: DataFrame, users: DataFrame) -> DataFrame:
-    """Own name, else the counterpart in the thread key, else the first named participant."""
-    named = users.filter(F.coalesce(F.col("name"), F.lit("")) != "").groupBy("user_key").agg(F.max("name").alias("who"))
+def name_threads(threads: DataFrame, participants: DataFrame, users: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Own name, else the counterpart in the thread key, else the first named participant (per ``by``, a device, say)."""
+    named = users.filter(F.coalesce(F.col("name"), F.lit("")) != "").groupBy(*by, "user_key").agg(F.max("name").alias("who"))
     parts = F.split("thread_key", ":")
     counterpart = (F.col("thread_key").startswith("ONE_TO_ONE:") & (F.size(parts) == 3)
                    & F.col("user_key").endswith(F.concat(F.lit(":"), F.get(parts, 1))))
-    people = (participants.join(named, "user_key").groupBy("thread_key")
+    people = (participants.join(named, [*by, "user_key"]).groupBy(*by, "thread_key")
               .agg(F.min(F.when(counterpart, F.col("who"))).alias("_counterpart"), F.min("who").alias("_first")))
     own = F.when(F.coalesce(F.col("name"), F.lit("")) != "", F.col("name"))
     found = F.coalesce("_counterpart", "_first")
-    return threads.join(people, "thread_key", "left").select(
-        "thread_key", F.coalesce(own, found, F.lit("")).alias("name"),
+    return threads.join(people, [*by, "thread_key"], "left").select(
+        *by, "thread_key", F.coalesce(own, found, F.lit("")).alias("name"),
         F.when(own.isNotNull(), "threads.name").when(found.isNotNull(), "thread_participants").otherwise("").alias("named_by"))

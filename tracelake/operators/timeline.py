@@ -40,16 +40,16 @@ def select_events(df: DataFrame, kind: str = "", source: str = "") -> DataFrame:
     return df
 
 
-def counts_by_axis(df: DataFrame) -> DataFrame:
-    """Counts by kind, source, package, day and hour in one pass over the events."""
+def counts_by_axis(df: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Counts by kind, source, package, day and hour in one pass over the events, per ``by`` (a device, say)."""
     utc = utc_text(F.col("unix"))
     axes = {"kind": F.col("kind"), "source": F.col("source"), "package": owner(),
             "day": F.substring(utc, 1, 10), "hour": F.substring(utc, 1, 13)}
-    long = df.select(F.explode(F.array(*[
+    long = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(name).alias("axis"), value.alias("key")) for name, value in axes.items()
-    ])).alias("a")).select("a.axis", "a.key")
+    ])).alias("a")).select(*by, "a.axis", "a.key")
     return (long.filter(~(F.col("axis").isin("day", "hour") & (F.col("key") == "")))
-            .groupBy("axis", "key").agg(F.count("*").alias("events")))
+            .groupBy(*by, "axis", "key").agg(F.count("*").alias("events")))
 
 
 def ranked(df: DataFrame, key: str, count: str, k: int) -> DataFrame:
@@ -70,38 +70,39 @@ def window_summary(df: DataFrame, by: list[str] = (), unix: str = "unix") -> Dat
         span.alias("span_seconds"), span_human(span).alias("span_human"))
 
 
-def timeline_tail(df: DataFrame, n: int, tie: str) -> DataFrame:
-    """The last n events in timeline order; a top-n, never a full sort."""
-    return df.orderBy(F.desc("unix"), F.desc("source"), F.desc(tie)).limit(n)
+def timeline_tail(df: DataFrame, n: int, tie: str, by: list[str] = ()) -> DataFrame:
+    """The last n events in timeline order (per ``by``); a top-n, never a full sort."""
+    order = [F.desc("unix"), F.desc("source"), F.desc(tie)]
+    return first_k_per(df, by, order, n, "_place").drop("_place") if by else df.orderBy(*order).limit(n)
 
 
-def last_per_source(df: DataFrame, tie: str) -> DataFrame:
-    """Newest event of each source, ties to the first seen."""
+def last_per_source(df: DataFrame, tie: str, by: list[str] = ()) -> DataFrame:
+    """Newest event of each source (per ``by``), ties to the first seen."""
     newest = F.max(F.struct("unix", (-F.col(tie)).alias("t"), "kind", "detail")).alias("m")
-    return (df.groupBy("source").agg(newest)
-            .select("source", F.col("m.unix").alias("unix"), F.col("m.kind").alias("kind"),
+    return (df.groupBy(*by, "source").agg(newest)
+            .select(*by, "source", F.col("m.unix").alias("unix"), F.col("m.kind").alias("kind"),
                     F.col("m.detail").alias("detail"), utc_text(F.col("m.unix")).alias("utc")))
 
 
-def latest_event(df: DataFrame, tie: str, kind: str = "", source: str = "") -> DataFrame:
-    """One row: the newest matching event, ties to the last seen."""
+def latest_event(df: DataFrame, tie: str, kind: str = "", source: str = "", by: list[str] = ()) -> DataFrame:
+    """The newest matching event, ties to the last seen: one row, or one per ``by``."""
     chosen = F.max(F.struct("unix", tie, "source", "kind", "detail", "package")).alias("m")
-    return (select_events(df, kind, source).agg(chosen).filter("m is not null").select("m.*"))
+    return (select_events(df, kind, source).groupBy(*by).agg(chosen).filter("m is not null").select(*by, "m.*"))
 
 
-def per_service(df: DataFrame, tie: str) -> DataFrame:
-    """Per package: last touch kept apart from last authentication."""
+def per_service(df: DataFrame, tie: str, by: list[str] = ()) -> DataFrame:
+    """Per package (and ``by``): last touch kept apart from last authentication."""
     first_seen = (-F.col(tie)).alias("t")
     seen = F.struct("unix", first_seen, "source", "detail", "kind")
     auth = F.col("kind").isin(*AUTH_KINDS)
     agg = (df.withColumn("package", F.when(F.col("package") == "", "other").otherwise(F.col("package")))
-           .groupBy("package")
+           .groupBy(*by, "package")
            .agg(F.count("*").alias("events"), F.min("unix").alias("first_unix"),
                 F.max(seen).alias("l"), F.count_if(auth).alias("auth_events"),
                 F.max(F.when(auth, seen)).alias("a"),
                 F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")))
     return agg.select(
-        "package", "events", utc_text(F.col("first_unix")).alias("first_utc"),
+        *by, "package", "events", utc_text(F.col("first_unix")).alias("first_utc"),
         utc_text(F.col("l.unix")).alias("last_utc"), F.col("l.source").alias("last_source"),
         F.col("l.detail").alias("last_detail"), F.col("l.kind").alias("last_kind"),
         "auth_events", utc_text(F.col("a.unix")).alias("last_auth_utc"),
