@@ -63,6 +63,30 @@ def test_json_objects_and_lookup(spark):
     assert values(spark, docs, jsons.json_find(F.col("v"), ("uid", "fbid", "id"))) == ["7", "", "", "", "", "9"]
 
 
+def test_deep_and_broken_documents(spark):
+    deep = '{"a": ' * 100_000 + '[1, {"id": "x"}]' + "}" * 100_000
+    docs = [deep, deep[:-1], deep + "}", "{}", "[]", " ", None, '{"uid": "", "in": {"uid": 5}}', '{"a": {"uid": ""}, "b": {"id": true}}', '{"name": "", "b": {"name": "n"}}']
+    how = {"uid": (("uid", "fbid", "id"), False), "name": (("name",), True)}
+    got = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, v string").select("i", jsons.json_lookup(F.col("v"), how).alias("f")).orderBy("i").collect()
+    assert [tuple(r.f) for r in got] == [("ok", "", ""), ("broken", "", ""), ("broken", "", ""), ("ok", "", ""), ("ok", "", ""), ("empty", "", ""), ("empty", "", ""), ("ok", "", ""),
+                                         ("ok", "True", ""), ("ok", "", "n")]
+    fields = jsons.json_fields(spark.createDataFrame([(0, deep, 1), (1, "{", 2), (2, '{"a": [null, true, {"b": 1.5}], "": "é"}', 3)], "i int, v string, path int"), "v", ["i"]).collect()
+    assert [(r.i, r.path[-6:] if r.path else r.path, r.key, r.value, r.kind, r.status) for r in fields] == [
+        (0, "/a/a/a", "0", "1", "number", "ok"), (0, "/a/a/1", "id", "x", "text", "ok"), (1, None, None, None, None, "broken"),
+        (2, "/a", "0", None, "null", "ok"), (2, "/a", "1", "true", "truth", "ok"), (2, "/a/2", "b", "1.5", "number", "ok"), (2, "", "", "é", "text", "ok")]
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, "x\\n\\u00e9", true, null, {}, []], "a": 2}', " [ ] ", '"s"', "-0", "NaN", '{"a"}', "[1,]", "[,]", "{,}", '{"a": 1,}', "[1 2]", "01", "]", "", '{"a": "\n"}', "1 1", '["\\x"]'])
+def test_documents_by_stack_equal_the_usual_reader(text):
+    try:
+        want = jsons.json.loads(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            jsons.deep_loads(text)
+    else:
+        assert repr(jsons.deep_loads(text)) == repr(want)
+
+
 def test_folding(spark):
     got = values(spark, ["Zażółć gęślą", "a—b…", "ß", "日本", "tab\there", "½ ﬁ"], textfold.to_ascii(F.col("v")))
     assert got == ["Zazolc gesla", "a--b...", "?", "??", "tab?here", "? fi"]

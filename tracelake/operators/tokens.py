@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.jsons import json_find
+from tracelake.functions.jsons import json_lookup, json_read, lookup
 from tracelake.functions.secrets import SHAPES, TOKEN_RX, is_noise, mask_kind, shape_hits
 
 # Markers of OAuth2 grants and of another provider's keys.
@@ -15,15 +16,36 @@ LEFTOVER = ("SCOUT_TOKEN", "snapchat_token", "auth_token")
 
 
 def access_tokens(docs: DataFrame, doc: str, keep: list[str]) -> DataFrame:
-    """Top-level string fields holding a token, with the account the document names."""
-    fields = F.map_entries(F.from_json(F.when(F.col(doc).contains("EAA"), F.col(doc)), "map<string,string>"))
-    found = docs.select(*keep, doc, F.explode(fields).alias("e")).filter(F.col("e.value").startswith("EAA"))
-    # The lookup runs only for documents that hold a token.
-    return found.select(
-        *keep, F.col("e.key").alias("field"), F.col("e.value").alias("token"),
-        json_find(F.col(doc), ("uid", "fbid", "id")).alias("uid"),
-        json_find(F.col(doc), ("name", "display_name", "username"), text_only=True).alias("name"),
-        is_noise(F.col("e.value"), F.col("e.key")).alias("noise"))
+    """Top-level string fields holding a token, with the account the document names.
+
+    A document is read once, whatever its depth, and only if it shows a token at all.
+    """
+    rows = docs.filter(F.col(doc).contains("EAA")).select(*keep, F.col(doc).alias("_doc"))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+
+    def run(batches):
+        for batch in batches:
+            row, columns = [], [[], [], [], []]
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                document, _ = json_read(text)
+                tokens = [(k, v) for k, v in document.items() if isinstance(v, str) and v.startswith("EAA")] if isinstance(document, dict) else []
+                if tokens:
+                    account = lookup(document, ("uid", "fbid", "id")), lookup(document, ("name", "display_name", "username"), True)
+                    row += [i] * len(tokens)
+                    for column, values in zip(columns, zip(*((*t, *account) for t in tokens))):
+                        column.extend(values)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row, pa.int64())) for c in batch.columns[:-1]), *(pa.array(c, pa.string()) for c in columns)],
+                                             names=[*batch.schema.names[:-1], "field", "token", "uid", "name"])
+
+    found = rows.mapInArrow(run, (types + ", " if types else "") + "field string, token string, uid string, name string")
+    return found.withColumn("noise", is_noise(F.col("token"), F.col("field")))
+
+
+def unread_documents(docs: DataFrame, doc: str, by: list[str]) -> DataFrame:
+    """Per ``by``: documents, and those that are broken or empty and so show no token they may hold."""
+    status = json_lookup(F.col(doc), {})["status"]
+    return docs.select(*by, status.alias("status")).groupBy(*by).agg(
+        F.count("*").alias("documents"), F.count_if(F.col("status") == "broken").alias("broken"), F.count_if(F.col("status") == "empty").alias("empty"))
 
 
 def merge_tokens(hits: DataFrame, tie: str) -> DataFrame:

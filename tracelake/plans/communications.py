@@ -213,6 +213,14 @@ def token_noise(spark, sf):
     return token_hits(spark, sf)
 
 
+@query("f8_unread_documents", "F8", oracle=cte("token_docs") + """
+  SELECT source, count(*) AS documents, count(*) FILTER (doc_id % 10 = 3) AS broken, count(*) FILTER (doc_id % 10 = 4) AS empty FROM token_docs GROUP BY source""")
+def unread_documents(spark, sf):
+    n = F.col("doc_id") % 10
+    docs = token_docs(spark, sf).withColumn("doc", F.when(n == 3, F.concat("doc", F.lit("}"))).when(n != 4, F.col("doc")))
+    return T.unread_documents(docs, "doc", ["source"])
+
+
 @query("j17_merged_tokens", "J17", oracle=cte("token_docs") + f""", {SQL_HITS}
   SELECT token, coalesce(arg_min(uid, doc_id) FILTER (uid <> ''), '') AS uid, coalesce(arg_min(name, doc_id) FILTER (uid <> ''), '') AS name, arg_min(field, doc_id) AS field,
     CAST(length(token) AS BIGINT) AS length, count(*) AS occurrences, count(DISTINCT source) AS sources FROM hits WHERE NOT noise GROUP BY token""")

@@ -282,18 +282,41 @@ def category(spark, sf):
     return inventory(spark, sf).select("inode", R.category(F.col("path")).alias("category"))
 
 
-@query("p40_json_find", "P40", oracle=cte("timeline") + """
-  SELECT event_id, CASE event_id % 4 WHEN 3 THEN '' ELSE package END AS uid,
-    CASE event_id % 4 WHEN 0 THEN 'user ' || package WHEN 1 THEN 'u' || package ELSE '' END AS name FROM timeline""")
-def json_find(spark, sf):
-    n, u = F.col("event_id") % 4, F.col("package")
+def account_documents(spark, sf):
+    """Documents by event_id % 6: flat, nested, with a list, no JSON, 3000 levels deep, cut off."""
+    n, u = F.col("event_id") % 6, F.col("package")
     doc = (F.when(n == 0, F.concat(F.lit('{"meta": {"k": 1}, "uid": "'), u, F.lit('", "name": "user '), u, F.lit('"}')))
            .when(n == 1, F.concat(F.lit('{"a": {"b": {"id": '), u, F.lit(', "name": ""}}, "z": {"username": "u'), u, F.lit('"}}')))
            .when(n == 2, F.concat(F.lit('{"list": [{"id": 5}], "in": {"fbid": '), u, F.lit('}}')))
-           .otherwise("not json"))
-    return timeline(spark, sf).select(
-        "event_id", J.json_find(doc, ("uid", "fbid", "id")).alias("uid"),
-        J.json_find(doc, ("name", "display_name", "username"), text_only=True).alias("name"))
+           .when(n == 3, "not json")
+           .when(n == 4, F.when(F.col("event_id") % 60 == 4, F.concat(F.repeat(F.lit('{"d": '), F.lit(3000)), F.lit('{"id": "'), u, F.lit('"'), F.repeat(F.lit("}"), F.lit(3001)))))
+           .otherwise(F.concat(F.lit('{"uid": "'), u, F.lit('", "open": ['))))
+    return timeline(spark, sf).select("event_id", doc.alias("doc"))
+
+
+ACCOUNT = {"uid": (("uid", "fbid", "id"), False), "name": (("name", "display_name", "username"), True)}
+
+
+@query("p40_json_find", "P40", oracle=cte("timeline") + """
+  SELECT event_id, CASE WHEN event_id % 6 IN (3, 5) THEN 'broken' WHEN event_id % 6 < 3 OR event_id % 60 = 4 THEN 'ok' ELSE 'empty' END AS status,
+    CASE WHEN event_id % 6 < 3 OR event_id % 60 = 4 THEN package ELSE '' END AS uid,
+    CASE event_id % 6 WHEN 0 THEN 'user ' || package WHEN 1 THEN 'u' || package ELSE '' END AS name FROM timeline""")
+def json_find(spark, sf):
+    found = account_documents(spark, sf).select("event_id", J.json_lookup(F.col("doc"), ACCOUNT).alias("f"))
+    return found.select("event_id", "f.*")
+
+
+@query("p40_json_fields", "P40", oracle=cte("timeline") + """
+  SELECT event_id, unnest([{'path': '/meta', 'key': 'k', 'value': '1', 'kind': 'number', 'status': 'ok'}, {'path': '', 'key': 'uid', 'value': package, 'kind': 'text', 'status': 'ok'},
+    {'path': '', 'key': 'name', 'value': 'user ' || package, 'kind': 'text', 'status': 'ok'}], recursive := true) FROM timeline WHERE event_id % 6 = 0
+  UNION ALL SELECT event_id, unnest([{'path': '/a/b', 'key': 'id', 'value': package, 'kind': 'number', 'status': 'ok'}, {'path': '/a/b', 'key': 'name', 'value': '', 'kind': 'text', 'status': 'ok'},
+    {'path': '/z', 'key': 'username', 'value': 'u' || package, 'kind': 'text', 'status': 'ok'}], recursive := true) FROM timeline WHERE event_id % 6 = 1
+  UNION ALL SELECT event_id, unnest([{'path': '/list/0', 'key': 'id', 'value': '5', 'kind': 'number', 'status': 'ok'}, {'path': '/in', 'key': 'fbid', 'value': package, 'kind': 'number', 'status': 'ok'}],
+    recursive := true) FROM timeline WHERE event_id % 6 = 2
+  UNION ALL SELECT event_id, CASE WHEN event_id % 60 = 4 THEN repeat('/d', 3000) END, CASE WHEN event_id % 60 = 4 THEN 'id' END, CASE WHEN event_id % 60 = 4 THEN package END,
+    CASE WHEN event_id % 60 = 4 THEN 'text' END, CASE WHEN event_id % 6 <> 4 THEN 'broken' WHEN event_id % 60 = 4 THEN 'ok' ELSE 'empty' END FROM timeline WHERE event_id % 6 > 2""")
+def json_fields(spark, sf):
+    return J.json_fields(account_documents(spark, sf), "doc", ["event_id"])
 
 
 @query("p41_to_ascii", "P41", oracle="""
