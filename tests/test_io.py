@@ -63,6 +63,52 @@ def test_blocks_and_notes(spark):
     assert sorted((r.block, r.key, r.value) for r in rows) == [(-1, "update", "1"), (1, "ssid", "a")]
 
 
+def crash_fold(lines):
+    """Occurrences per header line, one line after the other."""
+    out, group = {}, None
+    for i, line in enumerate(lines):
+        key, _, value = line.partition(": ")
+        if key == "package name":
+            group = i
+            out[group] = [value, 0, ""]
+        elif key == "happen time" and group is not None:
+            out[group][1] += 1
+            out[group][2] = max(out[group][2], value)
+    return sorted(tuple(v) for v in out.values())
+
+
+def test_one_long_log_over_many_tasks(spark, tmp_path):
+    # Few headers: most splits have none and take theirs from a split far before.
+    lines = ["happen time: before any header"] + [
+        f"package name: com.p{i}" if i % 700_001 == 5 else f"happen time: {i % 9973:05d}" if i % 5 == 0 else "free text" for i in range(5_000_000)]
+    (tmp_path / "log.txt").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2m")
+    try:
+        read = textlogs.read_lines(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > 20 and read.select("split").distinct().count() > 20
+        rows = textlogs.crash_history(read, None, ["file"]).collect()
+        assert sorted((r.package, r.occurrences, r.last_time) for r in rows) == crash_fold(lines)
+        last = textlogs.numbered(read.filter("split >= 0"), ["file"]).agg(F.max("pos"), F.count_distinct("pos")).first()
+        assert tuple(last) == (5_000_000, 5_000_001)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("size", [2, 3, 1 << 16])
+def test_splits_of_a_text_change_nothing(spark, monkeypatch, size):
+    monkeypatch.setattr(textlogs, "LINES", size)
+    text = 'update=1\nnetwork={\n ssid="a"\n #c=d\n psk=1\n}\nx=2\nnetwork={\n}\nnetwork={\n k=1\nnetwork={\n k=2\n}\nnetwork={\n ssid="never"\n'
+    df = spark.createDataFrame([(1, text)], "f int, t string")
+    assert sorted((r.block, r.key, r.value) for r in textlogs.block_rows(df, "t", ["f"]).collect()) == [(-1, "update", "1"), (-1, "x", "2"), (1, "psk", "1"), (1, "ssid", "a"), (11, "k", "2")]
+    notes = "kernel reboot: a\nx\nx\nx\nrecord time_stamp: 1\nx\nrecord time_stamp: 2\nkernel reboot: b\nkernel reboot: c\nx\nx\nrecord time_stamp: 3"
+    got = textlogs.carry_note(spark.createDataFrame([(1, notes)], "f int, t string"), "t", ["f"]).collect()
+    assert sorted((r.local, r.note) for r in got) == [("1", "a"), ("2", ""), ("3", "c")]
+    said = "Fix? no\nFix?\nfirst\n\n\nOptimize? yes\nsecond\nexit=1"
+    got = textlogs.checker_messages(spark.createDataFrame([(1, said)], "f int, t string"), "t", ["f"]).collect()
+    assert sorted(r.message for r in got) == ["Fix? no  [Fix?]", "first  [Optimize? yes]", "second"]
+
+
 def test_checks_and_markdown(spark):
     results = checks.check_results(PV.asserted(spark, SF))
     assert {r.check_id: r.passed for r in results.collect()}["timeline.odd"] is False

@@ -39,7 +39,7 @@ def config_texts(spark, sf):
                     F.lit('"\n\t# a=b\n\tpsk="pw'), n, F.lit('"\n}\n'),
                     F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('network={\n\tssid="open'), "lang", F.lit('"\n\tkey_mgmt=NONE\n}\n')))
                     .when(F.col("doc_id") % 3 == 1, "network={\n\tssid=\"lost\"\nnetwork={\n\tssid=\"kept\"\n}\nnetwork={\n\tssid=\"cut\"\n")
-                    .otherwise("late=1\n"))
+                    .otherwise("late=1\n"), F.col("text"))
     return table(spark, sf, "documents").select("doc_id", text.alias("t"))
 
 
@@ -47,18 +47,18 @@ SQL_CONFIG = """(SELECT doc_id, 'ctrl=x' || chr(10) || 'device_name=dev' || doc_
   || chr(9) || '# a=b' || chr(10) || chr(9) || 'psk="pw' || doc_id || '"' || chr(10) || '}' || chr(10) || CASE doc_id % 3
     WHEN 0 THEN 'network={' || chr(10) || chr(9) || 'ssid="open' || lang || '"' || chr(10) || chr(9) || 'key_mgmt=NONE' || chr(10) || '}' || chr(10)
     WHEN 1 THEN 'network={' || chr(10) || chr(9) || 'ssid="lost"' || chr(10) || 'network={' || chr(10) || chr(9) || 'ssid="kept"' || chr(10) || '}' || chr(10)
-      || 'network={' || chr(10) || chr(9) || 'ssid="cut"' || chr(10) ELSE 'late=1' || chr(10) END AS t FROM documents)"""
+      || 'network={' || chr(10) || chr(9) || 'ssid="cut"' || chr(10) ELSE 'late=1' || chr(10) END || text AS t FROM documents)"""
 SQL_BLOCKS = f"""l AS ({SQL_LINES.format(src=SQL_CONFIG)}),
   m AS (SELECT *, CASE WHEN starts_with(line, 'network=') THEN 'open' WHEN line = '}}' THEN 'close' END AS mark FROM l WHERE line <> '' AND NOT starts_with(line, '#')),
   s AS (SELECT *, count(mark) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM m),
   k AS (SELECT doc_id, seg, mark, pos FROM s WHERE mark IS NOT NULL),
-  p AS (SELECT s.doc_id, CASE WHEN b.mark = 'open' THEN b.pos ELSE -1 END AS block, split_part(line, '=', 1) AS key,
-      CASE WHEN b.mark = 'open' THEN trim(split_part(line, '=', 2), '"') ELSE split_part(line, '=', 2) END AS value
+  p AS (SELECT s.doc_id, CASE WHEN b.mark = 'open' THEN b.pos ELSE -1 END AS block, trim(split_part(line, '=', 1)) AS key, s.pos,
+      CASE WHEN b.mark = 'open' THEN trim(trim(substr(line, strpos(line, '=') + 1)), '"') ELSE trim(substr(line, strpos(line, '=') + 1)) END AS value
     FROM s LEFT JOIN k b ON b.doc_id = s.doc_id AND b.seg = s.seg LEFT JOIN k a ON a.doc_id = s.doc_id AND a.seg = s.seg + 1
     WHERE s.mark IS NULL AND contains(line, '=') AND (coalesce(b.mark, 'close') = 'close' OR a.mark = 'close'))"""
 
 
-@query("s7_block_rows", "S7", oracle=f"WITH {SQL_BLOCKS} SELECT doc_id, block, key, value FROM p")
+@query("s7_block_rows", "S7", oracle=f"WITH {SQL_BLOCKS} SELECT doc_id, block, key, arg_max(value, pos) AS value FROM p GROUP BY ALL")
 def block_rows(spark, sf):
     rows = L.block_rows(config_texts(spark, sf), "t", ["doc_id"])
     return rows.withColumn("block", F.col("block").cast("long"))
@@ -103,23 +103,28 @@ def crash_history(spark, sf):
 @query("s9_carry_note", "S9", oracle="""
   SELECT doc_id, 'note ' || doc_id AS note, '2024-01-02 03:04:05' AS local FROM documents
   UNION ALL SELECT doc_id, '', '2024-01-02 03:05:0' || (doc_id % 10) FROM documents
-  UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'second' ELSE '' END, 'x:y' FROM documents WHERE doc_id % 3 = 0""")
+  UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'second' ELSE '' END, 'x:y' FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, trim(l[i - 1]), trim(l[i]) FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(2, len(l) + 1, 2)) AS t(i)""")
 def carry_note(spark, sf):
+    """A few records, then the text: its lines are a note and a record in turn."""
     n = F.col("doc_id")
+    lines = F.array_join(F.transform(F.split("text", NL), lambda x, i: F.concat(F.when(i % 2 == 0, "kernel reboot:").otherwise("record time_stamp:"), x)), NL)
     text = F.concat(F.lit("kernel reboot: old\nkernel reboot: note "), n.cast("string"), F.lit("\nother\n record time_stamp: 2024-01-02 03:04:05\nrecord time_stamp: 2024-01-02 03:05:0"),
                     (n % 10).cast("string"), F.lit(NL), F.when(n % 2 == 0, "kernel reboot: second\n").otherwise("kernel reboot\n"),
-                    F.when(n % 3 == 0, "record time_stamp: x:y\n").otherwise("kernel reboot: unused\n"))
+                    F.when(n % 3 == 0, "record time_stamp: x:y\n").otherwise("kernel reboot: unused\n"), lines)
     d = table(spark, sf, "documents").select("doc_id", text.alias("t"))
     return L.carry_note(d, "t", ["doc_id"]).select("doc_id", "note", "local")
 
 
 @query("s10_debug_log", "S10", oracle="""
   SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'app.txt' ELSE 'app_2024.txt' END AS name, '5' AS priority, 'Tag' || source AS tag, 'MAIN' AS level,
-    CASE WHEN doc_id % 4 = 0 THEN '03-0' ELSE '2024-03-0' END || (doc_id % 9 + 1) AS date, '10:11:12' AS time, 'am ' || split_part(text, chr(10), 1) AS message FROM documents""")
+    CASE WHEN doc_id % 4 = 0 THEN '03-0' ELSE '2024-03-0' END || (doc_id % 9 + 1) AS date, '10:11:12' AS time, trim(line) AS message
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''""")
 def debug_log(spark, sf):
+    """Every line of the text as the message of one log line."""
     n = F.col("doc_id")
-    first = F.get(F.split("text", "\n"), 0)
-    text = F.concat(F.lit("header\n  5 Tag"), F.col("source"), F.lit(" [MAIN] 03-0"), (n % 9 + 1).cast("string"), F.lit(" 10:11:12 am "), first, F.lit("\nbad line [x]\n"))
+    head = F.concat(F.lit("  5 Tag"), F.col("source"), F.lit(" [MAIN] 03-0"), (n % 9 + 1).cast("string"), F.lit(" 10:11:12 "))
+    text = F.concat(F.lit("header\n"), F.array_join(F.transform(F.split("text", NL), lambda x: F.concat(head, x)), NL), F.lit("\nbad line [x]\n"))
     name = F.when(n % 4 == 0, "app.txt").otherwise("app_2024.txt")
     d = table(spark, sf, "documents").select("doc_id", name.alias("name"), text.alias("t"))
     return L.parse_debug_log(d, "t", "name", ["doc_id"]).drop("pos")
@@ -143,7 +148,8 @@ def tombstone_fields(spark, sf):
 @query("p39_bucket_messages", "P39", oracle="""
   WITH m AS (SELECT doc_id, unnest([CASE doc_id % 6 WHEN 0 THEN 'Inode 7 Timestamp(s) on it pre-1970' WHEN 1 THEN 'Free blocks count wrong (2, counted=3).'
       WHEN 2 THEN 'Unattached inode ' || doc_id WHEN 3 THEN 'Inode 9, i_size is 4, should be 5.' WHEN 4 THEN 'Block bitmap differences: +1' ELSE 'Could not open' END
-      || CASE WHEN doc_id % 2 = 0 THEN '  [Fix? no]' ELSE '  [Optimize? yes]  [Fix?]' END, 'plain words ' || source]) AS message FROM documents)
+      || CASE WHEN doc_id % 2 = 0 THEN '  [Fix? no]' ELSE '  [Optimize? yes]  [Fix?]' END, 'plain words ' || source]) AS message FROM documents
+    UNION ALL SELECT doc_id, line FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' AND NOT regexp_matches(line, '^([$]|Warning:|Pass |exit=)'))
   SELECT bucket, CASE WHEN bucket IN ('timestamp_pre1970', 'extent_tree_short') THEN 'info' WHEN bucket = 'unreadable' THEN 'critical' WHEN bucket = 'other' THEN 'warn' ELSE 'finding' END AS severity,
     count(*) AS messages, min(message) AS sample FROM (SELECT message, CASE WHEN regexp_matches(message, 'Timestamp\\(s\\).*pre-1970') THEN 'timestamp_pre1970'
       WHEN contains(message, 'Free blocks count wrong') THEN 'free_blocks_count' WHEN contains(message, 'Unattached inode') THEN 'unattached_inode'
@@ -156,7 +162,7 @@ def bucket_messages(spark, sf):
             .when(n % 6 == 2, F.concat(F.lit("Unattached inode "), n.cast("string"))).when(n % 6 == 3, "Inode 9, i_size is 4, should be 5.")
             .when(n % 6 == 4, "Block bitmap differences: +1").otherwise("Could not open"))
     text = F.concat_ws("\n", F.lit("$ e2fsck\nWarning: x\nPass 1: Checking"), head, F.when(n % 2 == 0, "Fix? no").otherwise("Optimize? yes\n\nFix?"),
-                       F.concat(F.lit("  plain words "), "source"), F.lit("exit=4"))
+                       F.concat(F.lit("  plain words "), "source"), F.lit("exit=4"), "text")
     d = table(spark, sf, "documents").select("doc_id", text.alias("t"))
     m = L.checker_messages(d, "t", ["doc_id"]).withColumn("bucket", message_bucket(F.col("message")))
     return m.groupBy("bucket", bucket_severity(F.col("bucket")).alias("severity")).agg(
