@@ -85,20 +85,18 @@ class Automaton(dict):
         for step, pair in enumerate(data["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self._gadget(step, vocabulary[a], vocabulary[b], vocabulary[a + b])
-        self.prefixes: dict[bytes, int] = {}
-        alive = set(self.first) | set(self.born)
-        for token in alive:
-            label = self.labels[token]
-            for end in range(1, len(label)):
-                self.prefixes.setdefault(label[:end], -1)
-            self.prefixes[label] = token
+        alive = {self.labels[token]: token for token in {*self.first, *self.born}}
         self.shorter: dict[int, int] = {}
-        for token in alive:
-            label = self.labels[token]
+        for label, token in alive.items():
             for end in range(len(label) - 1, 0, -1):
-                if self.prefixes.get(label[:end], -1) >= 0:
-                    self.shorter[token] = self.prefixes[label[:end]]
+                if label[:end] in alive:
+                    self.shorter[token] = alive[label[:end]]
                     break
+        import ahocorasick
+        self.arcs = ahocorasick.Automaton()
+        for label, token in alive.items():
+            self.arcs.add_word(label.decode("latin-1"), token)
+        self.arcs.make_automaton()
         added = data.get("added_tokens", [])
         self.labels |= {t["id"]: t["content"].encode() for t in added}
         self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
@@ -134,7 +132,10 @@ class Automaton(dict):
         size, steps, labels = len(raw), self.steps, self.labels
         path: list[int] = []
         at, dead = 0, set()
-        token = self._longest(raw, 0) if size else None
+        line = raw.decode("latin-1")
+        # Arcs by falling length: the table of arcs gives the longest one from each place on.
+        arcs, follows = self.arcs.iter_long(line), True
+        token = next(arcs)[1] if size else None
         while token is not None:
             end = at + len(labels[token])
             goes = end not in dead
@@ -148,8 +149,11 @@ class Automaton(dict):
                 at = end
                 if end == size:
                     break
-                token = self._longest(raw, end)
+                if not follows:
+                    arcs, follows = self.arcs.iter_long(line, at), True
+                token = next(arcs)[1]
                 continue
+            follows = False
             token = self.shorter.get(token)
             while token is None:  # no arc leads on from here, so the last arc was wrong
                 dead.add(at)
@@ -165,17 +169,6 @@ class Automaton(dict):
             self[word] = packed
         return packed
 
-    def _longest(self, raw: bytes, start: int) -> int:
-        """The longest token that begins at ``start``."""
-        prefixes, found = self.prefixes, -1
-        for end in range(start + 1, len(raw) + 1):
-            token = prefixes.get(raw[start:end])
-            if token is None:
-                break
-            if token >= 0:
-                found = token
-        return found
-
     def _plain(self, text: str) -> bytes:
         if text.isascii():
             words = self.split_ascii(text)
