@@ -11,6 +11,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,18 @@ def worker_table(key: Any, build: Callable[[], Any]) -> Any:
     return tables[key]
 
 
+def carried(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function for tasks that gives ``value``, sent once to each executor.
+
+    The value travels as cloudpickle bytes that hold this package's code too, so that workers which
+    can't import the package read it like any other.
+    """
+    import tracelake
+    cloudpickle.register_pickle_by_value(tracelake)
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(sent.value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
 
@@ -57,7 +70,15 @@ def stored(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     path = shared_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; what was made from them must be stored itself."""
+    for table in tables:
+        drop_folder(table.sparkSession, table._stored_at)
 
 
 #: log2 of the bits of a sieve: its size (1 MB) does not depend on the data.

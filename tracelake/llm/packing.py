@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import shipped
-from tracelake.llm.common import stored
+from tracelake.llm.common import carried, stored
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -115,20 +116,22 @@ def pack(df: DataFrame, path: str, width: int = 1024, end_id: int = 0, per_bucke
     pieces = stored(cut(df, path, width, end_id))
     rows = pieces.count()
     buckets = max(16, -(-rows // per_bucket))
-    placed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    placed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     sizes = placed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     # At most one row per length: the histogram is bounded by the width of a sequence.
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start")
+    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
     ranked = placed.withColumn("own", F.row_number().over(own) - 1).join(shifts, ["length", "bucket"])
-    places = spark.sparkContext.broadcast(Places(patterns(histogram, width)))
+    sent = carried(spark, Places(patterns(histogram, width)))
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        sequence, offset = places.value.of(length.to_numpy(np.int64), rank.to_numpy(np.int64))
-        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        places = sent()
+        for length, rank in batches:
+            sequence, offset = places.of(length.to_numpy(np.int64), rank.to_numpy(np.int64))
+            yield pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     at = place("length", F.col("own") + F.col("shift"))
     return ranked.withColumn("at", at).select(

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import carried
+
 #: log2 of the number of hashed features.
 BITS = 18
 MIX = np.uint32(2654435761)
@@ -124,12 +126,12 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A null text counts as empty and gets the score of a text without features. Each row gives one
     row; a column named ``score`` is replaced.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = carried(df.sparkSession, model)
     kept = [f for f in df.schema.fields if f.name != "score"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"])
 
     def run(batches):
-        fitted, stamp = sent.value, np.zeros(1 << BITS, np.int32)
+        fitted, stamp = sent(), np.zeros(1 << BITS, np.int32)
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
             scores = [fitted.score(features(t, stamp)) for t in batch.column(at[text]).to_pylist()]

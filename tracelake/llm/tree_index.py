@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import stored
+from tracelake.llm.common import carried, stored
 from tracelake.llm.vectors import dimension, kmeans, matrix, packed, sample, squared, unpack, valid
 
 #: Rows of a pack; the largest number of queries in a bundle.
@@ -136,13 +136,14 @@ def search(df: DataFrame, k: int = 10, every: int = 100, vector: str = "embeddin
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     tree = Tree()
     tree.grow(data, branch, leaf_rows)
-    sent = spark.sparkContext.broadcast(tree)
+    sent = carried(spark, tree)
     total = rows.count()
 
     def place(batches):
+        grown = sent()
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(sent.value.assign(matrix(batch.column(1)))), batch.column(0), batch.column(1)],
+                yield pa.RecordBatch.from_arrays([pa.array(grown.assign(matrix(batch.column(1)))), batch.column(0), batch.column(1)],
                                                  names=["cell", "vec_id", "v"])
 
     placed = rows.select("vec_id", "v").mapInArrow(place, "cell int, vec_id bigint, v array<double>")
@@ -164,10 +165,11 @@ def search(df: DataFrame, k: int = 10, every: int = 100, vector: str = "embeddin
         visits = calibrated(tree, tq, tv, true, target)
 
     def probe(batches):
+        grown = sent()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            walks = [sent.value.visit(r, visits) for r in matrix(batch.column(1))]
+            walks = [grown.visit(r, visits) for r in matrix(batch.column(1))]
             again = np.repeat(np.arange(len(walks)), [len(w) for w in walks])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(walks).astype(np.int32)), batch.column(0).take(pa.array(again)),
                                               batch.column(1).take(pa.array(again))], names=["cell", "vec_id", "v"])
