@@ -150,3 +150,57 @@ def test_live_dedupe_and_scan(spark, event_stream):
     texts = spark.readStream.schema(spark.read.parquet(f"{SF}/documents.parquet").schema).option("pathGlobFilter", "documents.parquet").parquet(SF)
     drain(live.live_secret_scan(texts, "text", ["doc_id"]), "live_scan")
     assert spark.table("live_scan").filter("shown not like '%…%'").count() == 0
+
+
+@pytest.fixture()
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.unset(key)
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def updates(stream, folder, seen):
+    def take(batch, _):
+        for r in batch.collect():
+            seen[r.device, r.source] = (r.ts, r.event_id, r.kind)
+
+    q = stream.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", str(folder)).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert q.exception() is None
+
+
+def test_live_newest_equals_the_batch_answer_over_a_restart(spark, tmp_path, rocks):
+    from tracelake.operators.timeline import last_per_source
+    t = spark.read.parquet(f"{SF}/events.parquet").select(
+        "event_id", (F.col("event_id") % 2).alias("device"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"), F.col("event_type").alias("kind"), F.col("props").alias("detail"))
+    rows = t.withColumn("ts", F.date_trunc("hour", "ts"))
+    source, seen = tmp_path / "in", {}
+    # The newer half comes first, so the second run brings only late rows and ties; null times are passed over.
+    parts = [rows.filter("event_id % 3 > 0"), rows.filter("event_id % 3 = 0"), rows.limit(5).withColumn("ts", F.lit(None).cast("timestamp"))]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(rows.schema).parquet(str(source))
+        updates(live.live_newest(stream, ["device", "source"], keep=["kind"]), tmp_path / "state", seen)
+    batch = last_per_source(rows.withColumn("unix", F.unix_seconds("ts")), "event_id", ["device"])
+    want = {(r.device, r.source): (r.unix, r.kind) for r in batch.collect()}
+    tie = {(r.device, r.source): r.event_id for r in rows.groupBy("device", "source").agg(F.max_by(F.col("event_id"), F.struct("ts", -F.col("event_id"))).alias("event_id")).collect()}
+    assert {k: (int(v[0].timestamp()), v[2]) for k, v in seen.items()} == want and {k: v[1] for k, v in seen.items()} == tie
+
+
+def test_live_newest_forgets_quiet_keys(spark, tmp_path, rocks):
+    import datetime as dt
+    schema = "event_id long, device string, ts timestamp, source string, kind string"
+    day = lambda n: dt.datetime(2024, 1, n)
+    batches = [[(1, "a", day(1), "s", "x"), (2, "b", day(1), "s", "x")], [(3, "b", day(20), "s", "y")], [(4, "b", day(21), "s", "z")], [(5, "a", day(21), "s", "again"), (6, "a", day(2), "s", "late")]]
+    seen = {}
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        updates(live.live_newest(stream, ["device", "source"], keep=["kind"], late="1 day", forget_ms=5 * 86_400_000), tmp_path / "state", seen)
+    assert {k: v[1:] for k, v in seen.items()} == {("a", "s"): (5, "again"), ("b", "s"): (4, "z")}
+    with pytest.raises(ValueError):
+        live.live_newest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["device"], late="1 day")

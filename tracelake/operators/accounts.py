@@ -59,3 +59,20 @@ def session_cookies(cookies: DataFrame) -> DataFrame:
     from tracelake.functions.urls import SESSION_COOKIES
     return (cookies.filter(F.col("name").isin(*SESSION_COOKIES) & (F.coalesce(F.length("value"), F.lit(0)) > 0))
             .withColumn("value", mask_kind(F.col("value"), "token")))
+
+
+def accounts_by_type(accounts: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Accounts per type: rows, distinct names, and those with a password or token on the device."""
+    kept = F.coalesce(F.col("secret"), F.lit("")) != ""
+    return accounts.groupBy(*by, "type").agg(F.count("*").alias("accounts"), F.countDistinct("name").alias("names"), F.count_if(kept).alias("with_secret"))
+
+
+def cookie_stores(cookies: DataFrame, by: list[str]) -> DataFrame:
+    """Cookies per store: rows, those that can be read (plain or empty), and distinct hosts."""
+    v = F.col("verdict")
+    return cookies.groupBy(*by).agg(F.count("*").alias("cookies"), F.count_if(v.startswith("plain") | (v == "empty")).alias("readable"), F.countDistinct("host").alias("hosts"))
+
+
+def cookie_hosts(cookies: DataFrame, by: list[str]) -> DataFrame:
+    """Every host of every store with its cookies, one row each."""
+    return cookies.groupBy(*by, "host").agg(F.count("*").alias("cookies"))

@@ -346,3 +346,34 @@ def session_cookies(spark, sf):
     name = F.when(n % 5 == 0, "xs").when(n % 5 == 1, "c_user").when(n % 5 == 2, "lang").when(n % 5 == 3, "fr").otherwise("wd")
     cookies = timeline(spark, sf).select("event_id", name.alias("name"), F.when(n % 4 != 3, F.concat(F.col("unix").cast("string"), "package")).otherwise("").alias("value"))
     return A.session_cookies(cookies)
+
+
+@query("a24_accounts_by_type", "A24", oracle="""
+  SELECT c_mktsegment AS type, count(*) AS accounts, count(DISTINCT c_custkey % 700) AS names, count(*) FILTER (c_custkey % 4 < 2) AS with_secret FROM customer GROUP BY 1""")
+def accounts_by_type(spark, sf):
+    n = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("type"), F.concat(F.lit("user "), (n % 700).cast("string")).alias("name"),
+                                               F.when(n % 4 < 2, F.col("c_name")).when(n % 4 == 2, "").alias("secret"))
+    return A.accounts_by_type(rows)
+
+
+SQL_COOKIES = cte("timeline") + """, cookies AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'browser' ELSE 'webview' END AS store, '.h' || (event_id % 90) || '.com' AS host,
+    CASE event_id % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'encrypted (v10)' ELSE 'plain text' END AS verdict FROM timeline)"""
+
+
+def cookies(spark, sf):
+    n = F.col("event_id")
+    blob = F.when(n % 4 == 0, F.encode(F.lit(""), "UTF-8")).when(n % 4 == 1, F.encode(F.concat(F.lit("v10"), "package"), "UTF-8")).otherwise(F.encode("package", "UTF-8"))
+    return timeline(spark, sf).select(F.when(n % 2 == 0, "browser").otherwise("webview").alias("store"), F.concat(F.lit(".h"), (n % 90).cast("string"), F.lit(".com")).alias("host"),
+                                      S.secret_verdict(blob).alias("verdict"))
+
+
+@query("a24_cookie_stores", "A24", oracle=SQL_COOKIES + """
+  SELECT store, count(*) AS cookies, count(*) FILTER (verdict <> 'encrypted (v10)') AS readable, count(DISTINCT host) AS hosts FROM cookies GROUP BY store""")
+def cookie_stores(spark, sf):
+    return A.cookie_stores(cookies(spark, sf), ["store"])
+
+
+@query("a24_cookie_hosts", "A24", oracle=SQL_COOKIES + " SELECT store, host, count(*) AS cookies FROM cookies GROUP BY ALL")
+def cookie_hosts(spark, sf):
+    return A.cookie_hosts(cookies(spark, sf), ["store"])

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.operators import timeline as TL
-from tracelake.plans.standins import cte, inventory, sql_utc, table, timeline
+from tracelake.plans.joinsets import SQL_CLOCK, SQL_INSTALLS, source_status
+from tracelake.plans.standins import CUT, cte, inventory, sql_utc, table, timeline
 from tracelake.registry import query
 from tracelake.verify import checks as V
 from tracelake.verify import report as R
+from tracelake.verify import topics as P
 
 
 def findings(spark, sf):
@@ -106,26 +108,71 @@ def skipped_rollup(spark, sf):
         "carve": count(table(spark, sf, "documents").filter("n_chars < 0"), "unreadable")})
 
 
-def verdict_rows(spark, sf):
-    t = timeline(spark, sf)
-    window = TL.window_summary(t)
-    logins = TL.latest_event(t, "event_id", kind="login")
-    files = inventory(spark, sf).agg(F.count("*").alias("n"), F.sum("size").alias("b"))
-    from tracelake.functions.times import utc_text
-    return R.stack(
-        R.verdict_row(window, "session", F.col("events").cast("string"), F.concat_ws(" / ", "first_utc", "last_utc"), "timeline"),
-        R.verdict_row(logins, "last login", utc_text(F.col("unix")), F.col("package"), "timeline"),
-        R.verdict_row(files, "files", F.col("n").cast("string"), F.col("b").cast("string"), "inventory"))
+FLOOR, SINCE = 1706400000, 1705276800
+SIGNALS = {"lease": "source = 'signup'", "checkin": "source = 'view'", "token": "kind = 'login'"}
 
 
-@query("v7_report_verdicts", "V7", "V8", oracle=cte("timeline", "inventory") + f"""
-  SELECT 'session' AS topic, CAST(count(*) AS VARCHAR) AS answer, {sql_utc('min(unix)')} || ' / ' || {sql_utc('max(unix)')} AS evidence, 'timeline' AS source FROM timeline
+def verdict_rows(spark, sf):
+    from tracelake.plans.joinsets import clock_summary, install_state
+    t, files = timeline(spark, sf), inventory(spark, sf)
+    return R.stack(
+        P.unlock(files, CUT), P.network(t, FLOOR, {k: F.expr(v) for k, v in SIGNALS.items()}), P.accounts(TL.per_service(t, "event_id")), P.session(t), P.last_login(t, "event_id"),
+        P.clock(clock_summary(spark, sf)), P.applications(install_state(spark, sf)), P.system_session(t, F.col("source") == "signup", F.col("kind") == "crash", SINCE),
+        P.acquisition(source_status(spark, sf)), P.files(files))
+
+
+SQL_VERDICTS = f"""
+  SELECT 'unlock' AS topic, CASE WHEN count(*) > 0 THEN 'unlocked' ELSE 'cannot be confirmed' END AS answer, count(*) || ' files, ' || CAST(coalesce(sum(size), 0) AS BIGINT) || ' bytes since ' || {sql_utc(str(CUT))} AS evidence,
+    'inventory' AS source FROM inventory WHERE mtime >= {CUT} AND size >= 4096 AND (starts_with(path, '/data/') OR starts_with(path, '/data/user/0/'))
+  UNION ALL SELECT 'network', CASE WHEN e = '' THEN 'no sign of a connection' ELSE 'connected' END, e, 'timeline' FROM (SELECT concat_ws(', ', """ + ", ".join(
+    f"CASE WHEN max(unix) FILTER ({v}) > {FLOOR} THEN '{k}' END" for k, v in SIGNALS.items()) + f""") AS e FROM timeline)
+  UNION ALL SELECT 'accounts', count(*) FILTER (a > 0) || ' of ' || count(*), 'last authentication ' || coalesce(max(l), '—'), 'timeline'
+    FROM (SELECT count(*) FILTER (kind IN ('login', 'token')) AS a, {sql_utc("max(unix) FILTER (kind IN ('login', 'token'))")} AS l FROM timeline GROUP BY package)
+  UNION ALL SELECT 'session', CAST(count(*) AS VARCHAR), {sql_utc('min(unix)')} || ' / ' || {sql_utc('max(unix)')}, 'timeline' FROM timeline
   UNION ALL (SELECT 'last login', {sql_utc('unix')}, package, 'timeline' FROM timeline WHERE kind = 'login' ORDER BY unix DESC, event_id DESC LIMIT 1)
-  UNION ALL SELECT 'files', CAST(count(*) AS VARCHAR), CAST(CAST(sum(size) AS BIGINT) AS VARCHAR), 'inventory' FROM inventory""")
+  UNION ALL SELECT 'clock', CAST(round(1000.0 * count(*) FILTER (mi OR mu) / count(*)) AS BIGINT) || ' per mille agree', count(*) FILTER (mi OR mu) || ' of ' || count(*) || ', at most '
+    || coalesce(max(CASE WHEN mi THEN abs(mtime - install_unix) WHEN mu THEN abs(mtime - update_unix) END), 0) || ' s apart', 'packages' FROM x
+  UNION ALL SELECT 'applications', CAST(count(*) AS VARCHAR), 'data_dir_present ' || count(*) FILTER (d) || ', gone_but_listed ' || count(*) FILTER (NOT d AND u) || ', no_data_dir ' || count(*) FILTER (NOT d AND NOT u), 'packages'
+    FROM (SELECT part IN (SELECT p_partkey FROM part WHERE p_size % 3 <> 0) AS d, part IN (SELECT l_suppkey * 7 FROM lineitem) AS u FROM installs)
+  UNION ALL SELECT 'system session', CASE WHEN r > 1 OR c > 0 THEN 'unstable_session' ELSE 'stable_session' END, r || ' reboots, ' || c || ' crashes since ' || {sql_utc(str(SINCE))}, 'timeline'
+    FROM (SELECT count(*) FILTER (source = 'signup') AS r, count(*) FILTER (kind = 'crash' AND unix >= {SINCE}) AS c FROM timeline)
+  UNION ALL SELECT 'acquisition', CASE WHEN u > 0 THEN 'incomplete' WHEN a > 0 THEN 'sources absent' ELSE 'complete' END, p || ' read, ' || a || ' absent, ' || u || ' unreadable', 'reads'
+    FROM (SELECT count(*) FILTER (doc_id % 11 = 0) AS u, count(*) FILTER (doc_id % 11 <> 0 AND doc_id % 5 = 0) AS a, count(*) FILTER (doc_id % 11 <> 0 AND doc_id % 5 <> 0) AS p FROM documents)
+  UNION ALL SELECT 'files', CAST(count(*) AS VARCHAR), CAST(CAST(sum(size) AS BIGINT) AS VARCHAR), 'inventory' FROM inventory"""
+SQL_REPORT = cte("timeline", "inventory") + f", {SQL_INSTALLS}, " + SQL_CLOCK.split(f"{SQL_INSTALLS},", 1)[-1]
+
+
+@query("v7_report_verdicts", "V7", oracle=SQL_REPORT + SQL_VERDICTS)
 def report_verdicts(spark, sf):
     return verdict_rows(spark, sf)
 
 
+SQL_TIMES = f"""SELECT n_name AS source, coalesce({sql_utc('w')}, '—') AS written_utc, coalesce(n, 0) AS rows FROM nation
+    LEFT JOIN (SELECT custkey % 40 AS k, max(mtime) AS w, count(*) AS n FROM inventory GROUP BY 1) ON k = n_nationkey + 20"""
+
+
+def written(spark, sf):
+    names = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("source"))
+    seen = inventory(spark, sf).select((F.col("custkey") % 40 - 20).alias("k"), F.col("mtime").alias("unix")).join(names, "k").select("source", "unix")
+    return P.source_times(names.select("source"), seen)
+
+
+@query("v7_source_times", "V7", oracle=cte("inventory") + SQL_TIMES.replace(f"coalesce({sql_utc('w')}, '—')", f"CASE WHEN w IS NULL THEN '—' ELSE {sql_utc('w')} END"))
+def source_times(spark, sf):
+    return written(spark, sf)
+
+
+@query("v8_markdown", "V8", oracle=SQL_REPORT + f""", v AS ({SQL_VERDICTS}),
+  w AS ({SQL_TIMES.replace(f"coalesce({sql_utc('w')}, '—')", f"CASE WHEN w IS NULL THEN '—' ELSE {sql_utc('w')} END")}),
+  l AS (SELECT * FROM (VALUES (0, 0, '# Report | all'), (0, 1, ''), (1, 0, '## Verdicts'), (1, 1, ''), (1, 2, '| topic | answer | evidence | source |'), (1, 3, '|---|---|---|---|'), (1, 5, ''),
+      (2, 0, '## Sources'), (2, 1, ''), (2, 2, '| source | written_utc | rows |'), (2, 3, '|---|---|---|'), (2, 5, '')) AS t(section, part, line)
+    UNION ALL SELECT 1, 4, '| ' || topic || ' | ' || answer || ' | ' || evidence || ' | ' || source || ' |' FROM v
+    UNION ALL SELECT 2, 4, '| ' || source || ' | ' || written_utc || ' | ' || rows || ' |' FROM w)
+  SELECT row_number() OVER (ORDER BY section, part, line) AS line_no, line FROM l""")
+def markdown(spark, sf):
+    return R.markdown_lines("Report | all", {"Verdicts": verdict_rows(spark, sf), "Sources": written(spark, sf)})
+
+
 @query("v7_account_table", "V7", oracle=cte("timeline") + f"""
   SELECT package AS service, coalesce({sql_utc("max(unix) FILTER (kind IN ('login', 'token') AND CAST(package AS BIGINT) % 3 <> 0)").replace("THEN ''", "THEN NULL")}, '—') AS last_auth_utc,
     {sql_utc('max(unix)')} AS last_activity_utc, arg_max(source, unix * 1000000 - event_id) AS source FROM timeline GROUP BY package""")
