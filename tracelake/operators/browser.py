@@ -52,9 +52,9 @@ def identity_hints(urls: DataFrame) -> DataFrame:
         "hints", "m.url", (-F.col("m.i")).alias("id"))
 
 
-def known_visits(visits: DataFrame, urls: DataFrame) -> DataFrame:
-    """Visits whose address is on record; only keys meet here, no address is carried along."""
-    return visits.join(urls.select(F.col("id").alias("url_id")), "url_id", "left_semi")
+def known_visits(visits: DataFrame, urls: DataFrame, store: list[str] = ()) -> DataFrame:
+    """Visits whose address is on record (in the same ``store``); only keys meet here, no address is carried along."""
+    return visits.join(urls.select(*store, F.col("id").alias("url_id")), [*store, "url_id"], "left_semi")
 
 
 def session_runs(visits: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
@@ -65,48 +65,54 @@ def session_runs(visits: DataFrame, by: list[str], gap_seconds: int = 1800) -> D
         F.sum("_n").alias("visits"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
 
 
-def session_visits(visits: DataFrame, urls: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:
-    """Visits with their session number, keys only.
+def session_visits(visits: DataFrame, urls: DataFrame, by: list[str], gap_seconds: int = 1800, store: list[str] = ()) -> DataFrame:
+    """Visits with their session number, keys only; ``store`` (device, profile) names columns of ``by`` that ``urls`` has too.
 
     Several answers start from these rows, so they are written once to the
     checkpoint folder instead of being joined again for each.
     """
-    known = known_visits(visits.select(*by, "visit_id", "visit_time", "url_id"), urls)
+    known = known_visits(visits.select(*by, "visit_id", "visit_time", "url_id"), urls, store)
     return cut_lineage(with_run(known, by, gap_seconds * MICROS, "visit_time", "session"))
 
 
-def sessions(placed: DataFrame, urls: DataFrame, by: list[str], min_size: int = 1,
-             keep_urls: int = 40, keep_domains: int = 10) -> DataFrame:
-    """One row per session: start, end, visits, viewers, and the domains of its first addresses.
+def session_hosts(placed: DataFrame, urls: DataFrame, by: list[str], store: list[str] = ()) -> DataFrame:
+    """Every host of every session, one row each, from whole addresses.
 
-    The first visits are cut to ``keep_urls`` per session in every map task before
-    they are shuffled, and only those meet the addresses.
+    Sessions meet hosts on the distinct addresses they visited; an address is read once, not per visit.
+    """
+    named = urls.select(*store, F.col("id").alias("url_id"), host(F.col("url")).alias("host"))
+    return placed.select(*by, "session", "url_id").distinct().join(named, [*store, "url_id"]).select(*by, "session", "host").distinct()
+
+
+def sessions(placed: DataFrame, urls: DataFrame, by: list[str], min_size: int = 1, show: int = 10, store: list[str] = ()) -> DataFrame:
+    """One row per session: start, end, visits, addresses, hosts, viewers, and hosts to show.
+
+    ``hosts`` counts all hosts; ``domains`` shows the first ``show`` of them by name, and ``more_domains``
+    tells that there are others, which ``session_hosts`` has.
     """
     keys = [*by, "session"]
     summary = placed.groupBy(*keys).agg(
-        F.count("*").alias("visits"), F.min("visit_time").alias("_lo"), F.max("visit_time").alias("_hi")
+        F.count("*").alias("visits"), F.min("visit_time").alias("_lo"), F.max("visit_time").alias("_hi"), F.countDistinct("url_id").alias("urls")
     ).filter(F.col("visits") >= min_size)
-    first = first_k_per(placed.select(*keys, "visit_time", "visit_id", "url_id"), keys,
-                        [F.asc("visit_time"), F.asc("visit_id")], keep_urls)
-    named = first.join(urls.select(F.col("id").alias("url_id"), host(F.left("url", F.lit(160))).alias("host")), "url_id")
-    listed = named.groupBy(*keys).agg(F.count("*").alias("urls"), F.array_join(
-        F.slice(F.array_sort(F.collect_set("host")), 1, keep_domains), ",").alias("domains"))
-    viewers = session_viewers(placed, urls, by).groupBy(*keys).agg(F.count("*").alias("viewers"))
+    all_hosts = session_hosts(placed, urls, by, store)
+    shown = first_k_per(all_hosts, keys, [F.asc("host")], show).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("host")), ",").alias("domains"))
+    listed = all_hosts.groupBy(*keys).agg(F.count("*").alias("hosts")).join(shown, keys)
+    viewers = session_viewers(placed, urls, by, store).groupBy(*keys).agg(F.count("*").alias("viewers"))
     return (summary.join(listed, keys).join(viewers, keys, "left").select(
         *keys, "visits", webkit_time(F.col("_lo")).alias("start_utc"), webkit_time(F.col("_hi")).alias("end_utc"),
-        "urls", "domains", F.coalesce("viewers", F.lit(0)).alias("viewers")))
+        "urls", "hosts", "domains", (F.col("hosts") > show).alias("more_domains"), F.coalesce("viewers", F.lit(0)).alias("viewers")))
 
 
-def url_viewers(urls: DataFrame) -> DataFrame:
+def url_viewers(urls: DataFrame, store: list[str] = ()) -> DataFrame:
     """Acting accounts an address shows; read from the addresses once, not from every visit."""
     hints = url_hints(F.col("url"))
     pair = F.array_compact(F.array(F.try_element_at(hints, F.lit("viewer_uid")), F.try_element_at(hints, F.lit("viewer_av"))))
-    return urls.filter(may_hint(F.col("url"))).select(F.col("id").alias("url_id"), F.explode(pair).alias("viewer"))
+    return urls.filter(may_hint(F.col("url"))).select(*store, F.col("id").alias("url_id"), F.explode(pair).alias("viewer"))
 
 
-def session_viewers(placed: DataFrame, urls: DataFrame, by: list[str]) -> DataFrame:
+def session_viewers(placed: DataFrame, urls: DataFrame, by: list[str], store: list[str] = ()) -> DataFrame:
     """Distinct acting accounts per session, one row each."""
-    return placed.join(url_viewers(urls), "url_id").select(*by, "session", "viewer").distinct()
+    return placed.select(*by, "session", "url_id").distinct().join(url_viewers(urls, store), [*store, "url_id"]).select(*by, "session", "viewer").distinct()
 
 
 def longest_sessions(visits: DataFrame, urls: DataFrame, by: list[str], gap_seconds: int = 1800) -> DataFrame:

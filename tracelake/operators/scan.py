@@ -116,19 +116,22 @@ def first_hits(hits: DataFrame, order: list[str], k: int) -> DataFrame:
     return counted.filter(F.col("_r") <= k).drop("_one", "_r")
 
 
+def contexts(df: DataFrame, text: str, needle: str, keep: list[str], around: int = 64, reveal: bool = False) -> DataFrame:
+    """Every hit in every text: ``keep``, offset (zero-based characters) and the redacted context."""
+    rows = df.filter(F.col(text).contains(needle)).select(*keep, text, _positions(needle)(F.col(text)).alias("_at"))
+    # Contexts are cut before the hits become rows, so no text is repeated per hit.
+    shown = F.transform("_at", lambda at: F.struct(at.alias("offset"), context(F.col(text), at, around, needle, reveal).alias("context")))
+    return rows.select(*keep, F.explode(shown).alias("_h")).select(*keep, "_h.offset", "_h.context")
+
+
 def hit_report(df: DataFrame, text: str, key: str, base: Column, needle: str, extents: DataFrame,
                block_size: int, around: int = 64, reveal: bool = False, by: list[str] = ()) -> DataFrame:
     """Hits with redacted context and the file that owns their place in the image.
 
     Columns ``by`` (a device, say) are in ``df`` and ``extents``; an offset meets files of its own device only.
     """
-    rows = df.filter(F.col(text).contains(needle))
-    found = rows.select(*by, key, text, base.alias("_base"), _positions(needle)(F.col(text)).alias("_at"))
-    # Contexts are cut before the hits become rows, so no text is repeated per hit.
-    shown = F.transform("_at", lambda at: F.struct(
-        at.alias("at"), context(F.col(text), at, around, needle, reveal).alias("context")))
-    hits = found.select(*by, key, "_base", F.explode(shown).alias("h"))
-    placed = hits.select(*by, key, (F.col("_base") + F.col("h.at")).alias("offset"), F.col("h.context").alias("context"))
+    hits = contexts(df.withColumn("_base", base), text, needle, [*by, key, "_base"], around, reveal)
+    placed = hits.select(*by, key, (F.col("_base") + F.col("offset")).alias("offset"), "context")
     return owners_of_offsets(placed, extents, block_size, by).select(*by, key, "offset", "context", "path", "file_offset")
 
 

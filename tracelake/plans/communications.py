@@ -159,16 +159,24 @@ SQL_SESSIONS = cte("visits", "urls") + f", v AS (SELECT visits.*, url AS address
 
 
 @query("w2_browsing_sessions", "W2", gap=1800, oracle=SQL_SESSIONS + f""",
-  f AS (SELECT *, row_number() OVER (PARTITION BY "user", run ORDER BY visit_time, visit_id) AS n FROM r),
+  f AS (SELECT * FROM r),
   g AS (SELECT "user", run, unnest([regexp_extract(address, '[?&]av=(\\d+)', 1), CASE WHEN regexp_matches(address, '[?&]lst=\\d+:') THEN regexp_extract(address, '[?&]lst=(\\d+):', 1) ELSE '' END]) AS viewer FROM r)
   SELECT f."user", f.run AS session, count(*) AS visits, {sql_utc(f'(min(visit_time) // 1000000 - {WEBKIT_DELTA})')} AS start_utc, {sql_utc(f'(max(visit_time) // 1000000 - {WEBKIT_DELTA})')} AS end_utc,
-    count(*) FILTER (n <= 40) AS urls, array_to_string(list_sort(list_distinct(list(regexp_extract(left(address, 160), '//([^/?#]*)', 1)) FILTER (n <= 40)))[1:10], ',') AS domains,
+    count(DISTINCT url_id) AS urls, count(DISTINCT regexp_extract(address, '//([^/?#]*)', 1)) AS hosts, count(DISTINCT regexp_extract(address, '//([^/?#]*)', 1)) > 10 AS more_domains,
+    array_to_string(list_sort(list_distinct(list(regexp_extract(address, '//([^/?#]*)', 1))))[1:10], ',') AS domains,
     (SELECT count(DISTINCT viewer) FROM g WHERE g."user" = f."user" AND g.run = f.run AND viewer <> '') AS viewers FROM f GROUP BY f."user", f.run""")
 def browsing_sessions(spark, sf, gap):
     u = urls(spark, sf)
     return B.sessions(B.session_visits(visits(spark, sf), u, ["user"], gap), u, ["user"])
 
 
+@query("w2_session_hosts", "W2", gap=1800, oracle=SQL_SESSIONS + """
+  SELECT DISTINCT "user", run AS session, regexp_extract(address, '//([^/?#]*)', 1) AS host FROM r""")
+def session_hosts(spark, sf, gap):
+    u = urls(spark, sf)
+    return B.session_hosts(B.session_visits(visits(spark, sf), u, ["user"], gap), u, ["user"])
+
+
 @query("w2_session_viewers", "W2", gap=1800, oracle=SQL_SESSIONS + """
   SELECT DISTINCT "user", run AS session, viewer FROM (SELECT "user", run, unnest([regexp_extract(address, '[?&]av=(\\d+)', 1), regexp_extract(address, '[?&]lst=(\\d+):', 1)]) AS viewer FROM r) WHERE viewer <> ''""")
 def session_viewers(spark, sf, gap):

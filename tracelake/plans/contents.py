@@ -60,11 +60,14 @@ def first_hits(spark, sf, k):
 
 
 @query("x9_embedded_db_names", "X9", oracle="""
-  SELECT doc_id, '/data/com.' || source || '/databases/s' || (doc_id % 4) || '.db' AS listed FROM documents""")
+  SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(['/data/com.' || source || '/databases/s' || (doc_id % 4) || '.db'],
+    list_filter(list_transform(string_split(text, '.'), lambda x: regexp_extract(x, '[ -~]{16,}$') || '.db'), lambda x: length(x) > 3)))), ',') AS listed FROM documents""")
 def embedded_db_names(spark, sf):
+    """A name twice between bytes that end it, then the text, whose sentences end in .db instead of a stop."""
     name = F.concat(F.lit("/data/com."), "source", F.lit("/databases/s"), (F.col("doc_id") % 4).cast("string"), F.lit(".db"))
+    text = F.array_join(F.transform(F.split("text", r"\."), lambda x: F.concat(x, F.lit(".db"))), "\x01")
     blob = F.concat(F.unhex(F.lit("00FF")), F.encode(name, "UTF-8"), F.unhex(F.lit("00")), F.encode(F.lit("x.db"), "UTF-8"),
-                    F.unhex(F.lit("01")), F.encode(name, "UTF-8"), F.unhex(F.lit("0A")))
+                    F.unhex(F.lit("01")), F.encode(name, "UTF-8"), F.unhex(F.lit("0A")), F.encode(text, "UTF-8"))
     return table(spark, sf, "documents").select("doc_id", F.array_join(BL.embedded_db_names(BL.latin(blob)), ",").alias("listed"))
 
 

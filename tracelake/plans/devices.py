@@ -21,6 +21,7 @@ from tracelake.plans.contents import NEEDLE
 from tracelake.plans.contents import SQL_HITS as SQL_NEEDLES
 from tracelake.plans.standins import BLOCK, cte, extents, histories, inventory, sql_utc, table, timeline, urls, visits
 from tracelake.plans.strings import sql_codes
+from tracelake.plans.timelines import sql_runs
 from tracelake.registry import query
 
 DEVICES = 3
@@ -92,6 +93,16 @@ def visits_with_urls(spark, sf):
     return B.visits_with_urls(v, u, BY).select("device", "visit_id", "user", "address")
 
 
+@query("w2_device_sessions", "W2", gap=1800, oracle=cte("visits", "urls") + f""",
+  v AS (SELECT url_id % {DEVICES} AS device, url_id % {DEVICES} || '-' || "user" AS owner, visit_time, visit_id, url AS address FROM visits JOIN urls ON id = url_id),
+  {sql_runs('v', 'owner', 'visit_time', 1800 * 1000000)}
+  SELECT device, split_part(owner, '-', 2) AS "user", run AS session, count(*) AS visits, count(DISTINCT regexp_extract(address, '//([^/?#]*)', 1)) AS hosts FROM r GROUP BY ALL""")
+def device_sessions(spark, sf, gap):
+    v, u = on_device(visits(spark, sf), "url_id"), on_device(urls(spark, sf), "id")
+    by = ["device", "user"]
+    return B.sessions(B.session_visits(v, u, by, gap, BY), u, by, store=BY).select("device", "user", "session", "visits", "hosts")
+
+
 @query("j7_device_terms", "J7", oracle=cte("histories") + f"""
   SELECT id % {DEVICES} AS device, term, url, {sql_utc(f'(last_visit // 1000000 - {WEBKIT_DELTA})')} AS last_visit_utc, visit_count
   FROM histories JOIN (SELECT c_name AS term, c_custkey % (SELECT count(*) FROM pages) AS url_id FROM customer) ON id = url_id""")

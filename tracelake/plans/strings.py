@@ -11,6 +11,7 @@ from tracelake.functions import rules as R
 from tracelake.functions import secrets as S
 from tracelake.functions import textfold as X
 from tracelake.functions import urls as U
+from tracelake.operators import scan as S_
 from tracelake.plans.standins import (blobs, cte, inventory, messages, sql_package, table, timeline,
                                       token_docs, urls)
 from tracelake.registry import query
@@ -158,9 +159,9 @@ def looks_encrypted(spark, sf):
     WHEN n = 3 THEN 'encrypted (v11)' WHEN n = 4 THEN 'encrypted (v20)'
     WHEN regexp_matches(text, '^[ -~]+$') AND NOT regexp_matches(text, '[\\n\\r]') THEN 'plain text'
     ELSE 'binary (' || octet_length(encode(text)) || ' B)' END AS verdict
-  FROM (SELECT doc_id, doc_id % 7 AS n, substr(text, 1, 40) AS text FROM documents)""")
+  FROM (SELECT doc_id, doc_id % 7 AS n, text FROM documents)""")
 def secret_verdict(spark, sf):
-    n, text = F.col("doc_id") % 7, F.substr(F.col("text"), F.lit(1), F.lit(40))
+    n, text = F.col("doc_id") % 7, F.col("text")
     blob = F.encode(F.when(n == 1, "").when(n == 2, F.concat(F.lit("v10"), text)).when(n == 3, F.concat(F.lit("v11"), text))
                     .when(n == 4, F.concat(F.lit("v20"), text)).when(n > 4, text), "UTF-8")
     return table(spark, sf, "documents").select("doc_id", S.secret_verdict(blob).alias("verdict"))
@@ -330,29 +331,27 @@ def to_ascii(spark, sf):
         X.has_non_ascii(text).alias("has_odd"))
 
 
-@query("p42_context", "P42", oracle="""
-  SELECT doc_id, pos, replace(text[greatest(pos - 20, 0) + 1 : greatest(pos - 20, 0) + 40 + 2], 'on', '??') AS shown
-  FROM (SELECT doc_id, text, CAST(strpos(text, 'on') - 1 AS BIGINT) AS pos FROM documents WHERE contains(text, 'on'))""",
-       needle="on", around=20)
+#: Every place of the needle, which can't overlap itself.
+SQL_ON = """h AS (SELECT doc_id, text, CAST(sum(length(p[i])) OVER (PARTITION BY doc_id ORDER BY i) + (i - 1) * 2 AS BIGINT) AS pos
+    FROM (SELECT doc_id, text, string_split(text, 'on') AS p FROM documents WHERE contains(text, 'on')), unnest(range(1, len(p))) AS t(i)),
+  c AS (SELECT doc_id, pos, replace(text[greatest(pos - 20, 0) + 1 : greatest(pos - 20, 0) + 42], 'on', '??') AS shown FROM h)"""
+
+
+@query("p42_context", "P42", oracle=f"WITH {SQL_ON} SELECT doc_id, pos, shown FROM c", needle="on", around=20)
 def context(spark, sf, needle, around):
-    d = table(spark, sf, "documents").filter(F.col("text").contains(needle))
-    at = (F.instr("text", needle) - 1).cast("long")
-    return d.select("doc_id", at.alias("pos"), B.context(F.col("text"), at, around, needle).alias("shown"))
+    found = S_.contexts(table(spark, sf, "documents"), "text", needle, ["doc_id"], around)
+    return found.select("doc_id", F.col("offset").alias("pos"), F.col("context").alias("shown"))
 
 
-@query("p42_hexdump", "P42", oracle="""
-  SELECT doc_id, string_agg(lpad(CAST(1000 + i AS VARCHAR), 12, '0') || '  ' || rpad(trim(regexp_replace(lower(hex(c)), '(..)', '\\1 ', 'g')), 48, ' ')
+@query("p42_hexdump", "P42", oracle=f"""WITH {SQL_ON}
+  SELECT doc_id, pos, string_agg(lpad(CAST(1000 + i AS VARCHAR), 12, '0') || '  ' || rpad(trim(regexp_replace(lower(hex(c)), '(..)', '\\1 ', 'g')), 48, ' ')
     || ' |' || array_to_string(list_transform(regexp_extract_all(hex(c), '..'), lambda x: CASE WHEN regexp_matches(x, '2[0-9A-F]|[3-6][0-9A-F]|7[0-9A-E]')
        THEN chr(CAST(('0x' || x) AS INTEGER)) ELSE '.' END), '') || '|', chr(10) ORDER BY i) AS dump
-  FROM (SELECT doc_id, i, unhex(hex(content)[2 * i + 1 : 2 * i + 32]) AS c FROM (SELECT doc_id,
-      encode(replace(text[greatest(pos - 20, 0) + 1 : greatest(pos - 20, 0) + 42], 'on', '??')) AS content
-      FROM (SELECT doc_id, text, strpos(text, 'on') - 1 AS pos FROM documents WHERE contains(text, 'on'))),
-    unnest(range(0, octet_length(content), 16)) AS t(i)) GROUP BY doc_id""", needle="on", around=20)
+  FROM (SELECT doc_id, pos, i, unhex(hex(content)[2 * i + 1 : 2 * i + 32]) AS c FROM (SELECT doc_id, pos, encode(shown) AS content FROM c),
+    unnest(range(0, octet_length(content), 16)) AS t(i)) GROUP BY doc_id, pos""", needle="on", around=20)
 def hexdump(spark, sf, needle, around):
-    d = table(spark, sf, "documents").filter(F.col("text").contains(needle))
-    at = (F.instr("text", needle) - 1).cast("long")
-    window = F.encode(B.context(F.col("text"), at, around, needle), "UTF-8")
-    return d.select("doc_id", B.hexdump(window, F.lit(1000)).alias("dump"))
+    found = S_.contexts(table(spark, sf, "documents"), "text", needle, ["doc_id"], around)
+    return found.select("doc_id", F.col("offset").alias("pos"), B.hexdump(F.encode("context", "UTF-8"), F.lit(1000)).alias("dump"))
 
 
 @query("p43_utf16_names", "P43", oracle=cte("timeline") + """
