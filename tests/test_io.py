@@ -63,6 +63,54 @@ def test_blocks_and_notes(spark):
     assert sorted((r.block, r.key, r.value) for r in rows) == [(-1, "update", "1"), (1, "ssid", "a")]
 
 
+def test_large_files_by_ranges(spark, tmp_path):
+    import hashlib
+    import os
+    import random
+
+    from tracelake.operators.scan import search_chunks
+    # Larger than a cell may be (2 GB), but with holes: the file system keeps little of it.
+    big, small, none = tmp_path / "big.bin", tmp_path / "small.bin", tmp_path / "none.bin"
+    needle = b"needle-needle"
+    places = sorted({0, (1 << 20) - 5, 3 * (1 << 20) - 12, (1 << 31) + 77, (1 << 31) + 77 + 7, 2_200_000_000 - len(needle)})
+    with open(big, "wb") as f:
+        for at in places:
+            f.seek(at)
+            f.write(needle)
+    data = bytes(random.Random(1).choices(b"nedl-", k=300_000)) + needle
+    small.write_bytes(data)
+    none.write_bytes(b"")
+    chunks = binaries.read_ranges(spark, str(tmp_path))
+    assert chunks.rdd.getNumPartitions() > 16
+    hits = search_chunks(chunks.select("path", "chunk", "data"), "path", needle).collect()
+    found = lambda path: sorted(r.offset for r in hits if r.path.endswith(path.name))
+    with open(big, "rb") as f:
+        f.seek(1 << 31)
+        tail = f.read()
+    want = [(1 << 31) + i for i in range(200) if tail.startswith(needle, i)]
+    assert [o for o in found(big) if 1 << 31 <= o < (1 << 31) + 200] == want and {0, (1 << 20) - 5, 3 * (1 << 20) - 12, 2_200_000_000 - len(needle)} <= set(found(big))
+    brute, at = [], data.find(needle)
+    while at >= 0:
+        brute.append(at)
+        at = data.find(needle, at + 1)
+    assert found(small) == brute and found(none) == []
+    wanted = spark.createDataFrame([(f"file://{big}", os.path.getsize(big)), (f"file://{small}", 10 ** 9), (f"file://{tmp_path}/x", 1), (f"file://{none}", 0)], "path string, declared_size long")
+    got = {r.path.rsplit("/", 1)[1]: (r.status, r.bytes, r.sha256, r.over_limit) for r in binaries.large_manifest(wanted, 1000).collect()}
+    digest = hashlib.sha256()
+    with open(big, "rb") as f:
+        while block := f.read(1 << 24):
+            digest.update(block)
+    assert got == {"big.bin": ("PRESENT", 2_200_000_000, digest.hexdigest(), True), "small.bin": ("TRUNCATED", len(data), None, True), "x": ("ABSENT", None, None, None),
+                   "none.bin": ("PRESENT", 0, hashlib.sha256(b"").hexdigest(), False)}
+
+
+@pytest.mark.parametrize("size, span, overlap", [(4, 8, 0), (5, 20, 3), (64, 64, 2)])
+def test_ranges_cover_a_file_once(spark, tmp_path, size, span, overlap):
+    (tmp_path / "f.bin").write_bytes(data := bytes(range(61)))
+    rows = sorted(binaries.read_ranges(spark, f"{tmp_path}/f.bin", size, overlap, partition_bytes=span).collect(), key=lambda r: r.chunk)
+    assert [bytes(r.data) for r in rows] == [data[i:i + size + overlap] for i in range(0, 61, size)] and {r.length for r in rows} == {61}
+
+
 def crash_fold(lines):
     """Occurrences per header line, one line after the other."""
     out, group = {}, None

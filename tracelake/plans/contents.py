@@ -10,6 +10,8 @@ from tracelake.operators import scan as S
 from tracelake.plans.blocks import SQL_INDEX, index
 from tracelake.plans.standins import BLOCK, blobs, cte, table
 from tracelake.registry import query
+from tracelake.sources.binaries import large_manifest as large_manifest_of
+from tracelake.sources.binaries import read_binaries, read_ranges
 
 NEEDLE = "tion"
 # The needle cannot overlap itself, so splitting gives every place (tests cover overlaps).
@@ -30,6 +32,21 @@ def chunk_search(spark, sf, needle, size):
     return S.search_chunks(S.chunk_rows(d, "doc_id", "content", size), "doc_id", needle.encode(), size)
 
 
+@query("x1_file_search", "X1", needle="PAR1")
+def file_search(spark, sf, needle):
+    """A literal in the bytes of all files of the folder, read by ranges (no SQL: it can't read files by name)."""
+    chunks = read_ranges(spark, sf, 1 << 18)
+    return S.search_chunks(chunks.select("path", "chunk", "data"), "path", needle.encode(), 1 << 18)
+
+
+@query("s14_large_manifest", "S14")
+def large_manifest(spark, sf):
+    """Size and SHA-256 of all files of the folder, and of one that is not there."""
+    files = read_binaries(spark, sf).select("path", F.col("length").alias("declared_size"))
+    absent = spark.range(1).select(F.lit(f"file://{sf}/absent").alias("path"), F.lit(1).cast("long").alias("declared_size"))
+    return large_manifest_of(files.unionByName(absent), 1 << 20)
+
+
 @query("x2_regex_search", "X2", pattern="[0-9]{1,3}(\\.[0-9]{1,3}){3}", oracle="""
   SELECT doc_id, match, count(*) AS hits FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}(\\.[0-9]{1,3}){3}')) AS match FROM documents) GROUP BY 1, 2""")
 def regex_search(spark, sf, pattern):
