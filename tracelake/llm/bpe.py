@@ -15,6 +15,7 @@ arc leads on is marked dead and the walk goes back one arc. Decoding emits the a
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -41,13 +42,20 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.lru_cache(maxsize=1)
 def categories() -> dict[str, list[tuple[int, int]]]:
     """Code-point ranges of letters and numbers, as the tokenizers library's Unicode tables have them."""
     from tokenizers import Regex, pre_tokenizers
-    every = [*range(0xD800), *range(0xE000, 0x110000)]
-    text = "".join(map(chr, every))
-    return {kind: [(every[a], every[b - 1]) for _, (a, b) in pre_tokenizers.Split(
-        Regex(rf"\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(text)] for kind in "LN"}
+    out: dict[str, list[tuple[int, int]]] = {"L": [], "N": []}
+    for kind, ranges in out.items():
+        split = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True)
+        # Block by block, which keeps the driver's memory small; ranges that meet at an edge are joined.
+        for low in [*range(0, 0xD800, 2048), *range(0xE000, 0x110000, 2048)]:
+            for _, (a, b) in split.pre_tokenize_str("".join(map(chr, range(low, low + 2048)))):
+                if ranges and ranges[-1][1] == low + a - 1:
+                    a = ranges.pop()[0] - low
+                ranges.append((low + a, low + b - 1))
+    return out
 
 
 def _class(ranges: list[tuple[int, int]], top: int) -> str:

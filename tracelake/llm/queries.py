@@ -84,7 +84,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without repeated strings of 400 bytes."""
     docs = read(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-                                           F.sha2("kept", 256).alias("kept_sha256"))
+                                           F.sha2("kept", 256).alias("kept_sha256"), F.col("kept").try_cast("string").alias("text"))
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
