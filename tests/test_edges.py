@@ -168,6 +168,18 @@ def test_nested_hits_against_brute_force(spark, width):
     assert sorted((r.run, r.offset, r.kind) for r in hits.drop_nested(df, ["run"], width).collect()) == sorted(expected)
 
 
+@pytest.mark.parametrize("size", [3, 24, 1000])
+def test_signatures_across_block_edges(spark, size):
+    rng = random.Random(size)
+    magics = [(k, bytes.fromhex(m), shift) for k, m, shift, _ in scan.SIGNATURES]
+    data = b"".join(rng.choice([m for _, m, _ in magics] + [b"xy", b"\x00" * 5]) for _ in range(60))
+    want = sorted((k, at - shift) for k, m, shift in magics for at in range(len(data)) if data.startswith(m, at) and at >= shift
+                  and at + len(m) <= ((at - shift) // size + 2) * size)
+    blocks = [(1, i, data[i * size:(i + 1) * size]) for i in range(-(-len(data) // size))] + [(2, 0, data[:5])]
+    got = scan.signature_hits(spark.createDataFrame(blocks, "run int, block long, data binary"), ["run", "block"], number="block").filter("run = 1").collect()
+    assert sorted((r.kind, r.block * size + r.start) for r in got) == want
+
+
 @pytest.mark.parametrize("size", [3, 5, 64])
 def test_chunk_search_across_edges(spark, size):
     data = b"aaabaaacaaa" * 7

@@ -135,9 +135,15 @@ def hit_report(df: DataFrame, text: str, key: str, base: Column, needle: str, ex
     return owners_of_offsets(placed, extents, block_size, by).select(*by, key, "offset", "context", "path", "file_offset")
 
 
-def signature_hits(blocks: DataFrame, keep: list[str], data: str = "data") -> DataFrame:
-    """Every signature occurrence in every block: kind, grade and object start in the block."""
+def signature_hits(blocks: DataFrame, keep: list[str], data: str = "data", number: str | None = None) -> DataFrame:
+    """Every signature occurrence in every block: kind, grade and object start in the block.
+
+    With ``number`` (one of ``keep``: blocks that follow each other in what the others name have numbers
+    that do) objects are found whose signature lies across the edge of two blocks, or in the next block
+    while the object starts in this one. Only the bytes around edges are joined for that.
+    """
     table = [(kind, bytes.fromhex(magic), shift) for kind, magic, shift, _ in SIGNATURES]
+    reach = max(len(magic) + shift for _, magic, shift in table) - 1
 
     @F.pandas_udf("array<struct<kind:string,start:int>>")
     def find(values: pd.Series) -> pd.Series:
@@ -145,9 +151,22 @@ def signature_hits(blocks: DataFrame, keep: list[str], data: str = "data") -> Da
             {"kind": kind, "start": at - shift} for kind, magic, shift in table
             for at in (_all_offsets(blob, magic) if magic in blob else ()) if at >= shift])
 
+    @F.pandas_udf("array<struct<kind:string,start:int>>")
+    def across(tails: pd.Series, heads: pd.Series) -> pd.Series:
+        # Starts in the tail, ends in the head.
+        return pd.Series([[{"kind": kind, "start": at - shift - len(tail)} for kind, magic, shift in table for at in _all_offsets(tail + head, magic)
+                           if 0 <= at - shift < len(tail) < at + len(magic)] for tail, head in zip(tails, heads)], dtype=object)
+
     grades = F.create_map(*[F.lit(x) for kind, _, _, grade in SIGNATURES if kind != "gif" for x in (kind, grade)],
                           F.lit("gif"), F.lit("validated"))
     hits = blocks.select(*keep, F.explode(find(F.col(data))).alias("h"))
+    if number:
+        size = F.octet_length(data)
+        cut = F.least(size, F.lit(reach))
+        tails = blocks.select(*keep, size.alias("_size"), F.substring(data, size - cut + 1, cut).alias("_tail"))
+        heads = blocks.select(*keep, F.substring(data, 1, reach).alias("_head")).withColumn(number, F.col(number) - 1)
+        edge = tails.join(heads, keep).select(*keep, "_size", F.explode(across("_tail", "_head")).alias("e"))
+        hits = hits.unionByName(edge.select(*keep, F.struct(F.col("e.kind").alias("kind"), (F.col("e.start") + F.col("_size")).cast("int").alias("start")).alias("h")))
     return hits.select(*keep, "h.kind", "h.start", grades[F.col("h.kind")].alias("grade"))
 
 

@@ -118,11 +118,12 @@ SQL_IMAGE = f"""b AS (SELECT doc_id, h || repeat('00', (({SPACE} - (length(h) //
 
 
 @query("x4_signature_scan", "X4", oracle=f"WITH {SQL_IMAGE}, sig AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{k}', '{m}', {o}, '{g}')" for k, m, o, g in S.SIGNATURES) + """) AS s(kind, magic, shift, grade)),
-  c AS (SELECT run, block, kind, grade, shift, magic, h, strpos(h, magic) AS p FROM blocks, sig WHERE contains(h, magic))
-  SELECT run, block, kind, CAST(i - shift AS INTEGER) AS start, grade FROM (SELECT *, unnest(list_filter(range(length(h) // 2), lambda i: substr(h, 2 * i + 1, length(magic)) = magic)) AS i FROM c) WHERE i >= shift""")
+    f"('{k}', '{m}', {o}, '{g}')" for k, m, o, g in S.SIGNATURES) + f""") AS s(kind, magic, shift, grade)),
+  w AS (SELECT run, block, length(h) // 2 AS size, h || coalesce(left(lead(h) OVER (PARTITION BY run ORDER BY block), 40), '') AS h FROM blocks),
+  c AS (SELECT run, block, size, kind, grade, shift, unnest(list_filter(range(length(h) // 2), lambda i: substr(h, 2 * i + 1, length(magic)) = magic)) AS i FROM w, sig WHERE contains(h, magic))
+  SELECT run, block, kind, CAST(i - shift AS INTEGER) AS start, grade FROM c WHERE i >= shift AND i - shift < size""")
 def signature_scan(spark, sf):
-    return S.signature_hits(image_blocks(spark, sf), ["run", "block"])
+    return S.signature_hits(image_blocks(spark, sf), ["run", "block"], number="block")
 
 
 @query("x5_budget", "W14", budget=40, oracle="""

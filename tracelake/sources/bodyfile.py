@@ -20,7 +20,14 @@ def _well_formed(parts: Column) -> Column:
 
 
 def _split(lines: DataFrame, value: str, keep: list[str]) -> DataFrame:
-    return lines.filter(~F.col(value).startswith("#")).select(*keep, value, F.split(value, r"\|").alias("_p"))
+    """Lines that are no comments, with their fields.
+
+    A list of one is unfolded, so that the line and its fields are made once and not again in every
+    expression that follows (the optimizer does not copy expressions through a generator).
+    """
+    once = F.explode(F.array(F.struct(F.col(value).alias("line"), F.split(value, r"\|").alias("p"))))
+    return (lines.select(*keep, once.alias("_l")).select(*keep, F.col("_l.line").alias(value), F.col("_l.p").alias("_p"))
+            .filter(~F.col(value).startswith("#")))
 
 
 def parse_body(lines: DataFrame, value: str = "value", keep: list[str] = ()) -> DataFrame:
