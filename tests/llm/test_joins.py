@@ -277,3 +277,44 @@ def test_pipeline_stages(spark):
 def test_shingle_words():
     assert len(shingle_set("A b\x0bc\td E")) == 1 and (shingle_set("A b c d E") == shingle_set("a\nB C\x0cD e")).all()
     assert len(shingle_set("É b")) == 1 and (shingle_set("É b") != shingle_set("é b")).all() and len(shingle_set(None)) == 0
+
+
+def test_other_columns_stay_whatever_their_names(spark):
+    dice = random.Random(12)
+    shared = " ".join(prose(dice, 90))
+    rows = [(i, f"{' '.join(prose(dice, 40))} {shared} {' '.join(prose(dice, 40))}", 7, "c", 1.5, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid int, cuts string, `odd name` double, kept_uid long")
+    got = passages.remove(df)
+    assert got.columns == df.columns
+    found = sorted(map(tuple, got.collect()))
+    assert [r[2:] for r in found] == [r[2:] for r in rows] and [shared in r[1] for r in found] == [True, False, False]
+    df = df.toDF("doc_id", "text", "copied", "cut", "cut_spans", "text_key").withColumn("copies", F.lit(3)).withColumn("ranges", F.lit("r"))
+    got = suffix_dedup.dedup(df, 60, 5)
+    assert got.columns == [*df.columns, "kept", "n_bytes", "n_removed", "spans"]
+    found = sorted(tuple(r)[:8] for r in got.collect())
+    assert found == sorted((*r, 3, "r") for r in rows) and got.where("n_removed > 0").count() == 3
+
+
+def test_one_document_of_each_group_stays(spark):
+    dice = random.Random(21)
+    bases = [prose(dice, 60) for _ in range(5)]
+    near = lambda words: " ".join([*words[:30], *prose(dice, 1), *words[31:]])
+    texts = [near(dice.choice(bases)) for _ in range(40)]
+    rows = [(100 - i, t) for i, t in enumerate(texts)]
+    rows += [(None, near(bases[0])), (None, "alone " * 9), (None, "alone " * 9), (7, "one " * 8), (7, "two " * 8), (50, " ".join(prose(dice, 30))), (3, ""), (3, ""), (None, None), (9, " ")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string")
+    got = corpus_pipeline.different(spark, df, "")
+    assert got.columns == df.columns
+    # Brute force: rows by number, linked by their sets; of each group the smallest id stays.
+    numbered = {i: r for i, r in enumerate(rows)}
+    root = {i: c for i, _, c in brute_links([(i, t) for i, (_, t) in numbered.items()])}
+    groups, want = defaultdict(list), []
+    for i, (doc, text) in numbered.items():
+        if (text or "").split():
+            groups[root[i]].append((doc is None, doc or 0, i))
+        else:
+            want.append((doc, text))
+    ids = sorted((min(g)[1] if not min(g)[0] else -1) for g in groups.values())
+    kept = [tuple(r)[:2] for r in got.collect()]
+    assert sorted(r[0] if r[0] is not None else -1 for r in kept if (r[1] or "").split()) == ids
+    assert sorted((r for r in kept if not (r[1] or "").split()), key=repr) == sorted(want, key=repr)

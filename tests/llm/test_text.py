@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -119,6 +120,19 @@ def test_short_blocks_follow_neighbours():
     assert html_text.main_text('<p><a href="x">one link</a> <a href="y">two links</a></p>' + long).count("link") == 0
 
 
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "</p>" * 200_000, "<article>" * 100_000 + "</b>" * 100_000, "<nav>" * 100_000 + "x</nav>", "<p><a href=x>" * 100_000, "<!--" * 200_000, "<" * 300_000])
+def test_hostile_pages_take_linear_time(page):
+    started = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - started < 8
+
+
+def test_pages_without_article_are_decided_by_their_blocks():
+    long = "it is the text of the page and it is long enough for all of us to read in it, and of the kind that is in a paper"
+    page = f"<body><ul><li><a href=/a>Home</a></li><li><a href=/b>News of the day</a></li></ul><div>{long}</div><div>Short one.</div><div>{long}</div><div><a href=/c>More</a> | <a href=/d>Less</a></div></body>"
+    assert html_text.main_text(page) == f"{long}\nShort one.\n{long}"
+
+
 def labelled(spark, n=400):
     dice = random.Random(3)
     word = lambda: "".join(dice.choice("aeionrst") for _ in range(dice.randint(2, 7)))

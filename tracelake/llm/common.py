@@ -12,7 +12,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN = "_tracelake_worker_tables"
@@ -39,6 +39,12 @@ def carried(spark: SparkSession, value: Any) -> Callable[[], Any]:
     return lambda: cloudpickle.loads(sent.value)
 
 
+def hidden(df: DataFrame, used: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all columns but ``used`` under names that clash with none, and the columns that restore the old names."""
+    names = {c: c if c in used else f"__own{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``, so that what a worker makes of one stays small."""
     for batch in batches:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +52,7 @@ PIECE = re.compile(
 MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 NAME = re.compile(r"[a-z]+")
+CLOSING = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: First pass: blocks from so many words on are decided by their stop words and links alone.
@@ -72,6 +74,8 @@ def blocks(page: str) -> list[tuple[str, str, str, float]]:
     out: list[tuple[str, str, str, float]] = []
     parts: list[str] = []
     open_tags: list[tuple[str, str]] = []  # element, the region around it
+    count: Counter[str] = Counter()  # open tags by name
+    last_end = {m[1].lower(): m.start() for m in CLOSING.finditer(page)}
     region, tag, linked, breaks, link = "page", "", 0, 0, 0
 
     def close() -> None:
@@ -116,25 +120,26 @@ def blocks(page: str) -> list[tuple[str, str, str, float]]:
         if not ends:
             apart = name in NEVER or (name == "header" and region != "main") or marked(rest)
             if name in HOLDERS or apart or splits and name != "p":
-                if (name in HOLDERS or apart) and page.find(f"</{name}", at) < 0 and not re.search(f"</{name}", page[at:], re.I):
+                if (name in HOLDERS or apart) and last_end.get(name, -1) < at:
                     if apart and not splits:
                         continue
                     if name not in HOLDERS:
                         continue  # never closed: it can't be told how far it goes
                 open_tags.append((name, region))
+                count[name] += 1
                 if apart and name not in ("body", "html"):
                     if not splits:
                         close()
                     region = "out"
                 elif name in HOLDERS and region != "out":
                     region = "main"
-        else:
-            for back in range(len(open_tags) - 1, -1, -1):
-                if open_tags[back][0] == name:
-                    if not splits:
-                        close()
-                    region = open_tags[back][1]
-                    del open_tags[back:]
+        elif count[name]:  # each open tag is passed over and taken off at most once
+            if not splits:
+                close()
+            while True:
+                last, region = open_tags.pop()
+                count[last] -= 1
+                if last == name:
                     break
     parts.append(html.unescape(page[at:]))
     close()

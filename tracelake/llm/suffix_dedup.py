@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import sift, stored
+from tracelake.llm.common import hidden, sift, stored
 from tracelake.llm.hashing import hasher, mixed
 
 def cover(p: int) -> tuple[int, list[int]]:
@@ -270,8 +270,8 @@ def dedup(df: DataFrame, k: int = 400, p: int = 13, text: str = "text") -> DataF
     at least k bytes that occur twice are removed whole. Columns with these names are replaced,
     others stay. ``kept`` may end inside a character, so it is binary.
     """
-    own = [c for c in df.columns if c not in ("kept", "n_bytes", "n_removed", "spans", "text_key", "copies")]
-    rows, found = repeats(df.select(*own), k, p, text)
+    own, back = hidden(df.drop("kept", "n_bytes", "n_removed", "spans"), [text])
+    rows, found = repeats(own, k, p, text)
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -294,4 +294,4 @@ def dedup(df: DataFrame, k: int = 400, p: int = 13, text: str = "text") -> DataF
     spans = F.when(gone, whole).otherwise(F.coalesce("cut_spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))
     kept = F.when(gone, F.lit(b"")).otherwise(F.coalesce("cut", F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return joined.withColumn("spans", spans).withColumn("kept", kept).withColumn("n_removed", total).select(*own, "kept", "n_bytes", "n_removed", "spans")
+    return joined.withColumn("spans", spans).withColumn("kept", kept).withColumn("n_removed", total).select(*back, "kept", "n_bytes", "n_removed", "spans")
