@@ -63,6 +63,26 @@ def test_blocks_and_notes(spark):
     assert sorted((r.block, r.key, r.value) for r in rows) == [(-1, "update", "1"), (1, "ssid", "a")]
 
 
+def test_counts_of_a_scan_come_from_the_pass_that_writes(spark, tmp_path):
+    from tracelake.operators import inventory as I
+    from tracelake.plans.inventories import CUT
+    from tracelake.plans.standins import inventory
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = inventory(spark, SF)
+    files = rows.mapInArrow(count, rows.schema)
+    got = I.write_recent(files, CUT, str(tmp_path / "recent")).first().asDict()
+    assert reads.value == got["files"] == rows.count()
+    want = I.file_scan(rows, CUT).first()
+    assert all(got[k] == want[k] for k in ("files", "epoch", "installer", "coherent", "recent", "recent_bytes"))
+    assert spark.read.parquet(str(tmp_path / "recent")).count() == got["recent"] == I.recent_files(rows, CUT).count()
+
+
 def test_large_files_by_ranges(spark, tmp_path):
     import hashlib
     import os

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -151,3 +151,26 @@ def zero_share(blocks: DataFrame, total: DataFrame) -> DataFrame:
         F.when(looked > 0, F.round(F.col("zero_blocks") / looked, 6)).otherwise(0.0).alias("zero_share"),
         F.when(looked > 0, F.rint(F.col("nonzero_blocks") * F.col("total") / looked)).otherwise(0)
         .cast("long").alias("nonzero_estimate"))
+
+
+CLASSES = ("epoch", "installer", "coherent", "recent")
+
+
+def write_recent(files: DataFrame, since: int, path: str, unreadable: Column | None = None) -> DataFrame:
+    """Write the recent files to ``path`` as Parquet and return the counts of the whole scan, from the same pass.
+
+    One row: files, one count per class, bytes of the recent ones, files without a readable time
+    (skipped) and those that ``unreadable`` marks. The counts are observed while the rows are written,
+    so neither costs a scan of its own; they are those of ``file_scan`` over the same rows.
+    """
+    seen = Observation("scan")
+    c = time_class(F.col("mtime"), since)
+    bad = F.lit(False) if unreadable is None else F.coalesce(unreadable, F.lit(False))
+    watched = files.observe(
+        seen, F.count(F.lit(1)).alias("files"), *[F.count_if(c == name).alias(name) for name in CLASSES],
+        F.coalesce(F.sum(F.when(c == "recent", F.col("size"))), F.lit(0)).alias("recent_bytes"),
+        F.count_if(F.col("mtime").isNull()).alias("skipped"), F.count_if(bad).alias("unreadable"))
+    recent_files(watched, since).write.mode("overwrite").parquet(path)
+    counts = seen.get
+    names = ["files", *CLASSES, "recent_bytes", "skipped", "unreadable"]
+    return files.sparkSession.createDataFrame([tuple(int(counts[n]) for n in names)], ", ".join(f"{n} bigint" for n in names))

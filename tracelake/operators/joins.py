@@ -13,14 +13,16 @@ from tracelake.functions.times import utc_text
 
 
 def crashes_in_window(files: DataFrame, dumps: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Dumps whose file was written inside the window, matched on the base name.
+    """Dumps whose file was written inside the window, matched on the base name, with what they say.
 
-    Of several files with one name (per ``by``, a device, say) the one written last counts, so a
-    dump meets at most one file.
+    Files bring path, mtime and size, dumps process, pid, signal and build (``tombstone_fields``). Of
+    several files with one name (per ``by``, a device, say) the one written last counts, by path on a
+    tie, so a dump meets at most one file.
     """
     keys = [*by, "name"]
-    latest = files.groupBy(*keys).agg(F.max("mtime").alias("mtime"))
-    return latest.join(dumps, keys).select(*keys, utc_text(F.col("mtime")).alias("utc"), "process")
+    latest = files.groupBy(*keys).agg(F.max(F.struct("mtime", "path", "size")).alias("f"))
+    return latest.join(dumps, keys).select(*keys, F.col("f.path").alias("path"), utc_text(F.col("f.mtime")).alias("utc"), F.col("f.size").alias("size"),
+                                           "process", "pid", "signal", "build")
 
 
 def install_state(installed: DataFrame, directories: DataFrame, used: DataFrame, key: str) -> DataFrame:

@@ -43,8 +43,10 @@ def chain_dedupe(df: DataFrame, by: list[str], tie: str, window: int = 0) -> Dat
     before the next survivor.
     """
     order = [*by, "unix", "source", tie]
-    seen = with_previous(ordered_slices(df, order), order, [*by, "unix", "source", "detail"])
-    same = (F.col("prev.source") == F.col("source")) & F.col("prev.detail").eqNullSafe(F.col("detail"))
+    # Edges are sent to every task: they carry a digest, not the free text.
+    keyed = df.withColumn("_detail", F.sha2("detail", 256))
+    seen = with_previous(ordered_slices(keyed, order), order, [*by, "unix", "source", "_detail"])
+    same = (F.col("prev.source") == F.col("source")) & F.col("prev._detail").eqNullSafe(F.col("_detail"))
     for column in by:
         same = same & (F.col(f"prev.{column}") == F.col(column))
     if window:
@@ -56,4 +58,4 @@ def chain_dedupe(df: DataFrame, by: list[str], tie: str, window: int = 0) -> Dat
     return (kept.withColumn("_next", following).join(F.broadcast(_edge(heads, -1)), "_slice", "left")
             .withColumn("last_unix", F.coalesce("_next", "edge", last))
             .withColumn("utc", utc_text(F.col("last_unix")))
-            .drop("_slice", "_before", "_next", "edge"))
+            .drop("_slice", "_before", "_next", "edge", "_detail"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracelake.functions.paths import base_name, is_package_dir, package_of
@@ -11,6 +13,7 @@ from tracelake.operators import timeline as TL
 from tracelake.plans.standins import CUT, blobs, cte, inventory, sql_package, sql_utc, table, timeline, urls
 from tracelake.plans.strings import SQL_CATEGORY
 from tracelake.registry import query
+from tracelake.session import work_folder
 
 SQL_CLASS = f"""CASE WHEN mtime >= {CUT} THEN 'recent' WHEN mtime < 86400 THEN 'epoch'
     WHEN mtime < 315532800 THEN 'installer' ELSE 'coherent' END"""
@@ -28,6 +31,16 @@ def file_scan(spark, sf, since):
     return I.file_scan(inventory(spark, sf), since, ["uid"])
 
 
+@query("s1_shared_scan", "S1", "A4", "V5", "V6", since=CUT, oracle=cte("inventory") + f"""
+  SELECT count(*) AS files, count(*) FILTER (c = 'epoch') AS epoch, count(*) FILTER (c = 'installer') AS installer, count(*) FILTER (c = 'coherent') AS coherent, count(*) FILTER (c = 'recent') AS recent,
+    CAST(coalesce(sum(size) FILTER (c = 'recent'), 0) AS BIGINT) AS recent_bytes, count(*) FILTER (mtime IS NULL) AS skipped, count(*) FILTER (inode % 23 = 0) AS unreadable
+  FROM (SELECT *, {SQL_CLASS} AS c FROM (SELECT * REPLACE (CASE WHEN inode % 31 = 0 THEN NULL ELSE mtime END AS mtime) FROM inventory))""")
+def shared_scan(spark, sf, since):
+    """The recent files are written to the shared folder; the counts come from that pass."""
+    files = inventory(spark, sf).withColumn("mtime", F.when(F.col("inode") % 31 != 0, F.col("mtime")))
+    return I.write_recent(files, since, f"{work_folder(spark)}/recent-{uuid.uuid4().hex}", F.col("inode") % 23 == 0)
+
+
 @query("f1_recent_files", "F1", since=CUT, oracle=cte("inventory") + f"""
   SELECT path, mtime, size, {sql_utc('mtime')} AS mtime_utc, {sql_package('path')} AS package FROM inventory WHERE mtime >= {CUT}""")
 def recent(spark, sf, since):
@@ -205,14 +218,16 @@ def install_accounts(spark, sf):
 
 
 @query("j6_crash_files", "J6", since=CUT, oracle=cte("inventory") + f"""
-  SELECT name, {sql_utc('i.mtime')} AS utc, 'p' || t.part AS process FROM (SELECT regexp_extract(path, '[^/]*$') AS name, mtime FROM inventory WHERE mtime >= {CUT}) i
-  JOIN (SELECT 'f' || (p_partkey * 3) || CASE (p_partkey * 3) % 5 WHEN 0 THEN '.db' WHEN 1 THEN '.XML' WHEN 2 THEN '.json' ELSE '' END AS dump, p_partkey AS part FROM part) t ON i.name = t.dump""")
+  SELECT name, path, {sql_utc('i.mtime')} AS utc, i.size AS size, 'com.p' || t.part AS process, CAST(t.part + 7 AS VARCHAR) AS pid, (t.part % 12) || ' (SIG' || (t.part % 3) || ')' AS signal, 'brand/' || p_brand AS build
+  FROM (SELECT regexp_extract(path, '[^/]*$') AS name, path, mtime, size FROM inventory WHERE mtime >= {CUT}) i
+  JOIN (SELECT 'f' || (p_partkey * 3) || CASE (p_partkey * 3) % 5 WHEN 0 THEN '.db' WHEN 1 THEN '.XML' WHEN 2 THEN '.json' ELSE '' END AS dump, p_partkey AS part, p_brand FROM part) t ON i.name = t.dump""")
 def crash_files(spark, sf, since):
     from tracelake.operators.joins import crashes_in_window
-    key = F.col("p_partkey") * 3
-    ext = F.when(key % 5 == 0, ".db").when(key % 5 == 1, ".XML").when(key % 5 == 2, ".json").otherwise("")
-    dumps = table(spark, sf, "part").select(
-        F.concat(F.lit("f"), key.cast("string"), ext).alias("name"),
-        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("process"))
+    from tracelake.sources.textlogs import tombstone_fields
+    n = F.col("p_partkey")
+    ext = F.when(n * 3 % 5 == 0, ".db").when(n * 3 % 5 == 1, ".XML").when(n * 3 % 5 == 2, ".json").otherwise("")
+    said = F.concat(F.lit("Build fingerprint: brand/"), "p_brand", F.lit("\npid: "), (n + 7).cast("string"), F.lit(", tid: 7, name: com.p"), n.cast("string"),
+                    F.lit("  >>> x <<<\nsignal "), (n % 12).cast("string"), F.lit(" (SIG"), (n % 3).cast("string"), F.lit("), code 1"))
+    dumps = table(spark, sf, "part").select(F.concat(F.lit("f"), (n * 3).cast("string"), ext).alias("name"), tombstone_fields(said).alias("t")).select("name", "t.*")
     files = inventory(spark, sf).filter(F.col("mtime") >= since).withColumn("name", base_name(F.col("path")))
     return crashes_in_window(files, dumps)
