@@ -182,7 +182,7 @@ def test_checks_and_markdown(spark):
     assert {r.check_id: r.passed for r in results.collect()}["timeline.odd"] is False
     assert checks.split_path("by_type.'com.google'.0") == ["by_type", "com.google", "0"]
     text = report.markdown("Report", PV.verdict_rows(spark, SF))
-    assert text.startswith("# Report\n") and text.count("\n|") == 5
+    assert text.startswith("# Report\n") and text.count("\n|") == 12
 
 
 @pytest.fixture()
