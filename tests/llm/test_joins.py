@@ -71,7 +71,6 @@ def test_ngram_join_finds_every_link(spark, seed):
 
 def test_ngram_join_blocks_of_one_group(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    monkeypatch.setattr(ngram_join, "PAIRS", 2)
     dice = random.Random(9)
     base = prose(dice, 80)
     rows = []
