@@ -201,6 +201,20 @@ def test_passages_around_a_frequent_line(spark, common):
     assert found == {max(rows[400 + 2 * i][0], rows[401 + 2 * i][0]) for i in range(40)}
 
 
+def pairs_found(spark, rows):
+    return {(r.doc_id, r.kept_doc_id) for r in passages.find(passages.identified(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+
+
+def test_passages_made_of_frequent_lines(spark):
+    dice = random.Random(31)
+    lines, rows = [prose(dice, 24), prose(dice, 23)], []
+    for i in range(40):
+        for k in (0, 1):
+            own = [f"a{i}", f"b{i}", f"c{i}k{k}"]
+            rows.append((i + 100 * k, " ".join(prose(dice, 20) + lines[0] + own + lines[1] + prose(dice, 20))))
+    assert pairs_found(spark, rows) == {(i + 100, i) for i in range(40)}
+
+
 def test_compact_windows_cover_every_long_subsequence():
     dice = np.random.default_rng(1)
     for n in (0, 4, 5, 40):
