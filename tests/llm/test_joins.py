@@ -215,6 +215,17 @@ def test_passages_made_of_frequent_lines(spark):
     assert pairs_found(spark, rows) == {(i + 100, i) for i in range(40)}
 
 
+def test_passages_whose_edits_break_one_shingle_each(spark):
+    dice = random.Random(32)
+    rows = []
+    for i in range(1000):
+        parts, last = [(prose(dice, 5), prose(dice, 1)) for _ in range(6)], prose(dice, 2)
+        for k in (0, 1):
+            text = [w for own, again in parts for w in own + again * (4 - k)] + last
+            rows.append((i + 1000 * k, " ".join(prose(dice, 20) + text + prose(dice, 20))))
+    assert pairs_found(spark, rows) == {(i + 1000, i) for i in range(1000)}
+
+
 def test_compact_windows_cover_every_long_subsequence():
     dice = np.random.default_rng(1)
     for n in (0, 4, 5, 40):
