@@ -1,6 +1,7 @@
 """Hand-built rows for the cases that are easy to get wrong."""
 
 import random
+import re
 import struct
 import zlib
 
@@ -331,3 +332,16 @@ def test_one_file_per_name_meets_a_dump(spark):
 
 def test_webkit_stamp_just_below_a_second(spark):
     assert values(spark, [13350000000999999], times.webkit_unix(F.col("v")), "v long") == [13350000000 - 11644473600]
+
+
+def test_hits_leave_the_worker_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(scan, "HITS", 3)
+    texts = ["aaaa bcd aa", None, "", "aa" * 40, "żaa aaż", "none"]
+    df = spark.createDataFrame([(i, t, i / 2) for i, t in enumerate(texts)], "id int, t string, half double").coalesce(1)
+    places = [(i, at) for i, t in enumerate(texts) for at in range(len(t or "")) if t.startswith("aa", at)]
+    assert sorted((r.id, r.offset) for r in scan.search_text(df, "t", "aa", ["id", "half"]).collect()) == places
+    got = scan.contexts(df, "t", "aa", ["id", "half"], 2).collect()
+    assert sorted((r.id, r.half, r.offset, r.context) for r in got) == [
+        (i, i / 2, at, texts[i][max(at - 2, 0):max(at - 2, 0) + 6].replace("aa", "??")) for i, at in places]
+    want = sorted((i, m.start(), m.group()) for i, t in enumerate(texts) for m in re.finditer("a|$", t or ""))
+    assert sorted(map(tuple, scan.regex_search(df, "t", "a|$", ["id"]).collect())) == want

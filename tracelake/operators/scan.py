@@ -7,16 +7,19 @@ the few bytes around chunk edges are ever shuffled.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.functions.blobs import context
 from tracelake.operators.ranges import owners_of_offsets
 
 CHUNK_BYTES = 1 << 20
+#: Hits that a worker holds before it hands them on.
+HITS = 1 << 14
 
 # Kind, leading bytes (hex), how far into the object they sit, grade.
 SIGNATURES = (
@@ -49,29 +52,59 @@ def _all_offsets(haystack, needle) -> list[int]:
     return hits
 
 
-def _positions(needle: str | bytes):
-    """Arrow-batched: every position of the needle, overlapping ones included."""
-    @F.pandas_udf("array<bigint>")
-    def find(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: _all_offsets(v, needle) if v is not None else [])
-    return find
+def _hits(df: DataFrame, content: str | Column, keep: list[str], fields: dict[str, tuple[str, pa.DataType]],
+          found: Callable[[str | bytes | None], Iterable[tuple]]) -> DataFrame:
+    """``keep`` and the ``fields`` of every hit that ``found`` gives for a content.
+
+    A worker turns one content at a time into an object and holds at most ``HITS`` hits, however
+    many rows Spark sends it at once.
+    """
+    rows = df.select(F.col(content) if isinstance(content, str) else content, *keep)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    names, types = [*keep, *fields], [kind for _, kind in fields.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        def out(batch, at, hits):
+            taken = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays([*(c.take(taken) for c in batch.columns[1:]),
+                                               *(pa.array(c, t) for c, t in zip(zip(*hits), types))], names=names)
+
+        for batch in batches:
+            at, hits = [], []
+            for i, value in enumerate(batch.column(0)):
+                for hit in found(value.as_py()):
+                    at.append(i)
+                    hits.append(hit)
+                    if len(at) == HITS:
+                        yield out(batch, at, hits)
+                        at, hits = [], []
+            if at:
+                yield out(batch, at, hits)
+
+    return rows.mapInArrow(run, ", ".join([kept, *(f"`{n}` {sql}" for n, (sql, _) in fields.items())]))
+
+
+def _offsets(haystack: str | bytes | None, needle: str | bytes) -> Iterator[tuple[int]]:
+    """Every position of the needle, overlapping ones included."""
+    at = -1 if haystack is None else haystack.find(needle)
+    while at >= 0:
+        yield (at,)
+        at = haystack.find(needle, at + 1)
+
+
+OFFSET = {"offset": ("bigint", pa.int64())}
 
 
 def search_text(df: DataFrame, text: str, needle: str, keep: list[str]) -> DataFrame:
     """Every occurrence of a literal in every text (zero-based characters), one row per hit."""
-    rows = df.filter(F.col(text).contains(needle))
-    return rows.select(*keep, F.explode(_positions(needle)(F.col(text))).alias("offset"))
+    return _hits(df.filter(F.col(text).contains(needle)), text, keep, OFFSET, lambda t: _offsets(t, needle))
 
 
 def regex_search(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFrame:
     """Non-overlapping pattern matches over whole texts with their offsets."""
     compiled = re.compile(pattern)
-
-    @F.pandas_udf("array<struct<offset:bigint,match:string>>")
-    def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"offset": m.start(), "match": m.group()} for m in compiled.finditer(t or "")])
-
-    return df.select(*keep, F.explode(find(F.col(text))).alias("h")).select(*keep, "h.offset", "h.match")
+    return _hits(df, text, keep, OFFSET | {"match": ("string", pa.string())},
+                 lambda t: ((m.start(), m.group()) for m in compiled.finditer(t or "")))
 
 
 def chunk_rows(df: DataFrame, key: str, content: str, size: int = CHUNK_BYTES) -> DataFrame:
@@ -92,17 +125,19 @@ def search_chunks(chunks: DataFrame, key: str, needle: bytes, size: int = CHUNK_
         raise ValueError("the needle must fit in one chunk")
     near = chunks.filter((F.col("chunk") + 1) * size > start)
     near = near if end is None else near.filter(F.col("chunk") * size < end)
-    find, base = _positions(needle), F.col("chunk") * size
-    hits = (near.select(key, base.alias("_base"), F.explode(find(F.col("data"))).alias("_at"))
-            .select(key, (F.col("_base") + F.col("_at")).alias("offset")))
+    base = F.col("chunk") * size
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return _hits(rows, "data", [key, "_base"], OFFSET, lambda data: _offsets(data, needle)).select(key, (F.col("_base") + F.col("offset")).alias("offset"))
+
+    hits = placed(near.select(key, base.alias("_base"), "data"))
     reach = len(needle) - 1
     if reach:
         tails = near.filter(F.octet_length("data") == size).select(key, "chunk", F.substring("data", size - reach + 1, reach).alias("tail"))
         heads = near.select(key, (F.col("chunk") - 1).alias("chunk"), F.substring("data", 1, reach).alias("head"))
         edges = tails.join(heads, [key, "chunk"]).select(
-            key, (base + size - reach).alias("_base"), F.explode(find(F.concat("tail", "head"))).alias("_at"))
-        crossing = edges.select(key, (F.col("_base") + F.col("_at")).alias("offset"))
-        hits = hits.unionByName(crossing)
+            key, (base + size - reach).alias("_base"), F.concat("tail", "head").alias("data"))
+        hits = hits.unionByName(placed(edges))
     inside = F.col("offset") >= start
     return hits.filter(inside if end is None else inside & (F.col("offset") + len(needle) <= end))
 
@@ -118,10 +153,14 @@ def first_hits(hits: DataFrame, order: list[str], k: int) -> DataFrame:
 
 def contexts(df: DataFrame, text: str, needle: str, keep: list[str], around: int = 64, reveal: bool = False) -> DataFrame:
     """Every hit in every text: ``keep``, offset (zero-based characters) and the redacted context."""
-    rows = df.filter(F.col(text).contains(needle)).select(*keep, text, _positions(needle)(F.col(text)).alias("_at"))
-    # Contexts are cut before the hits become rows, so no text is repeated per hit.
-    shown = F.transform("_at", lambda at: F.struct(at.alias("offset"), context(F.col(text), at, around, needle, reveal).alias("context")))
-    return rows.select(*keep, F.explode(shown).alias("_h")).select(*keep, "_h.offset", "_h.context")
+    length, mask = 2 * around + len(needle), needle if reveal else "?" * len(needle)
+
+    def found(value: str):
+        for at, in _offsets(value, needle):
+            start = max(at - around, 0)
+            yield at, value[start:start + length].replace(needle, mask)
+
+    return _hits(df.filter(F.col(text).contains(needle)), text, keep, OFFSET | {"context": ("string", pa.string())}, found)
 
 
 def hit_report(df: DataFrame, text: str, key: str, base: Column, needle: str, extents: DataFrame,
