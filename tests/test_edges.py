@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import blobs, jsons, paths, rules, secrets, textfold, times, urls
 from tracelake.operators import bursts, compare, hits, joins, messages, ordered, ranges, scan
+from tracelake.sources import textlogs
 
 
 def values(spark, rows, column, schema="v string"):
@@ -345,3 +346,13 @@ def test_hits_leave_the_worker_in_small_parts(spark, monkeypatch):
         (i, i / 2, at, texts[i][max(at - 2, 0):max(at - 2, 0) + 6].replace("aa", "??")) for i, at in places]
     want = sorted((i, m.start(), m.group()) for i, t in enumerate(texts) for m in re.finditer("a|$", t or ""))
     assert sorted(map(tuple, scan.regex_search(df, "t", "a|$", ["id"]).collect())) == want
+
+
+def test_block_rows_shuffle_marks_and_pairs_only(spark):
+    text = "\n".join(["plain words"] * 500 + [" ctrl = x", "network={", "\t# a=b", "  more words", '  ssid="n=1"', " } ", "tail"] + ["other words"] * 500)
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string")
+    rows = textlogs.block_rows(df, "t", ["id"])
+    assert sorted(map(tuple, rows.collect())) == [(1, -1, "ctrl", "x"), (1, 501, "ssid", "n=1")]
+    kept = textlogs.file_lines(df, "t", ["id"], ["network=", "}", "="])
+    assert [r.pos for r in kept.orderBy("pos").collect()] == [500, 501, 502, 504, 505]
+    assert textlogs.file_lines(df, "t", ["id"]).count() == 1008
