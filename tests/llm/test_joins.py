@@ -343,3 +343,24 @@ def test_one_document_of_each_group_stays(spark):
     kept = [tuple(r)[:2] for r in got.collect()]
     assert sorted(r[0] if r[0] is not None else -1 for r in kept if (r[1] or "").split()) == ids
     assert sorted((r for r in kept if not (r[1] or "").split()), key=repr) == sorted(want, key=repr)
+
+
+def test_ngram_join_verifies_few_pairs_of_a_group(spark, monkeypatch):
+    dice = random.Random(9)
+    rows = []
+    for _ in range(3):
+        base = prose(dice, 80)
+        for _ in range(70):
+            words = list(base)
+            for at in dice.sample(range(80), dice.randint(1, 2)):
+                words[at] = prose(dice, 1)[0]
+            rows.append((len(rows), " ".join(words)))
+    counts, verified = [], ngram_join.verified
+
+    def counted(pairs, *others):
+        counts.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    assert sorted(map(tuple, ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_links(rows)
+    assert sum(counts) < 7 * len(rows)
