@@ -50,7 +50,8 @@ def large_manifest(spark, sf):
 @query("x2_regex_search", "X2", pattern="[0-9]{1,3}(\\.[0-9]{1,3}){3}", oracle="""
   SELECT doc_id, match, count(*) AS hits FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}(\\.[0-9]{1,3}){3}')) AS match FROM documents) GROUP BY 1, 2""")
 def regex_search(spark, sf, pattern):
-    hits = S.regex_search(table(spark, sf, "documents"), "text", pattern, ["doc_id"])
+    # Offsets are not asked for, so a built-in finds the matches and no text reaches Python.
+    hits = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("match"))
     return hits.groupBy("doc_id", "match").agg(F.count("*").alias("hits"))
 
 
