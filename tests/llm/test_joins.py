@@ -364,3 +364,16 @@ def test_ngram_join_verifies_few_pairs_of_a_group(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "verified", counted)
     assert sorted(map(tuple, ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_links(rows)
     assert sum(counts) < 7 * len(rows)
+
+
+def test_pipeline_stages_send_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(int(spark.conf.get(name)))
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("last", lambda spark, docs, sf_dir: docs)])
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert 0 < seen[0] <= 2500 and spark.conf.get(name) == before
