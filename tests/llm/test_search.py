@@ -50,6 +50,27 @@ def test_hard_negatives(spark, monkeypatch, seed, scale):
     assert got == want and len(want) > 100
 
 
+def test_hard_negatives_few_readings(monkeypatch):
+    """Bounds are tested twice on 64 dimensions, whatever the number of windows (before: eight times, window by window)."""
+    dice = np.random.default_rng(5)
+    data = np.floor(256 * dice.normal(size=(300, 64)))
+    block = hard_negatives.Columns(np.arange(300).tobytes(), np.zeros(300, np.int64).tobytes(), np.ascontiguousarray(data.T).tobytes())
+    tested = []
+    joined = hard_negatives.joined
+    monkeypatch.setattr(hard_negatives, "joined", lambda low, high: tested.append(len(low)) or joined(low, high))
+    places = np.arange(0, 300, 3)
+    for a, part in hard_negatives.firsts(block, data, places):
+        scores = data @ data[a]
+        high = np.sort(scores)[[-2, -9, -30, -60, -90]].astype(np.int64)
+        alive, found = hard_negatives.scan(block, int(a), data[a], np.delete(np.arange(300), a), high // 2, high, 3, part)
+        assert found.tolist() == scores[alive].tolist()
+        for top in high:
+            inside = [i for i in np.lexsort((np.arange(300), -scores)) if i != a and top // 2 <= scores[i] <= top][:3]
+            assert set(inside) <= set(alive.tolist())
+    assert len(tested) == 2 * len(places)
+    assert hard_negatives.joined(np.array([5.0, 1.0, 9.0]), np.array([7.0, 5.0, 8.0])) == [(1.0, 7.0)]
+
+
 def test_hard_negatives_few_rows(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert hard_negatives.mine(spark.createDataFrame([], schema)).count() == 0
