@@ -377,3 +377,23 @@ def test_pipeline_stages_send_small_batches(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("last", lambda spark, docs, sf_dir: docs)])
     corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert 0 < seen[0] <= 2500 and spark.conf.get(name) == before
+
+
+def test_pairs_behind_one_another_match_as_single_ones():
+    """Pairs checked many at a time give the near copies that each gives alone; others cost no call of their own."""
+    dice, sides, alone = np.random.default_rng(3), ([], [], []), []
+    for _ in range(400):
+        x = dice.integers(0, 10 ** int(dice.integers(1, 6)), int(dice.integers(0, 180))).astype(np.uint64)
+        offset = int(dice.integers(-15, 15))
+        y = np.append(x[max(0, offset):], dice.integers(0, 50, int(dice.integers(0, 40))).astype(np.uint64))
+        y = np.delete(y, dice.integers(0, len(y), int(dice.integers(0, 12)))) if len(y) else y
+        for side, value in zip(sides, (x, y, offset)):
+            side.append(value)
+        alone.append(passages.matches(x, y, offset, 46, 75, 100))
+    n, m = (np.array([len(v) for v in side]) for side in sides[:2])
+    same, place = passages.aligned(np.concatenate(sides[0]), n, np.concatenate(sides[1]), m, np.array(sides[2]))
+    found, ends = [i for i in passages.hopeful(same, n, 46, 75, 100).tolist() if m[i] >= 46], np.cumsum(n)
+    assert 20 < len(found) < 300 and found == [i for i, a in enumerate(alone) if a]
+    for i in found:
+        part = slice(ends[i] - n[i], ends[i])
+        assert passages.copies(same[part], place[part], 46, 75, 100) == alone[i]
