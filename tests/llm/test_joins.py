@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import sys
+import types
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracelake.llm import ngram_join, passages, suffix_dedup, topk, tree_index
+from tracelake.llm import common, ngram_join, passages, suffix_dedup, topk, tree_index
+from tracelake.llm.common import sift
 from tracelake.llm.components import components
 from tracelake.llm.shingles import shingle_set
 
@@ -379,6 +382,23 @@ def test_pipeline_stages_send_small_batches(spark, monkeypatch):
     assert 0 < seen[0] <= 2500 and spark.conf.get(name) == before
 
 
+def test_texts_take_one_worker_a_task(spark):
+    """A sieve and what is made of its rows run in one Python worker (before: two in a chain, each with tables of its own)."""
+    docs = spark.createDataFrame([(i, f"{i % 7} " + "a b c d e f g h " * 9) for i in range(40)], "key long, text string")
+    keys = docs.where("key < 9").select("key")
+    sets = sift(docs, "key", keys, ngram_join.whole_sets(5), ngram_join.SETS)
+    seeds = passages.seeds(46, 5, 3, 3)
+    rows = docs.selectExpr("key AS doc_id", "key AS uid", "text")
+    posted = ngram_join.several(rows, seeds, passages.SEEDS)
+    for one in (sets, posted):
+        assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sets.select("class").distinct().count() == 7
+    plain = rows.mapInArrow(seeds, passages.SEEDS)
+    held = plain.groupBy("shingle").count().where("count > 1").select("shingle")
+    assert sorted(map(tuple, posted.join(held, "shingle", "left_semi").collect())) == sorted(map(tuple, plain.join(held, "shingle", "left_semi").collect()))
+    assert posted.count() >= plain.join(held, "shingle", "left_semi").count() > 0
+
+
 def test_pairs_behind_one_another_match_as_single_ones():
     """Pairs checked many at a time give the near copies that each gives alone; others cost no call of their own."""
     dice, sides, alone = np.random.default_rng(3), ([], [], []), []
