@@ -399,6 +399,30 @@ def test_texts_take_one_worker_a_task(spark):
     assert posted.count() >= plain.join(held, "shingle", "left_semi").count() > 0
 
 
+def test_worker_tables_of_other_stages_go(monkeypatch):
+    holder = types.ModuleType("own")
+    monkeypatch.setitem(sys.modules, common._OWN, holder)
+    monkeypatch.setattr(common, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(stageId=lambda: stage)))
+    stage, built = 1, []
+    make = lambda name: common.worker_table(name, lambda: built.append(name) or name)
+    assert [make("a"), make("b"), make("a")] == ["a", "b", "a"] and built == ["a", "b"]
+    stage = 2
+    assert make("b") == "b" and sorted(holder.tables) == ["a", "b"]
+    assert make("c") == "c" and sorted(holder.tables) == ["b", "c"]
+    assert make("a") == "a" and built == ["a", "b", "c", "a"]
+
+
+def test_pipeline_stages_write_in_small_batches(spark, monkeypatch):
+    """A stage that is called by itself sends its texts in small batches too."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df: seen.append(int(spark.conf.get(name))) or df)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    corpus_pipeline.good(spark, docs, "/root/testdata/sf0.001")
+    corpus_pipeline.own_passages(spark, docs.limit(5), "/root/testdata/sf0.001")
+    assert len(seen) == 2 and max(seen) <= 2500 and spark.conf.get(name) == before
+
+
 def test_pairs_behind_one_another_match_as_single_ones():
     """Pairs checked many at a time give the near copies that each gives alone; others cost no call of their own."""
     dice, sides, alone = np.random.default_rng(3), ([], [], []), []
