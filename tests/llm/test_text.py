@@ -221,3 +221,13 @@ def test_digests_of_the_query(spark, library):
         tokens = library.encode(docs[r.doc_id] or "", add_special_tokens=False).ids
         assert r.n_tokens == len(tokens) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(tokens)}I", *tokens)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(tokens, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_words_met_again_are_encoded_once(vocabulary, automaton, monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 100)
+    words = bpe.Library(bpe.definition(vocabulary), bpe.categories())
+    made, path = [], words._path
+    monkeypatch.setattr(words, "_path", lambda raw: made.append(raw) or path(raw))
+    texts = [f"often w{chr(97 + i % 26) * (1 + i // 26)}é" for i in range(300)] + ODD
+    assert [words.encode(t or "") for t in texts] == [automaton.encode(t or "") for t in texts]
+    assert made.count(b"often") == 1 and len(words) + len(words.older) <= 100

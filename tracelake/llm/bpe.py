@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm.common import worker_table
 
-# A worker keeps at most so many words and transitions; beyond that it starts afresh.
+# A worker keeps at most so many words and transitions. Words go by halves: those of the older half that
+# are met again move to the newer one. Transitions start afresh.
 WORDS_KEPT = 400_000
 STEPS_KEPT = 600_000
 NEVER = 1 << 60
@@ -75,12 +76,69 @@ def splitter(ranges: dict[str, list[tuple[int, int]]], top: int):
         f"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
 
 
-class Automaton(dict):
-    """Word -> packed ids (little-endian, 32 bits each); unknown words are encoded and kept."""
+class Words(dict):
+    """Word -> packed ids (little-endian, 32 bits each); unknown words are encoded by ``_path`` and kept."""
 
-    def __init__(self, definition: str, ranges: dict[str, list[tuple[int, int]]]) -> None:
+    def __init__(self, data: dict, ranges: dict[str, list[tuple[int, int]]]) -> None:
         super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in data.get("added_tokens", [])}
+        marks = "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
+        self.marks = re.compile(f"({marks})") if marks else None
+        self.split_ascii, self.split_plane, self.split_all = (splitter(ranges, top) for top in (0x7F, 0xFFFF, 0x10FFFF))
+        self.astral = re.compile("[\U00010000-\U0010ffff]").search
+
+    def _path(self, raw: bytes) -> list[int]:
+        """Tokens of one word."""
+        raise NotImplementedError
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self.older.get(word)
+        if packed is None:
+            path = self._path(word.encode("utf-8", "surrogatepass"))
+            packed = array("I", path).tobytes() if LITTLE else b"".join(t.to_bytes(4, "little") for t in path)
+        if len(word) <= 64:
+            if 2 * len(self) >= WORDS_KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[word] = packed
+        return packed
+
+    def _plain(self, text: str) -> bytes:
+        if text.isascii():
+            words = self.split_ascii(text)
+        elif self.astral(text) is None:
+            words = self.split_plane(text)
+        else:
+            words = self.split_all(text)
+        return b"".join(map(self.__getitem__, words))
+
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a whole text; strings of added tokens become those tokens."""
+        if self.marks is None or not any(mark in text for mark in self.added):
+            return self._plain(text)
+        return b"".join(self.added.get(part) or self._plain(part) for part in self.marks.split(text) if part)
+
+
+class Library(Words):
+    """The same with the words' tokens from the tokenizers library, which workers need then."""
+
+    def __init__(self, definition: str, ranges: dict[str, list[tuple[int, int]]]) -> None:
+        from tokenizers import Tokenizer
+        super().__init__(json.loads(definition), ranges)
+        self.tokens = Tokenizer.from_str(definition).model.tokenize
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
+
+    def _path(self, raw: bytes) -> list[int]:
+        return [token.id for token in self.tokens(raw.decode("latin-1").translate(self.letters))]
+
+
+class Automaton(Words):
+    """The same by the automaton; it decodes too."""
+
+    def __init__(self, definition: str, ranges: dict[str, list[tuple[int, int]]]) -> None:
         data = json.loads(definition)
+        super().__init__(data, ranges)
         letters = byte_letters()
         vocabulary = data["model"]["vocab"]
         self.labels: dict[int, bytes] = {i: bytes(map(letters.__getitem__, t)) for t, i in vocabulary.items()}
@@ -94,6 +152,7 @@ class Automaton(dict):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self._gadget(step, vocabulary[a], vocabulary[b], vocabulary[a + b])
         alive = {self.labels[token]: token for token in {*self.first, *self.born}}
+        self.lengths = {token: len(label) for label, token in alive.items()}
         self.shorter: dict[int, int] = {}
         for label, token in alive.items():
             for end in range(len(label) - 1, 0, -1):
@@ -105,13 +164,7 @@ class Automaton(dict):
         for label, token in alive.items():
             self.arcs.add_word(label.decode("latin-1"), token)
         self.arcs.make_automaton()
-        added = data.get("added_tokens", [])
-        self.labels |= {t["id"]: t["content"].encode() for t in added}
-        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
-        marks = "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
-        self.marks = re.compile(f"({marks})") if marks else None
-        self.split_ascii, self.split_plane, self.split_all = (splitter(ranges, top) for top in (0x7F, 0xFFFF, 0x10FFFF))
-        self.astral = re.compile("[\U00010000-\U0010ffff]").search
+        self.labels |= {t["id"]: t["content"].encode() for t in data.get("added_tokens", [])}
 
     def _gadget(self, step: int, u: int, v: int, uv: int) -> None:
         if not self._accepts(u, v):
@@ -135,62 +188,45 @@ class Automaton(dict):
                 return True
             until, chain = self.born[chain], self.right[chain]
 
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "surrogatepass")
-        size, steps, labels = len(raw), self.steps, self.labels
+    def _path(self, raw: bytes) -> list[int]:
+        size, steps, lengths, shorter, longest, line = len(raw), self.steps, self.lengths, self.shorter, self.arcs.iter_long, raw.decode("latin-1")
+        if len(steps) >= STEPS_KEPT:
+            steps.clear()
         path: list[int] = []
         at, dead = 0, set()
-        line = raw.decode("latin-1")
-        # Arcs by falling length: the table of arcs gives the longest one from each place on.
-        arcs, follows = self.arcs.iter_long(line), True
-        token = next(arcs)[1] if size else None
-        while token is not None:
-            end = at + len(labels[token])
-            goes = end not in dead
-            if goes and path:
-                key = path[-1] << 20 | token
-                goes = steps.get(key)
-                if goes is None:
-                    goes = steps[key] = self._accepts(path[-1], token)
-            if goes:
-                path.append(token)
-                at = end
-                if end == size:
+        while at < size:
+            # The longest arcs from here on, as far as each may follow the one before.
+            for _, token in longest(line, at):
+                if path:
+                    key = path[-1] << 20 | token
+                    goes = steps.get(key)
+                    if goes is None:
+                        goes = steps[key] = self._accepts(path[-1], token)
+                    if not goes:
+                        break
+                if at + lengths[token] in dead:
                     break
-                if not follows:
-                    arcs, follows = self.arcs.iter_long(line, at), True
-                token = next(arcs)[1]
-                continue
-            follows = False
-            token = self.shorter.get(token)
-            while token is None:  # no arc leads on from here, so the last arc was wrong
-                dead.add(at)
-                token = path.pop()
-                at -= len(labels[token])
-                token = self.shorter.get(token)
-        packed = array("I", path).tobytes() if LITTLE else b"".join(t.to_bytes(4, "little") for t in path)
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        if len(steps) >= STEPS_KEPT:
-            steps.clear()
-        if size <= 64:
-            self[word] = packed
-        return packed
-
-    def _plain(self, text: str) -> bytes:
-        if text.isascii():
-            words = self.split_ascii(text)
-        elif self.astral(text) is None:
-            words = self.split_plane(text)
-        else:
-            words = self.split_all(text)
-        return b"".join(map(self.__getitem__, words))
-
-    def encode(self, text: str) -> bytes:
-        """Packed ids of a whole text; strings of added tokens become those tokens."""
-        if self.marks is None or not any(mark in text for mark in self.added):
-            return self._plain(text)
-        return b"".join(self.added.get(part) or self._plain(part) for part in self.marks.split(text) if part)
+                path.append(token)
+                at += lengths[token]
+            else:
+                break
+            goes = False
+            while not goes:
+                token = shorter.get(token)
+                while token is None:  # no arc leads on from here, so the last arc was wrong
+                    dead.add(at)
+                    token = path.pop()
+                    at -= lengths[token]
+                    token = shorter.get(token)
+                goes = at + lengths[token] not in dead
+                if goes and path:
+                    key = path[-1] << 20 | token
+                    goes = steps.get(key)
+                    if goes is None:
+                        goes = steps[key] = self._accepts(path[-1], token)
+            path.append(token)
+            at += lengths[token]
+        return path
 
     def decode(self, packed: bytes) -> str:
         """Text of packed ids; bytes that are no UTF-8 become replacement characters."""
@@ -206,12 +242,12 @@ def definition(path: str) -> str:
         return file.read()
 
 
-def shipped(spark: SparkSession, path: str):
-    """A function for tasks that gives the automaton of ``path``, compiled once per worker."""
+def shipped(spark: SparkSession, path: str, kind: type[Words] = Automaton):
+    """A function for tasks that gives the automaton of ``path`` (or another ``kind`` of words), compiled once per worker."""
     text = definition(path)
-    key = "bpe-" + hashlib.sha256(text.encode()).hexdigest()
+    key = f"bpe-{kind.__name__}-" + hashlib.sha256(text.encode()).hexdigest()
     sent = spark.sparkContext.broadcast((text, categories()))
-    return lambda: worker_table(key, lambda: Automaton(*sent.value))
+    return lambda: worker_table(key, lambda: kind(*sent.value))
 
 
 def _mapped(df: DataFrame, make, added: list[tuple[str, str]]) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.bpe import shipped
+from tracelake.llm.bpe import Library, shipped
 from tracelake.llm.common import carried, stored
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -83,11 +83,11 @@ class Places:
 
 def cut(df: DataFrame, path: str, width: int, end_id: int = 0) -> DataFrame:
     """Pieces of each document's ids (those of its text, then ``end_id``), at most ``width`` long."""
-    automaton = shipped(df.sparkSession, path)
+    ids = shipped(df.sparkSession, path, Library)
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        tables = automaton()
+        tables = ids()
         for batch in batches:
             columns = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
