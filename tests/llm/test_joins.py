@@ -3,6 +3,7 @@
 import hashlib
 import random
 import sys
+import time
 import types
 from collections import Counter, defaultdict
 
@@ -441,3 +442,23 @@ def test_pairs_behind_one_another_match_as_single_ones():
     for i in found:
         part = slice(ends[i] - n[i], ends[i])
         assert passages.copies(same[part], place[part], 46, 75, 100) == alone[i]
+
+
+def test_ngram_join_compares_whole_lists_by_sets(spark, monkeypatch):
+    dice = random.Random(41)
+    base, rows = prose(dice, 90), []
+    for i in range(300):
+        words = list(base)
+        for at in dice.sample(range(90), dice.randint(2, 3)):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    counts, verified = [], ngram_join.verified
+
+    def counted(pairs, *others):
+        counts.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    assert sorted(map(tuple, ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_links(rows)
+    assert sum(counts) < 10 * len(rows)
