@@ -462,3 +462,18 @@ def test_ngram_join_compares_whole_lists_by_sets(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 64)
     assert sorted(map(tuple, ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_links(rows)
     assert sum(counts) < 10 * len(rows)
+
+
+def test_shuffle_files_go_when_a_table_is_stored(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(name, None)
+    rows = common.stored(spark.range(5000).groupBy((F.col("id") % 50).alias("k")).agg(F.collect_list("id").alias("l")).repartition(7, "k"))
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(name, None) == setting and rows.count() == 50
