@@ -8,11 +8,12 @@ import types
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracelake.llm import common, ngram_join, passages, suffix_dedup, topk, tree_index
+from tracelake.llm import common, dealing, ngram_join, passages, suffix_dedup, topk, tree_index
 from tracelake.llm.common import sift
 from tracelake.llm.components import components
 from tracelake.llm.shingles import shingle_set
@@ -477,3 +478,43 @@ def test_shuffle_files_go_when_a_table_is_stored(spark):
             break
         time.sleep(0.2)
     assert not shuffled() - before and spark.conf.get(name, None) == setting and rows.count() == 50
+
+
+def test_ngram_join_makes_rows_of_shared_shingles_only(spark, monkeypatch):
+    """However full a sieve of fixed size would be, no shingle of a single prefix becomes a row."""
+    dice = random.Random(51)
+    rows = [(i, " ".join(prose(dice, 120))) for i in range(200)]
+    rows += [(200 + i, " ".join(rows[i][1].split()[:115])) for i in range(20)]
+    counts, stored = [], ngram_join.stored
+
+    def counted(df, **others):
+        out = stored(df, **others)
+        if {"shingle", "class"} <= set(out.columns) and "bits" not in out.columns:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    monkeypatch.setattr(ngram_join, "SIEVE", 17)
+    assert sorted(map(tuple, ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_links(rows)
+    assert counts and 20 <= max(counts) < 20 * 100
+
+
+def test_records_dealt_in_parts(spark, monkeypatch):
+    """Every record comes back, all of one key in one segment, whatever a task gathers at once."""
+    monkeypatch.setattr(dealing, "GATHERED", 100)
+    rows = spark.range(5000).selectExpr("id", "id % 700 AS key")
+    kinds = [np.int64, np.int64, np.uint16]
+
+    def made(batches):
+        for batch in batches:
+            number, key = (batch.column(i).to_numpy() for i in (0, 1))
+            yield key.astype(np.uint64) << np.uint64(52), -number, key, key
+
+    def then(found):
+        for i, (number, key, short) in enumerate(found):
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(key), pa.array(short.astype(np.int64)), pa.array(np.full(len(key), i))], names=["n", "key", "short", "part"])
+
+    dealt = rows.mapInArrow(dealing.parts(made, kinds, 9), dealing.PARTS)
+    got = dealing.grouped(dealt, kinds, then, "n long, key long, short long, part long").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((-r.n, r.key, r.short) for r in got) == [(i, i % 700, i % 700) for i in range(5000)]
+    assert len({(r.key, r.task, r.part) for r in got}) == 700 and [dealing.segments(n) for n in (0, 1 << 28, 1 << 30, 1 << 40)] == [8, 9, 11, 16]
