@@ -518,3 +518,29 @@ def test_records_dealt_in_parts(spark, monkeypatch):
     got = dealing.grouped(dealt, kinds, then, "n long, key long, short long, part long").withColumn("task", F.spark_partition_id()).collect()
     assert sorted((-r.n, r.key, r.short) for r in got) == [(i, i % 700, i % 700) for i in range(5000)]
     assert len({(r.key, r.task, r.part) for r in got}) == 700 and [dealing.segments(n) for n in (0, 1 << 28, 1 << 30, 1 << 40)] == [8, 9, 11, 16]
+
+
+def test_passages_of_repeated_words_are_not_all_compared(spark, monkeypatch):
+    """Words that repeat in many texts are compared only where a copy is possible; a copy made of them is found."""
+    rows = []
+    for i in range(150):
+        rows.append((i, " ".join([f"a{i}"] * 25 + ["the"] * (20 + i % 9) + [f"b{i}"] * 25 + ["of"] * (20 + i % 8) + [f"c{i}"] * 25)))
+    for i in range(4):
+        rows += [(1000 + 10 * k + i, " ".join([f"d{i}k{k}"] * 20 + ["the"] * (21 + i) + [f"e{i}"] * 8 + ["of"] * 21 + [f"f{i}k{k}"] * 20)) for k in (0, 1)]
+    counts, stored = [], passages.stored
+
+    def counted(df, **others):
+        out = stored(df, **others)
+        if "kept_low" in out.columns:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "stored", counted)
+    assert pairs_found(spark, rows) >= {(1010 + i, 1000 + i) for i in range(4)}
+    assert 0 < sum(counts) < 40 * len(rows)
+
+
+def test_long_grams_by_sums():
+    codes = np.random.default_rng(2).integers(0, 3, 3000).astype(np.uint64)
+    got, want = passages.rolled(codes, 6), passages.fingerprints(codes, 6)
+    assert len(got) == len(want) and len(set(got.tolist())) == len(set(want.tolist())) == len(set(zip(got.tolist(), want.tolist())))
