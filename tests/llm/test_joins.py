@@ -544,3 +544,13 @@ def test_long_grams_by_sums():
     codes = np.random.default_rng(2).integers(0, 3, 3000).astype(np.uint64)
     got, want = passages.rolled(codes, 6), passages.fingerprints(codes, 6)
     assert len(got) == len(want) and len(set(got.tolist())) == len(set(want.tolist())) == len(set(zip(got.tolist(), want.tolist())))
+
+
+def test_places_that_cover_a_repeated_shingle():
+    """A place may match shingles at offsets up to 8 away, so one place covers 33 of a text that moves, whatever stands before it."""
+    codes = np.random.default_rng(8).integers(0, 1 << 62, 400).astype(np.uint64)
+    codes[[0, 399]], codes[[30, 31, 32, 90]] = codes[5], codes[30]
+    texts, none = np.ones(400, np.int64), np.zeros(400, bool)
+    found, asks, need, _, _, cover, has, _ = passages.asked(codes, np.array([0]), np.array([393]), none, texts, 46, 6, 6)
+    assert found.tolist() == list(range(400)) and asks.any() and need[asks].max() <= 1
+    assert cover[0] == cover[399] == cover[100] == 33 and cover[30] == 17 + 1 + 1 + 17 + 16 and has[0] and not has[200]
