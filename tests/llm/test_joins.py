@@ -553,4 +553,4 @@ def test_places_that_cover_a_repeated_shingle():
     texts, none = np.ones(400, np.int64), np.zeros(400, bool)
     found, asks, need, _, _, cover, has, _ = passages.asked(codes, np.array([0]), np.array([393]), none, texts, 46, 6, 6)
     assert found.tolist() == list(range(400)) and asks.any() and need[asks].max() <= 1
-    assert cover[0] == cover[399] == cover[100] == 33 and cover[30] == 17 + 1 + 1 + 17 + 16 and has[0] and not has[200]
+    assert cover[399] == cover[100] == 33 and cover[0] == 17 + 5 + 16 and cover[30] == 17 + 1 + 1 + 17 + 16 and has[0] and not has[200]
