@@ -72,10 +72,10 @@ def train(samples: list[np.ndarray], labels: np.ndarray, c: float = 1.0, rounds:
     for found, label in zip(samples, labels):
         counts[label, found] += 1
     ratio = np.log(counts[1] / (good + 2)) - np.log(counts[0] / (size - good + 2))
-    values = []
-    for found in samples:
+    values = np.split(np.empty(sum(map(len, samples))), np.cumsum([len(found) for found in samples])[:-1])
+    for found, value in zip(samples, values):
         row = ratio[found]
-        values.append(row / max(1.0, float(np.sqrt(row @ row))))
+        value[:] = row / max(1.0, float(np.sqrt(row @ row)))
     sizes = [float(v @ v) + 1 for v in values]
     sign, dual = 2.0 * labels - 1, np.zeros(size)
     weight, bias = np.zeros(1 << BITS), 0.0
@@ -115,9 +115,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 5000, fold: int = 2) -
                 [batch.column(0), batch.column(1), pa.array([f.tobytes() for f in found], pa.binary())],
                 names=["doc_id", "quality", "found"])
 
-    rows = sorted(taken.mapInArrow(run, "doc_id bigint, quality int, found binary").collect())
-    samples = [np.frombuffer(r["found"], np.int32).astype(np.int64) for r in rows]
-    return train(samples, np.array([int(r["quality"] > 0) for r in rows], np.int64))
+    # A few large arrays go back to the system when they are done with; many small ones would stay with the driver.
+    rows = taken.mapInArrow(run, "doc_id bigint, quality int, found binary").toArrow().sort_by([(n, "ascending") for n in ("doc_id", "quality", "found")])
+    found = pa.concat_arrays(rows.column("found").chunks or [pa.array([], pa.binary())])
+    ends = np.frombuffer(found.buffers()[1], np.int32)[found.offset:found.offset + len(found) + 1] // 4 if len(found) else np.zeros(1, np.int32)
+    flat = np.frombuffer(found.buffers()[2], np.int32)[ends[0]:ends[-1]].astype(np.int64) if len(found) else np.zeros(0, np.int64)
+    samples = np.split(flat, ends[1:-1] - ends[0])[:len(found)]
+    labels = (rows.column("quality").to_numpy() > 0).astype(np.int64)
+    del rows, found
+    pa.default_memory_pool().release_unused()
+    return train(samples, labels)
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
